@@ -1,4 +1,9 @@
-"""Small column helpers shared by the function modules."""
+"""Small column helpers shared by the function modules.
+
+Longer expressions over arrays and records are written as SQL text: one call builds the
+whole expression, where the same expression made of Python column operations would need
+hundreds of round trips to the JVM before the query even starts.
+"""
 
 from __future__ import annotations
 
@@ -12,15 +17,26 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once for use in `body`.
+def over(body: Callable[..., str], **values: Column | str) -> Column:
+    """Expression given as SQL text over columns.
+
+    `body` gets the SQL names of the columns in `values` and returns the text. Each column
+    is evaluated once, however often the text names it.
+    """
+    bound = F.struct(*[as_column(value).alias(name) for name, value in values.items()])
+    text = body(**{name: f"arg.{name}" for name in values})
+    return F.get(F.call_function("transform", F.array(bound), F.expr(f"arg -> {text}")), F.lit(0))
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL text that binds `value` to `name` inside `body`.
 
     Inside a lambda an expression that is written twice is evaluated twice, so every
-    expensive intermediate result of a higher-order expression goes through here.
+    expensive intermediate result goes through here.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def sql_string(value: str) -> str:
+def literal(value: str) -> str:
     """Quote `value` as a SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

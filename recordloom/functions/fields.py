@@ -14,138 +14,98 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column, let
+from recordloom.functions.columns import as_column, let, over
 
-NUMBER_TYPES = ("int", "float", "bool")
+LEAVES_TYPE = "array<struct<path:string,type:string,text:string,deeper:boolean>>"
 
+# SQL conditions on an aligned field `f`.
+ON_BOTH_SIDES = "f.l_type IS NOT NULL AND f.r_type IS NOT NULL"
+TO_COMPARE = f"{ON_BOTH_SIDES} AND f.l_text != f.r_text"
 
-def last_wins(leaves: Column | str) -> Column:
-    """One leaf per path: the place of the first, the value of the last. Needs one sort."""
-
-    def keep(by_path: Column) -> Column:
-        size = F.size(by_path)
-
-        def first_place(leaf: Column, i: Column) -> Column:
-            before = F.get(by_path, i - 1)
-            return F.when((i > 0) & (before["path"] == leaf["path"]), F.lit(None)).otherwise(leaf["place"])
-
-        def last_value(leaf: Column, i: Column) -> Column:
-            return (i == size - 1) | (F.get(by_path, i + 1)["path"] != leaf["path"])
-
-        firsts = F.filter(F.transform(by_path, first_place), lambda place: place.isNotNull())
-        lasts = F.filter(by_path, last_value)
-        return F.zip_with(
-            firsts,
-            lasts,
-            lambda place, leaf: F.struct(
-                place.alias("place"), leaf["path"].alias("path"), leaf["type"].alias("type"), leaf["text"].alias("text")
-            ),
-        )
-
-    placed = F.transform(
-        as_column(leaves),
-        lambda leaf, i: F.struct(
-            leaf["path"].alias("path"), i.alias("place"), leaf["type"].alias("type"), leaf["text"].alias("text")
-        ),
-    )
-    kept = F.sort_array(let(F.sort_array(placed), keep))
-    return F.transform(
-        kept,
-        lambda leaf: F.struct(leaf["path"].alias("path"), leaf["type"].alias("type"), leaf["text"].alias("text")),
-    )
-
-
-def align_fields(left: Column | str, right: Column | str) -> Column:
-    """Full outer match of two flattened records by path, sorted by path."""
-
-    def tagged(leaves: Column | str, side: int) -> Column:
-        return F.transform(
-            as_column(leaves),
-            lambda leaf, i: F.struct(
-                leaf["path"].alias("path"),
-                F.lit(side).alias("side"),
-                i.alias("place"),
-                leaf["type"].alias("type"),
-                leaf["text"].alias("text"),
-            ),
-        )
-
-    def last_of_side(rows: Column) -> Column:
-        def keep(leaf: Column, i: Column) -> Column:
-            after = F.get(rows, i + 1)
-            return (i == F.size(rows) - 1) | (after["path"] != leaf["path"]) | (after["side"] != leaf["side"])
-
-        return F.filter(rows, keep)
-
-    def pair_up(rows: Column) -> Column:
-        def join(leaf: Column, i: Column) -> Column:
-            after = F.get(rows, i + 1)
-            before = F.get(rows, i - 1)
-            matched = F.coalesce(after["path"] == leaf["path"], F.lit(False))
-            taken = F.coalesce((i > 0) & (before["path"] == leaf["path"]), F.lit(False))
-            on_left = leaf["side"] == 0
-            return F.when(
-                on_left | ~taken,
-                F.struct(
-                    leaf["path"].alias("path"),
-                    F.when(on_left, leaf["type"]).alias("l_type"),
-                    F.when(on_left, leaf["text"]).alias("l_text"),
-                    F.when(~on_left, leaf["type"]).when(matched, after["type"]).alias("r_type"),
-                    F.when(~on_left, leaf["text"]).when(matched, after["text"]).alias("r_text"),
-                ),
-            )
-
-        return F.filter(F.transform(rows, join), lambda field: field.isNotNull())
-
-    both = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
-    return let(let(both, last_of_side), pair_up)
 
+def _number_sql(side: str) -> str:
+    return f"if(f.{side}_type = 'bool', CAST(f.{side}_text = 'True' AS DOUBLE), try_cast(f.{side}_text AS DOUBLE))"
 
-def on_both_sides(field: Column) -> Column:
-    return field["l_type"].isNotNull() & field["r_type"].isNotNull()
 
+_NUMBERS = "('int', 'float', 'bool')"
+# Equality of two leaves; numbers and booleans compare as numbers.
+VALUES_EQUAL = f"""(f.l_type = f.r_type AND f.l_text = f.r_text)
+    OR coalesce(f.l_type != f.r_type AND f.l_type IN {_NUMBERS} AND f.r_type IN {_NUMBERS}
+                AND {_number_sql("l")} = {_number_sql("r")}, false)"""
 
-def _number(text: Column, name: Column) -> Column:
-    return F.when(name == "bool", (text == "True").cast("double")).otherwise(text.try_cast("double"))
 
-
-def values_equal(field: Column) -> Column:
-    """Equality of two leaves; numbers and booleans compare as numbers."""
-    same_text = (field["l_type"] == field["r_type"]) & (field["l_text"] == field["r_text"])
-    both_numbers = field["l_type"].isin(*NUMBER_TYPES) & field["r_type"].isin(*NUMBER_TYPES)
-    mixed = both_numbers & (field["l_type"] != field["r_type"])
-    same_number = _number(field["l_text"], field["l_type"]) == _number(field["r_text"], field["r_type"])
-    return same_text | F.coalesce(mixed & same_number, F.lit(False))
+def last_wins(leaves: Column | str) -> Column:
+    """One leaf per path: the place of the first, the value of the last. Needs one sort."""
+    return over(lambda leaves: last_wins_sql(leaves), leaves=leaves)
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+def last_wins_sql(leaves: str) -> str:
+    placed = f"sort_array(transform({leaves}, (x, i) -> struct(x.path AS path, i AS place, x.type AS type, x.text AS text)))"
+    first = "if(i > 0 AND get(rows, i - 1).path = x.path, NULL, x.place)"
+    last = "i = size(rows) - 1 OR get(rows, i + 1).path != x.path"
+    kept = f"""zip_with(
+        filter(transform(rows, (x, i) -> {first}), place -> place IS NOT NULL),
+        filter(rows, (x, i) -> {last}),
+        (place, x) -> struct(place AS place, x.path AS path, x.type AS type, x.text AS text))"""
+    return (
+        f"transform(sort_array({let(placed, 'rows', kept)}), "
+        "x -> struct(x.path AS path, x.type AS type, x.text AS text))"
+    )
 
 
-def _count(fields: Column, predicate) -> Column:
-    return F.size(F.filter(fields, predicate))
+def align_fields(left: Column | str, right: Column | str) -> Column:
+    """Full outer match of two flattened records by path, sorted by path."""
+    return over(lambda left, right: align_sql(left, right), left=left, right=right)
+
+
+def align_sql(left: str, right: str) -> str:
+    def tagged(leaves: str, side: int) -> str:
+        return f"transform({leaves}, (x, i) -> struct(x.path AS path, {side} AS side, i AS place, x.type AS type, x.text AS text))"
+
+    both = f"sort_array(concat({tagged(left, 0)}, {tagged(right, 1)}))"
+    # Of several leaves of one side with the same path the last one stands.
+    last_of_side = """filter(rows, (x, i) -> i = size(rows) - 1
+        OR get(rows, i + 1).path != x.path OR get(rows, i + 1).side != x.side)"""
+    matched = "get(rows, i + 1).path = x.path"
+    taken = "i > 0 AND get(rows, i - 1).path = x.path"
+    paired = f"""filter(transform(rows, (x, i) -> CASE
+        WHEN x.side = 0 THEN struct(
+            x.path AS path, x.type AS l_type, x.text AS l_text,
+            if({matched}, get(rows, i + 1).type, NULL) AS r_type,
+            if({matched}, get(rows, i + 1).text, NULL) AS r_text)
+        WHEN {taken} THEN NULL
+        ELSE struct(
+            x.path AS path, CAST(NULL AS STRING) AS l_type, CAST(NULL AS STRING) AS l_text,
+            x.type AS r_type, x.text AS r_text) END), f -> f IS NOT NULL)"""
+    return let(let(both, "rows", last_of_side), "rows", paired)
 
 
 def key_jaccard(fields: Column | str) -> Column:
     """Share of paths found on both sides; 0 when there are none."""
-    fields = as_column(fields)
-    return _share(_count(fields, on_both_sides), F.size(fields))
+    return over(
+        lambda fields: f"if(size({fields}) > 0, size(filter({fields}, f -> {ON_BOTH_SIDES})) / size({fields}), 0D)",
+        fields=fields,
+    )
 
 
 def value_match(fields: Column | str) -> Column:
     """Share of common fields with equal values; 0 when there are none in common."""
-    fields = as_column(fields)
-    return let(
-        F.filter(fields, on_both_sides), lambda common: _share(_count(common, values_equal), F.size(common))
-    )
+    return over(lambda fields: value_match_sql(fields), fields=fields)
+
+
+def value_match_sql(fields: str) -> str:
+    share = f"if(size(common) > 0, size(filter(common, f -> {VALUES_EQUAL})) / size(common), 0D)"
+    return let(f"filter({fields}, f -> {ON_BOTH_SIDES})", "common", share)
 
 
 def key_overlap(left_keys: Column | str, right_keys: Column | str) -> Column:
     """Share of top-level keys found in both records; 0 when either has none."""
-    left = F.array_distinct(as_column(left_keys))
-    right = F.array_distinct(as_column(right_keys))
-    shared = F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right))
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), shared).otherwise(F.lit(0.0))
+    return over(
+        lambda left, right: f"""if(size({left}) > 0 AND size({right}) > 0,
+            size(array_intersect({left}, {right})) / size(array_union({left}, {right})), 0D)""",
+        left=left_keys,
+        right=right_keys,
+    )
 
 
 # --- per-field decisions ----------------------------------------------------------
@@ -160,21 +120,22 @@ DECISION_THRESHOLD = 0.8
 COMPARE_THRESHOLD = 0.9
 
 
-def decide(field: Column, similarity: Column, threshold: float) -> Column:
-    """Decision label of one aligned field given the similarity of its two values."""
-    return (
-        F.when(field["l_type"].isNull(), MISSING_LEFT)
-        .when(field["r_type"].isNull(), MISSING_RIGHT)
-        .when((field["l_text"] == field["r_text"]) | (similarity == 1), GOOD)
-        .when(similarity >= threshold, MINOR)
-        .otherwise(MISMATCH)
-    )
+def decision_sql(similarity: str, threshold: float) -> str:
+    """Decision label of an aligned field `f` given the similarity of its two values."""
+    return f"""CASE
+        WHEN f.l_type IS NULL THEN '{MISSING_LEFT}'
+        WHEN f.r_type IS NULL THEN '{MISSING_RIGHT}'
+        WHEN f.l_text = f.r_text OR {similarity} = 1 THEN '{GOOD}'
+        WHEN {similarity} >= {float(threshold)}D THEN '{MINOR}'
+        ELSE '{MISMATCH}' END"""
 
 
-def decision_score(decisions: Column) -> Column:
+def decision_score(decisions: Column | str) -> Column:
     """Share of decisions that count as correct; null for a pair without fields."""
-    return F.when(
-        F.size(decisions) > 0, F.size(F.filter(decisions, lambda d: d.isin(GOOD, MINOR))) / F.size(decisions)
+    correct = f"d -> d.decision IN ('{GOOD}', '{MINOR}')"
+    return over(
+        lambda decisions: f"if(size({decisions}) > 0, size(filter({decisions}, {correct})) / size({decisions}), NULL)",
+        decisions=decisions,
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column, let
+from recordloom.functions.columns import as_column, let, literal, over
 from recordloom.functions.text import first_json_object, single_to_double_quotes, strip_backslashes
 
 # Names of the seven value types a record can hold.
@@ -52,33 +52,34 @@ def as_list(value: Column | str) -> Column:
 
 def type_name(value: Column | str) -> Column:
     """Type name of a value, one of `TYPE_NAMES`; null for a missing value."""
-    return let(F.schema_of_variant(as_column(value)), _name_of_schema)
+    return over(lambda value: type_name_sql(value), value=value)
 
 
-def _name_of_schema(schema: Column) -> Column:
-    return (
-        F.when(schema == "STRING", "str")
-        .when(schema == "BIGINT", "int")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema == "VOID", "NoneType")
-        .when(F.startswith(schema, F.lit("ARRAY")), "list")
-        .when(F.startswith(schema, F.lit("OBJECT")), "dict")
-        .when(schema.rlike(WHOLE_FLOAT), "float")
-        .when(schema.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
-        .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
-    )
+def type_name_sql(value: str) -> str:
+    return let(f"schema_of_variant({value})", "s", name_of_schema_sql("s"))
+
 
+def name_of_schema_sql(schema: str) -> str:
+    return f"""CASE
+        WHEN {schema} = 'STRING' THEN 'str'
+        WHEN {schema} = 'BIGINT' THEN 'int'
+        WHEN {schema} = 'BOOLEAN' THEN 'bool'
+        WHEN {schema} = 'VOID' THEN 'NoneType'
+        WHEN startswith({schema}, 'ARRAY') THEN 'list'
+        WHEN startswith({schema}, 'OBJECT') THEN 'dict'
+        WHEN {schema} RLIKE {literal(WHOLE_FLOAT)} THEN 'float'
+        WHEN startswith({schema}, 'DECIMAL') AND endswith({schema}, ',0)') THEN 'int'
+        WHEN startswith({schema}, 'DECIMAL') OR {schema} IN ('DOUBLE', 'FLOAT') THEN 'float' END"""
 
-def value_text(value: Column, name: Column) -> Column:
+
+def value_text_sql(value: str, name: str) -> str:
     """Text of a value as string formatting prints it; lists and dicts as JSON."""
-    plain = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(name == "str", plain)
-        .when(name == "bool", F.initcap(plain))
-        .when(name == "NoneType", "None")
-        .when(name == "float", F.try_variant_get(value, "$", "double").cast("string"))
-        .otherwise(F.to_json(value))
-    )
+    return f"""CASE
+        WHEN {name} = 'str' THEN try_variant_get({value}, '$', 'string')
+        WHEN {name} = 'bool' THEN initcap(to_json({value}))
+        WHEN {name} = 'NoneType' THEN 'None'
+        WHEN {name} = 'float' THEN CAST(try_variant_get({value}, '$', 'double') AS STRING)
+        ELSE to_json({value}) END"""
 
 
 def json_text(value: Column | str, depth: int = 3, item_sep: str = ",", key_sep: str = ":") -> Column:
@@ -87,40 +88,45 @@ def json_text(value: Column | str, depth: int = 3, item_sep: str = ",", key_sep:
     Numbers written with a zero fraction keep it (``900.0``) down to `depth` levels of
     nesting; below that the built-in writer prints ``900``.
     """
-    value = as_column(value)
-    scalar = F.concat(
-        F.to_json(value),
-        F.when(F.schema_of_variant(value).rlike(WHOLE_FLOAT), ".0").otherwise(""),
-    )
+    return over(lambda value: json_text_sql(value, depth, item_sep, key_sep), value=value)
+
+
+def json_text_sql(value: str, depth: int, item_sep: str = ",", key_sep: str = ":") -> str:
+    whole = f"schema_of_variant({value}) RLIKE {literal(WHOLE_FLOAT)}"
+    scalar = f"concat(to_json({value}), if({whole}, '.0', ''))"
     if depth == 0:
         return scalar
+    entry, item = f"e{depth}", f"i{depth}"
+    members = f"transform(map_entries({_map_sql(value)}), {entry} -> {_entry_sql(entry, depth, item_sep, key_sep)})"
+    items = f"transform({_list_sql(value)}, {item} -> {json_text_sql(item, depth - 1, item_sep, key_sep)})"
+    sep = literal(item_sep)
+    return (
+        f"coalesce(concat('{{', array_join({members}, {sep}), '}}'), "
+        f"concat('[', array_join({items}, {sep}), ']'), {scalar})"
+    )
 
-    def inner(child: Column) -> Column:
-        return json_text(child, depth - 1, item_sep, key_sep)
 
-    entries = F.transform(
-        F.map_entries(as_map(value)),
-        lambda e: F.concat(_quoted(e["key"]), F.lit(key_sep), inner(e["value"])),
-    )
-    items = F.transform(as_list(value), inner)
-    return F.coalesce(
-        F.concat(F.lit("{"), F.array_join(entries, item_sep), F.lit("}")),
-        F.concat(F.lit("["), F.array_join(items, item_sep), F.lit("]")),
-        scalar,
-    )
+def _entry_sql(entry: str, depth: int, item_sep: str = ",", key_sep: str = ":") -> str:
+    key = f"regexp_replace(to_json(array({entry}.key)), '^\\\\[|\\\\]$', '')"
+    return f"concat({key}, {literal(key_sep)}, {json_text_sql(entry + '.value', depth - 1, item_sep, key_sep)})"
+
+
+def _map_sql(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
 
-def _quoted(key: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(key)), r"^\[|\]$", "")
+def _list_sql(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'array<variant>')"
 
 
 def map_json_text(record: Column, depth: int = 3) -> Column:
     """JSON text of a MAP<STRING,VARIANT>, in the order of the map."""
-    entries = F.transform(
-        F.map_entries(record),
-        lambda e: F.concat(_quoted(e["key"]), F.lit(":"), json_text(e["value"], depth - 1)),
+    return over(
+        lambda record: (
+            f"concat('{{', array_join(transform(map_entries({record}), e -> {_entry_sql('e', depth)}), ','), '}}')"
+        ),
+        record=record,
     )
-    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
 
 
 def rename_keys(record: Column, mapping: dict[str, str], direction: str = "schema_to_json") -> Column:
@@ -132,39 +138,27 @@ def rename_keys(record: Column, mapping: dict[str, str], direction: str = "schem
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
-    if not mapping:
-        renamed = record
-    else:
-        flip = direction == "json_to_schema"
-        steps = F.array(
-            *[
-                F.struct(F.lit(new if flip else old).alias("old"), F.lit(old if flip else new).alias("new"))
-                for old, new in mapping.items()
-            ]
-        )
-        renamed = _sorted_map(F.aggregate(steps, record, _rename_one))
-    return F.when(F.size(record) > 0, renamed)
-
-
-def _rename_one(record: Column, step: Column) -> Column:
-    rest = F.map_filter(record, lambda key, _: (key != step["old"]) & (key != step["new"]))
-    moved = F.map_concat(rest, F.create_map(step["new"], F.element_at(record, step["old"])))
-    return F.when(F.map_contains_key(record, step["old"]), moved).otherwise(record)
-
-
-def _sorted_map(record: Column) -> Column:
-    return let(
-        record,
-        lambda m: F.map_from_arrays(
-            F.sort_array(F.map_keys(m)),
-            F.transform(F.sort_array(F.map_keys(m)), lambda key: F.element_at(m, key)),
-        ),
+    flip = direction == "json_to_schema"
+    steps = ", ".join(
+        f"struct({literal(new if flip else old)} AS old, {literal(old if flip else new)} AS new)"
+        for old, new in mapping.items()
     )
 
+    def body(record: str) -> str:
+        if not mapping:
+            return f"if(size({record}) > 0, {record}, NULL)"
+        rest = "map_filter(m, (k, v) -> k != step.old AND k != step.new)"
+        rename = f"if(map_contains_key(m, step.old), map_concat({rest}, map(step.new, element_at(m, step.old))), m)"
+        ordered = "map_from_arrays(sort_array(map_keys(r)), transform(sort_array(map_keys(r)), k -> element_at(r, k)))"
+        renamed = f"aggregate(array({steps}), {record}, (m, step) -> {rename})"
+        return f"if(size({record}) > 0, {let(renamed, 'r', ordered)}, NULL)"
+
+    return over(body, record=record)
+
 
 def schema_map(record: Column) -> Column:
     """MAP of key to type name for a MAP<STRING,VARIANT>."""
-    return F.transform_values(record, lambda _, value: type_name(value))
+    return over(lambda record: f"transform_values({record}, (k, v) -> {type_name_sql('v')})", record=record)
 
 
 def schema_text(record: Column) -> Column:
@@ -183,98 +177,66 @@ def flatten_record(record: Column | str, max_depth: int = DEFAULT_DEPTH) -> Colu
     `deeper` marks a leaf that holds a container below `max_depth`; `nesting_depth` tells
     how deep a table really goes.
     """
-    top = F.transform(
-        F.map_entries(as_map(record)),
-        lambda e: _node(e["key"], e["value"], in_list=False, done=False),
-    )
-    nodes = top
-    for _ in range(max_depth - 1):
-        nodes = let(nodes, _expand_level)
-    leaves = let(nodes, _drop_empty)
-    return F.transform(leaves, _leaf)
-
+    return over(lambda record: flatten_sql(record, max_depth), record=record)
 
-def _node(path: Column, value: Column, in_list: bool, done: bool) -> Column:
-    return F.struct(
-        path.alias("path"), value.alias("value"), F.lit(in_list).alias("in_list"), F.lit(done).alias("done")
-    )
 
-
-def _expand_level(nodes: Column) -> Column:
-    expanded = F.flatten(F.transform(nodes, _expand_node))
-    return F.when(F.exists(nodes, lambda n: ~n["done"]), expanded).otherwise(nodes)
+def flatten_sql(record: str, max_depth: int = DEFAULT_DEPTH) -> str:
+    nodes = f"transform(map_entries({_map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
+    for _ in range(max_depth - 1):
+        expanded = f"flatten(transform(nodes, n -> {_EXPANDED_NODE}))"
+        nodes = let(nodes, "nodes", f"if(exists(nodes, n -> NOT n.done), {expanded}, nodes)")
+    return f"transform(filter({nodes}, n -> {_NOT_EMPTY}), n -> {leaf_sql('n.value', 'n.path', 'n.done', 'n.in_list')})"
 
 
-def _expand_node(node: Column) -> Column:
-    members = F.transform(
-        F.map_entries(as_map(node["value"])),
-        lambda e: _node(F.concat(node["path"], F.lit(" "), e["key"]), e["value"], in_list=False, done=False),
-    )
-    items = F.transform(
-        as_list(node["value"]),
-        lambda item, i: _node(
-            F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")), item, in_list=True, done=False
-        ),
-    )
-    leaf = F.array(
-        F.struct(
-            node["path"].alias("path"),
-            node["value"].alias("value"),
-            node["in_list"].alias("in_list"),
-            F.lit(True).alias("done"),
-        )
-    )
-    open_list = F.when(~node["in_list"], items)
-    return F.when(node["done"], F.array(node)).otherwise(F.coalesce(members, open_list, leaf))
+def _node_sql(path: str, value: str, in_list: bool = False, done: bool = False) -> str:
+    return f"struct({path} AS path, {value} AS value, {in_list} AS in_list, {done} AS done)"
 
 
-def _drop_empty(nodes: Column) -> Column:
-    return F.filter(
-        nodes,
-        lambda n: n["done"]
-        | ~(
-            F.coalesce(F.size(as_map(n["value"])) == 0, F.lit(False))
-            | F.coalesce(~n["in_list"] & (F.size(as_list(n["value"])) == 0), F.lit(False))
-        ),
-    )
+_MEMBERS = (
+    f"transform(map_entries({_map_sql('n.value')}), e -> {_node_sql("concat(n.path, ' ', e.key)", 'e.value')})"
+)
+_ITEMS = (
+    f"transform({_list_sql('n.value')}, "
+    f"(item, i) -> {_node_sql("concat(n.path, '[', i, ']')", 'item', in_list=True)})"
+)
+_EXPANDED_NODE = f"""CASE WHEN n.done THEN array(n) ELSE coalesce(
+    {_MEMBERS},
+    CASE WHEN NOT n.in_list THEN {_ITEMS} END,
+    array(struct(n.path AS path, n.value AS value, n.in_list AS in_list, true AS done))) END"""
+_NOT_EMPTY = f"""n.done OR NOT (
+    coalesce(size({_map_sql('n.value')}) = 0, false)
+    OR coalesce(NOT n.in_list AND size({_list_sql('n.value')}) = 0, false))"""
 
 
-def _leaf(node: Column) -> Column:
-    return let(
-        type_name(node["value"]),
-        lambda name: F.struct(
-            node["path"].alias("path"),
-            name.alias("type"),
-            value_text(node["value"], name).alias("text"),
-            (~node["done"] & ((name == "dict") | ((name == "list") & ~node["in_list"]))).alias("deeper"),
-        ),
-    )
+def leaf_sql(value: str, path: str, done: str, in_list: str) -> str:
+    """A finished node as STRUCT<path, type, text, deeper>."""
+    deeper = f"NOT {done} AND (name = 'dict' OR (name = 'list' AND NOT {in_list}))"
+    leaf = f"struct({path} AS path, name AS type, {value_text_sql(value, 'name')} AS text, {deeper} AS deeper)"
+    return let(type_name_sql(value), "name", leaf)
 
 
 def top_level_fields(record: Column | str) -> Column:
     """Keys of a record with their values unflattened, in the shape of `flatten_record`."""
-    return F.transform(
-        F.map_entries(as_map(record)),
-        lambda e: let(
-            type_name(e["value"]),
-            lambda name: F.struct(
-                e["key"].alias("path"),
-                name.alias("type"),
-                value_text(e["value"], name).alias("text"),
-                F.lit(False).alias("deeper"),
-            ),
-        ),
+    return over(lambda record: top_level_sql(record), record=record)
+
+
+def top_level_sql(record: str) -> str:
+    field = let(
+        type_name_sql("e.value"),
+        "name",
+        f"struct(e.key AS path, name AS type, {value_text_sql('e.value', 'name')} AS text, false AS deeper)",
     )
+    return f"transform(map_entries({_map_sql(record)}), e -> {field})"
 
 
 def nesting_depth(text: Column | str) -> Column:
     """Greatest number of open objects and lists in a JSON text."""
     bare = F.regexp_replace(as_column(text), r'"(?:[^"\\]|\\.)*+"', "")
     marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
-
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["open"] + F.when(mark.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
-
-    return F.aggregate(marks, start, step, lambda acc: acc["most"])
+    step = let(
+        "acc.open + if(mark IN ('{', '['), 1, -1)", "now", "struct(now AS open, greatest(acc.most, now) AS most)"
+    )
+    return over(
+        lambda marks: f"aggregate({marks}, struct(0 AS open, 0 AS most), (acc, mark) -> {step}, acc -> acc.most)",
+        marks=marks,
+    )

@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column, let
-from recordloom.functions.fields import NUMBER_TYPES, align_fields, last_wins, value_match
-from recordloom.functions.prompts import field_text
-from recordloom.functions.records import as_list, top_level_fields, type_name
-from recordloom.functions.text import words
+from recordloom.functions.columns import as_column, let, literal, over
+from recordloom.functions.fields import align_sql, value_match_sql
+from recordloom.functions.records import top_level_sql, type_name_sql
+from recordloom.functions.text import WORD_PATTERN
 
 
 def char_overlap(left: Column | str, right: Column | str) -> Column:
@@ -22,10 +21,7 @@ def char_overlap(left: Column | str, right: Column | str) -> Column:
     Repeats count and the measure is not symmetric. `translate` with nothing to translate to
     deletes the shared characters, so the cost is linear in the two lengths.
     """
-    left, right = as_column(left), as_column(right)
-    total = F.length(left) + F.length(right)
-    shared = F.length(left) - F.length(F.call_function("translate", left, right, F.lit("")))
-    return F.when(total > 0, F.lit(2.0) * shared / total).otherwise(F.lit(0.0))
+    return over(lambda left, right: char_overlap_sql(left, right), left=left, right=right)
 
 
 def levenshtein_ratio(left: Column | str, right: Column | str) -> Column:
@@ -35,8 +31,10 @@ def levenshtein_ratio(left: Column | str, right: Column | str) -> Column:
     return F.when(longest > 0, F.lit(1.0) - F.levenshtein(left, right) / longest).otherwise(F.lit(1.0))
 
 
-def number_similarity(left: Column, right: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.abs(left - right))
+def char_overlap_sql(left: str, right: str) -> str:
+    shared = f"length({left}) - length(translate({left}, {right}, ''))"
+    total = f"(length({left}) + length({right}))"
+    return f"if({total} > 0, 2D * ({shared}) / {total}, 0D)"
 
 
 def value_similarity(left: Column | str, right: Column | str, list_depth: int = 2) -> Column:
@@ -46,73 +44,85 @@ def value_similarity(left: Column | str, right: Column | str, list_depth: int =
     common keys with equal values, lists by the mean similarity of their elements over the
     longer length. `list_depth` is how many levels of lists in lists are followed.
     """
+    return over(lambda left, right: value_similarity_sql(left, right, list_depth), left=left, right=right)
 
-    def by_type(pair: Column) -> Column:
-        l_value, r_value = pair["l"], pair["r"]
-        texts = char_overlap(
-            F.try_variant_get(l_value, "$", "string"), F.try_variant_get(r_value, "$", "string")
-        )
-        numbers = number_similarity(_as_number(l_value), _as_number(r_value))
-        records = value_match(
-            align_fields(last_wins(top_level_fields(l_value)), last_wins(top_level_fields(r_value)))
-        )
-        chosen = (
-            F.when((pair["lt"] == "str") & (pair["rt"] == "str"), texts)
-            .when(pair["lt"].isin(*NUMBER_TYPES) & pair["rt"].isin(*NUMBER_TYPES), numbers)
-            .when((pair["lt"] == "dict") & (pair["rt"] == "dict"), records)
-        )
-        if list_depth > 0:
-            chosen = chosen.when(
-                (pair["lt"] == "list") & (pair["rt"] == "list"), list_similarity(l_value, r_value, list_depth - 1)
-            )
-        return chosen.otherwise(F.lit(0.0))
 
-    left, right = as_column(left), as_column(right)
-    typed = F.struct(
-        left.alias("l"), right.alias("r"), type_name(left).alias("lt"), type_name(right).alias("rt")
-    )
-    return let(typed, by_type)
+def value_similarity_sql(left: str, right: str, list_depth: int) -> str:
+    pair = f"p{list_depth}"
 
+    def number(side: str) -> str:
+        value = f"{pair}.{side}"
+        flag = f"CAST(try_variant_get({value}, '$', 'boolean') AS DOUBLE)"
+        return f"if({pair}.{side}t = 'bool', {flag}, try_variant_get({value}, '$', 'double'))"
 
-def _as_number(value: Column) -> Column:
-    flag = F.try_variant_get(value, "$", "boolean")
-    as_double = F.try_variant_get(value, "$", "double")
-    return F.coalesce(as_double, flag.cast("double"))
+    strings = let(
+        f"struct(try_variant_get({pair}.l, '$', 'string') AS l, try_variant_get({pair}.r, '$', 'string') AS r)",
+        "s",
+        char_overlap_sql("s.l", "s.r"),
+    )
+    records = value_match_sql(align_sql(top_level_sql(f"{pair}.l"), top_level_sql(f"{pair}.r")))
+    lists = f"WHEN {pair}.lt = 'list' AND {pair}.rt = 'list' THEN " + (
+        list_similarity_sql(f"{pair}.l", f"{pair}.r", list_depth - 1) if list_depth > 0 else "0D"
+    )
+    numbers = "('int', 'float', 'bool')"
+    chosen = f"""CASE
+        WHEN {pair}.lt = 'str' AND {pair}.rt = 'str' THEN {strings}
+        WHEN {pair}.lt IN {numbers} AND {pair}.rt IN {numbers}
+            THEN 1D / (1D + abs({number("l")} - {number("r")}))
+        WHEN {pair}.lt = 'dict' AND {pair}.rt = 'dict' THEN {records}
+        {lists}
+        ELSE 0D END"""
+    typed = (
+        f"struct({left} AS l, {right} AS r, {type_name_sql(left)} AS lt, {type_name_sql(right)} AS rt)"
+    )
+    return let(typed, pair, chosen)
 
 
 def list_similarity(left: Column | str, right: Column | str, list_depth: int = 1) -> Column:
     """Sum of the similarities of elements at equal places over the longer length; 0 if both are empty."""
-    lists = F.struct(as_list(left).alias("l"), as_list(right).alias("r"))
+    return over(lambda left, right: list_similarity_sql(left, right, list_depth), left=left, right=right)
 
-    def mean(pair: Column) -> Column:
-        longest = F.greatest(F.size(pair["l"]), F.size(pair["r"]))
-        scores = F.zip_with(
-            pair["l"], pair["r"], lambda a, b: F.coalesce(value_similarity(a, b, list_depth), F.lit(0.0))
-        )
-        total = F.aggregate(scores, F.lit(0.0), lambda acc, score: acc + score)
-        return F.when(longest > 0, total / longest).otherwise(F.lit(0.0))
 
-    return let(lists, mean)
+def list_similarity_sql(left: str, right: str, list_depth: int) -> str:
+    lists = f"q{list_depth}"
+    score = f"coalesce({value_similarity_sql('a', 'b', list_depth)}, 0D)"
+    total = f"aggregate(zip_with({lists}.l, {lists}.r, (a, b) -> {score}), 0D, (total, x) -> total + x)"
+    longest = f"greatest(size({lists}.l), size({lists}.r))"
+    pair = (
+        f"struct(try_variant_get({left}, '$', 'array<variant>') AS l, "
+        f"try_variant_get({right}, '$', 'array<variant>') AS r)"
+    )
+    return let(pair, lists, f"if({longest} > 0, {total} / {longest}, 0D)")
 
 
 # --- vectors ----------------------------------------------------------------------
 
 
+def dot_sql(left: str, right: str) -> str:
+    products = f"zip_with({left}, {right}, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE))"
+    return f"aggregate({products}, 0D, (total, x) -> total + x)"
+
+
 def dot(left: Column | str, right: Column | str) -> Column:
-    products = F.zip_with(
-        as_column(left), as_column(right), lambda a, b: a.cast("double") * b.cast("double")
-    )
-    return F.aggregate(products, F.lit(0.0), lambda acc, product: acc + product)
+    return over(lambda left, right: dot_sql(left, right), left=left, right=right)
 
 
 def norm(vector: Column | str) -> Column:
-    return F.sqrt(dot(vector, vector))
+    return over(lambda vector: f"sqrt({dot_sql(vector, vector)})", vector=vector)
 
 
 def dense_cosine(left: Column | str, right: Column | str, left_norm: Column, right_norm: Column) -> Column:
     """Cosine of two dense vectors with their norms computed beforehand; 0 for a zero vector."""
-    scale = left_norm * right_norm
-    return F.when(scale > 0, dot(left, right) / scale).otherwise(F.lit(0.0))
+    return over(
+        lambda left, right, scale: f"if({scale} > 0, {dot_sql(left, right)} / {scale}, 0D)",
+        left=left,
+        right=right,
+        scale=left_norm * right_norm,
+    )
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), {literal(WORD_PATTERN)}, 0)"
 
 
 def hashed_counts(text: Column | str, size: int) -> Column:
@@ -121,17 +131,15 @@ def hashed_counts(text: Column | str, size: int) -> Column:
     The place comes from the first hexadecimal digits of the MD5 sum, so any other system
     can compute the same vector.
     """
+    return over(lambda text: hashed_counts_sql(text, size), text=text)
 
-    def histogram(places: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda place: F.size(F.filter(places, lambda p: p == place)).cast("float"),
-        )
 
-    places = F.transform(
-        words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % size)
+def hashed_counts_sql(text: str, size: int) -> str:
+    places = f"transform({_words_sql(text)}, w -> CAST(conv(substring(md5(w), 1, 6), 16, 10) AS INT) % {int(size)})"
+    histogram = (
+        f"transform(sequence(0, {int(size) - 1}), place -> CAST(size(filter(places, p -> p = place)) AS FLOAT))"
     )
-    return let(places, histogram)
+    return let(places, "places", histogram)
 
 
 def bag_cosine(left: Column | str, right: Column | str) -> Column:
@@ -140,47 +148,29 @@ def bag_cosine(left: Column | str, right: Column | str) -> Column:
     The words of both texts are sorted together and folded once with a state of fixed
     size, so long texts cost one sort and no quadratic counting.
     """
+    return over(lambda left, right: bag_cosine_sql(left, right), left=left, right=right)
+
+
+def bag_cosine_sql(left: str, right: str) -> str:
+    def tagged(text: str, side: int) -> str:
+        return f"transform({_words_sql(text)}, w -> struct(w AS word, {side} AS side))"
+
+    both = f"sort_array(concat({tagged(left, 0)}, {tagged(right, 1)}))"
+    # l and r count the current word; lr, ll and rr sum the products of finished words.
+    start = "struct('' AS word, 0L AS l, 0L AS r, 0L AS lr, 0L AS ll, 0L AS rr)"
+    step = """if(acc.word = x.word,
+        struct(x.word AS word, acc.l + 1L - x.side AS l, acc.r + x.side AS r,
+               acc.lr AS lr, acc.ll AS ll, acc.rr AS rr),
+        struct(x.word AS word, 1L - x.side AS l, 0L + x.side AS r,
+               acc.lr + acc.l * acc.r AS lr, acc.ll + acc.l * acc.l AS ll, acc.rr + acc.r * acc.r AS rr))"""
+    total = """struct(CAST(acc.lr + acc.l * acc.r AS DOUBLE) AS lr,
+        CAST(acc.ll + acc.l * acc.l AS DOUBLE) * CAST(acc.rr + acc.r * acc.r AS DOUBLE) AS scale)"""
+    cosine = let(total, "t", "if(t.scale > 0, t.lr / sqrt(t.scale), 0D)")
+    return f"aggregate({both}, {start}, (acc, x) -> {step}, acc -> {cosine})"
 
-    def tagged(text: Column | str, side: int) -> Column:
-        return F.transform(words(text), lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
-
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        F.lit("").alias("word"),
-        zero.alias("l"),
-        zero.alias("r"),
-        zero.alias("lr"),
-        zero.alias("ll"),
-        zero.alias("rr"),
-    )
 
-    def step(acc: Column, item: Column) -> Column:
-        same = acc["word"] == item["word"]
-        on_left = (item["side"] == 0).cast("bigint")
-        on_right = (item["side"] == 1).cast("bigint")
-        return F.struct(
-            item["word"].alias("word"),
-            (F.when(same, acc["l"]).otherwise(zero) + on_left).alias("l"),
-            (F.when(same, acc["r"]).otherwise(zero) + on_right).alias("r"),
-            (acc["lr"] + F.when(same, zero).otherwise(acc["l"] * acc["r"])).alias("lr"),
-            (acc["ll"] + F.when(same, zero).otherwise(acc["l"] * acc["l"])).alias("ll"),
-            (acc["rr"] + F.when(same, zero).otherwise(acc["r"] * acc["r"])).alias("rr"),
-        )
-
-    def finish(acc: Column) -> Column:
-        lr = acc["lr"] + acc["l"] * acc["r"]
-        ll = acc["ll"] + acc["l"] * acc["l"]
-        rr = acc["rr"] + acc["r"] * acc["r"]
-        product = ll.cast("double") * rr.cast("double")
-        return F.when(product > 0, lr.cast("double") / F.sqrt(product)).otherwise(F.lit(0.0))
-
-    both = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
-    return F.aggregate(both, start, step, finish)
-
-
-def field_bag_cosine(field: Column) -> Column:
-    """Word-count cosine of the two ``key: value`` texts of an aligned field."""
-    return bag_cosine(field_text(field["path"], field["l_text"]), field_text(field["path"], field["r_text"]))
+# Word-count cosine of the two "key: value" texts of an aligned field `f`.
+FIELD_BAG_COSINE = bag_cosine_sql("concat(f.path, ': ', f.l_text)", "concat(f.path, ': ', f.r_text)")
 
 
 # --- sequence ratio ---------------------------------------------------------------

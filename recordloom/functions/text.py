@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column, let
+from recordloom.functions.columns import as_column, let, literal, over
 
 # They must equal the original behaviour for results to match.
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -57,14 +57,14 @@ def repair_record_text(text: Column | str, repair: str = "parity") -> Column:
 
 
 def _translate_literals(text: Column) -> Column:
-    def outside(segment: Column) -> Column:
-        segment = F.regexp_replace(segment, r"\b(?:None|nan)\b", "null")
-        segment = F.regexp_replace(segment, r"\bTrue\b", "true")
-        return F.regexp_replace(segment, r"\bFalse\b", "false")
-
     segments = F.split(text, r'(?<!\\)"', -1)
-    return F.array_join(
-        F.transform(segments, lambda s, i: F.when(i % 2 == 0, outside(s)).otherwise(s)), '"'
+    none, true, false = (literal(rf"\b(?:{word})\b") for word in ("None|nan", "True", "False"))
+    outside = (
+        f"regexp_replace(regexp_replace(regexp_replace(s, {none}, 'null'), {true}, 'true'), {false}, 'false')"
+    )
+    return over(
+        lambda segments: f"array_join(transform({segments}, (s, i) -> if(i % 2 = 0, {outside}, s)), '\"')",
+        segments=segments,
     )
 
 
@@ -83,32 +83,27 @@ def first_json_object(text: Column | str) -> Column:
     """
     text = as_column(text)
     pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
-    zero = F.lit(0)
-    start = F.struct(
-        zero.alias("offset"), zero.alias("depth"), zero.alias("first"), zero.alias("last")
-    )
-
-    def step(acc: Column, piece: Column) -> Column:
-        offset = acc["offset"] + F.length(piece)
-        opens = F.endswith(piece, F.lit("{"))
-        depth = acc["depth"] + F.when(opens, 1).otherwise(-1)
-        begins = opens & (acc["depth"] == 0)
-        closes = ~opens & (depth == 0)
-        moved = F.struct(
-            offset.alias("offset"),
-            depth.alias("depth"),
-            F.when(begins, offset).otherwise(acc["first"]).alias("first"),
-            F.when(closes, offset).otherwise(zero).alias("last"),
-        )
-        return F.when(acc["last"] > 0, acc).otherwise(moved)
-
-    def cut(found: Column) -> Column:
-        return F.when(
-            found["last"] > 0, F.substring(text, found["first"], found["last"] - found["first"] + 1)
-        )
-
-    folded = let(F.aggregate(pieces, start, step), cut)
-    return F.when(F.contains(text, F.lit("{")) & F.contains(text, F.lit("}")), folded)
+    step = """
+        CASE WHEN acc.last > 0 THEN acc
+             WHEN endswith(piece, '{') THEN struct(
+                 acc.offset + length(piece) AS offset,
+                 acc.depth + 1 AS depth,
+                 if(acc.depth = 0, acc.offset + length(piece), acc.first) AS first,
+                 0 AS last)
+             ELSE struct(
+                 acc.offset + length(piece) AS offset,
+                 acc.depth - 1 AS depth,
+                 acc.first AS first,
+                 if(acc.depth = 1, acc.offset + length(piece), 0) AS last)
+        END"""
+
+    def body(text: str, pieces: str) -> str:
+        start = "struct(0 AS offset, 0 AS depth, 0 AS first, 0 AS last)"
+        found = f"aggregate({pieces}, {start}, (acc, piece) -> {step})"
+        cut = f"CASE WHEN f.last > 0 THEN substring({text}, f.first, f.last - f.first + 1) END"
+        return let(found, "f", cut)
+
+    return F.when(F.contains(text, F.lit("{")) & F.contains(text, F.lit("}")), over(body, text=text, pieces=pieces))
 
 
 def tokens(text: Column | str) -> Column:
@@ -138,7 +133,11 @@ def chunks(text: Column | str, size: int, overlap: int) -> Column:
     step = size - overlap
     last = F.greatest(F.length(text) - overlap - 1, F.lit(0))
     starts = F.sequence(F.lit(0), last, F.lit(step))
-    return F.transform(starts, lambda start: F.substring(text, start + 1, F.lit(size)))
+    return over(
+        lambda text, starts: f"transform({starts}, start -> substring({text}, start + 1, {int(size)}))",
+        text=text,
+        starts=starts,
+    )
 
 
 def run_id(moment: Column | str) -> Column:

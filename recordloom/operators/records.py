@@ -7,14 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import let
+from recordloom.functions.columns import over
 from recordloom.functions.records import (
     DEFAULT_DEPTH,
     as_map,
-    flatten_record,
+    name_of_schema_sql,
     nesting_depth,
     parse_record,
     type_name,
+    value_text_sql,
 )
 
 # Reasons for which a record is set aside.
@@ -44,19 +45,58 @@ def pack_record(df: DataFrame, text: str, null_as: str | None = None) -> Column:
 
 def rejection_reason(record: Column) -> Column:
     """Why a parsed record cannot be used; null when it can."""
-    return let(
-        F.struct(record.alias("v"), as_map(record).alias("m")),
-        lambda r: F.when(r["v"].isNull(), NOT_JSON)
-        .when(r["m"].isNull(), NOT_OBJECT)
-        .when(F.size(r["m"]) == 0, EMPTY_RECORD),
+    return over(
+        lambda record, entries: f"""CASE
+            WHEN {record} IS NULL THEN '{NOT_JSON}'
+            WHEN {entries} IS NULL THEN '{NOT_OBJECT}'
+            WHEN size({entries}) = 0 THEN '{EMPTY_RECORD}' END""",
+        record=record,
+        entries=as_map(record),
     )
 
 
-def explode_fields(df: DataFrame, record_text: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """One row per leaf field of each record, next to the other columns of the table."""
-    others = [name for name in df.columns if name != record_text]
-    leaves = flatten_record(parse_record(record_text), max_depth)
-    return df.select(*others, F.inline(leaves))
+# One level of taking nodes apart. Leaves pass through: exploding null gives one empty row.
+# A list inside a list is a leaf, so it is not opened; only a list has an element 0.
+_OPENED = """CASE WHEN n.done OR (n.in_list AND try_variant_get(n.value, '$[0]', 'variant') IS NOT NULL)
+             THEN NULL ELSE n.value END"""
+_LEVEL = f"""
+    SELECT {{others}}
+      CASE WHEN c.pos IS NULL THEN n.path
+           WHEN c.key IS NULL THEN concat(n.path, '[', c.pos, ']')
+           WHEN n.path IS NULL THEN c.key
+           ELSE concat(n.path, ' ', c.key) END AS path,
+      coalesce(c.value, n.value) AS value,
+      if(c.pos IS NULL, n.in_list, c.key IS NULL) AS in_list,
+      c.pos IS NULL AS done
+    FROM {{nodes}} AS n, LATERAL variant_explode_outer({_OPENED}) AS c
+    WHERE c.pos IS NOT NULL OR n.done
+       OR NOT (to_json(n.value) = '{{{{}}}}' OR (NOT n.in_list AND to_json(n.value) = '[]'))"""
+
+
+def explode_fields(df: DataFrame, record: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+    """One row per leaf field of each record (a VARIANT column), next to the other columns.
+
+    The fields are those of `recordloom.functions.records.flatten_record`. Each level is one
+    generator over the rows of the level before, so the table is scanned once and nothing
+    is shuffled or collected.
+    """
+    spark = df.sparkSession
+    others = [name for name in df.columns if name != record]
+    listed = "".join(f"n.`{name}`, " for name in others)
+    nodes = df.select(
+        *others,
+        F.lit(None).cast("string").alias("path"),
+        F.when(as_map(record).isNotNull(), F.col(record)).alias("value"),
+        F.lit(False).alias("in_list"),
+        F.lit(False).alias("done"),
+    )
+    for _ in range(max_depth):
+        nodes = spark.sql(_LEVEL.replace("{others}", listed), nodes=nodes)
+    named = nodes.withColumn("_schema", F.schema_of_variant("value"))
+    typed = named.withColumn("type", F.expr(name_of_schema_sql("_schema")))
+    deeper = F.expr("NOT done AND (type = 'dict' OR (type = 'list' AND NOT in_list))")
+    text = F.expr(value_text_sql("value", "type"))
+    return typed.select(*others, "path", "type", text.alias("text"), deeper.alias("deeper"))
 
 
 def deepest_record(df: DataFrame, record_text: str) -> DataFrame:

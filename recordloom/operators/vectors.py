@@ -10,8 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column
-from recordloom.functions.similarity import dense_cosine, norm
+from recordloom.functions.columns import as_column, let, over
+from recordloom.functions.similarity import dense_cosine, dot_sql, hashed_counts_sql
 
 LEFT = "Dict 1"
 RIGHT = "Dict 2"
@@ -69,16 +69,11 @@ def pair_points(vectors: Column | str, k: int = COMPONENTS) -> Column:
     return project(as_column(vectors))
 
 
-def labelled(fields: Column | str, side: str, vector) -> Column:
+def labelled_vectors(fields: Column | str, side: str, size: int) -> Column:
     """Fields of one side as ARRAY<STRUCT<label, vector, norm>>, each vector and norm computed once."""
-    embedded = F.transform(
-        as_column(fields),
-        lambda f: F.struct(F.concat(f["path"], F.lit(f" ({side})")).alias("label"), vector(f).alias("vector")),
-    )
-    return F.transform(
-        embedded,
-        lambda e: F.struct(e["label"].alias("label"), e["vector"].alias("vector"), norm(e["vector"]).alias("norm")),
-    )
+    vector = hashed_counts_sql("concat(x.path, ': ', x.text)", size)
+    entry = f"struct(concat(x.path, ' ({side})') AS label, v AS vector, sqrt({dot_sql('v', 'v')}) AS norm)"
+    return over(lambda fields: f"transform({fields}, x -> {let(vector, 'v', entry)})", fields=fields)
 
 
 def cosine_table(df: DataFrame, key: str, left: str, right: str) -> DataFrame:

@@ -11,17 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import let
+from recordloom.functions.columns import let, over
 from recordloom.functions.fields import (
     COMPARE_THRESHOLD,
     DECISION_THRESHOLD,
+    LEAVES_TYPE,
+    ON_BOTH_SIDES,
+    TO_COMPARE,
     align_fields,
-    decide,
     decision_score,
+    decision_sql,
     key_jaccard,
     key_overlap,
     last_wins,
-    on_both_sides,
     value_match,
     weighted_error,
 )
@@ -36,16 +38,15 @@ from recordloom.functions.records import (
     top_level_fields,
 )
 from recordloom.functions.similarity import (
+    FIELD_BAG_COSINE,
     dense_cosine,
-    field_bag_cosine,
-    hashed_counts,
     norm,
     sequence_ratio,
     sequence_ratios,
 )
 from recordloom.operators.python_batches import EmbedderFactory, GeneratorFactory, embed_distinct, generate
 from recordloom.operators.tfidf import mean_pair_tfidf
-from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled, pair_points
+from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled_vectors, pair_points
 
 # Recommended weights of the four measures.
 RECOMMENDED_WEIGHTS = {
@@ -70,7 +71,7 @@ def with_fields(
 
     def leaves(record: str) -> Column:
         found = flatten_record(record, max_depth) if flat else top_level_fields(record)
-        return F.coalesce(found, F.array().cast("array<struct<path:string,type:string,text:string,deeper:boolean>>"))
+        return F.coalesce(found, F.array().cast(LEAVES_TYPE))
 
     return pairs.withColumn("fields", align_fields(leaves(left), leaves(right)))
 
@@ -100,16 +101,16 @@ def mean_sequence_ratio(fields: str, autojunk: bool = True) -> Column:
 
     Equal values count 1 without being sent to Python.
     """
-    common = F.filter(F.col(fields), on_both_sides)
-    differing = F.filter(
-        F.col(fields), lambda f: on_both_sides(f) & (f["l_text"] != f["r_text"])
-    )
+    differing = f"filter({fields}, f -> {TO_COMPARE})"
     scores = sequence_ratios(
-        F.transform(differing, lambda f: f["l_text"]), F.transform(differing, lambda f: f["r_text"]), autojunk
+        F.expr(f"transform({differing}, f -> f.l_text)"), F.expr(f"transform({differing}, f -> f.r_text)"), autojunk
+    )
+    return over(
+        lambda scores, common: f"""if({common} > 0,
+            (aggregate({scores}, 0D, (total, x) -> total + x) + {common} - size({scores})) / {common}, 0D)""",
+        scores=scores,
+        common=F.expr(f"size(filter({fields}, f -> {ON_BOTH_SIDES}))"),
     )
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, score: acc + score)
-    count = F.size(common)
-    return F.when(count > 0, (total + (count - F.size(differing))) / count).otherwise(F.lit(0.0))
 
 
 def basic_similarities(
@@ -129,8 +130,7 @@ def basic_similarities(
 def value_texts(record: str, flat: bool = False) -> Column:
     """Texts of the values of a record in the order of its keys."""
     leaves = last_wins(flatten_record(record)) if flat else top_level_fields(record)
-    texts = F.transform(leaves, lambda f: f["text"])
-    return F.coalesce(texts, F.array().cast("array<string>"))
+    return F.coalesce(leaves.getField("text"), F.array().cast("array<string>"))
 
 
 def similarities_with_tfidf(
@@ -182,36 +182,21 @@ def with_decisions(
     """
     aligned = with_fields(pairs, left, right, **options)
     if embedder is None:
-        return aligned.withColumn("decisions", _decide_all(threshold, field_bag_cosine))
-    scores = _embedded_scores(aligned, key, embedder)
-    scored = aligned.join(scores, key, "left")
-
-    def looked_up(field: Column) -> Column:
-        return F.element_at(F.col("_scores"), field["path"])
+        return aligned.withColumn("decisions", F.expr(_decisions_sql(threshold, FIELD_BAG_COSINE)))
+    scored = aligned.join(_embedded_scores(aligned, key, embedder), key, "left")
+    looked_up = "element_at(_scores, f.path)"
+    return scored.withColumn("decisions", F.expr(_decisions_sql(threshold, looked_up))).drop("_scores")
 
-    return scored.withColumn("decisions", _decide_all(threshold, looked_up)).drop("_scores")
 
-
-def _decide_all(threshold: float, similarity) -> Column:
-    def row(field: Column) -> Column:
-        compared = F.when(on_both_sides(field) & (field["l_text"] != field["r_text"]), similarity(field))
-        return let(
-            F.coalesce(compared, F.when(field["l_text"] == field["r_text"], F.lit(1.0))),
-            lambda score: F.struct(
-                field["path"].alias("path"),
-                field["l_text"].alias("l_text"),
-                field["r_text"].alias("r_text"),
-                score.alias("similarity"),
-                decide(field, score, threshold).alias("decision"),
-            ),
-        )
-
-    return F.transform(F.col("fields"), row)
+def _decisions_sql(threshold: float, similarity: str) -> str:
+    score = f"CASE WHEN {TO_COMPARE} THEN {similarity} WHEN f.l_text = f.r_text THEN 1D END"
+    row = f"""struct(f.path AS path, f.l_text AS l_text, f.r_text AS r_text, score AS similarity,
+        {decision_sql("score", threshold)} AS decision)"""
+    return f"transform(fields, f -> {let(score, 'score', row)})"
 
 
 def _embedded_scores(aligned: DataFrame, key: str, embedder: EmbedderFactory) -> DataFrame:
-    compared = F.filter("fields", lambda f: on_both_sides(f) & (f["l_text"] != f["r_text"]))
-    fields = aligned.select(key, F.explode(compared).alias("f"))
+    fields = aligned.select(key, F.expr(f"explode(filter(fields, f -> {TO_COMPARE})) AS f"))
     texts = F.array(
         *[
             F.struct(F.lit(side).alias("side"), field_text(F.col("f.path"), F.col(f"f.{side}_text")).alias("text"))
@@ -235,7 +220,7 @@ def decision_details(pairs: DataFrame, key: str, left: str, right: str, **option
 
 
 def _score(decisions: str = "decisions") -> Column:
-    return decision_score(F.transform(decisions, lambda d: d["decision"]))
+    return decision_score(decisions)
 
 
 def decision_scores(pairs: DataFrame, key: str, left: str, right: str, **options) -> DataFrame:
@@ -291,16 +276,12 @@ def corpus_summary(compared: DataFrame) -> DataFrame:
 # --- data behind plots --------------------------------------------------------------
 
 
-def _field_vectors(record: str, side: str, size: int) -> Column:
-    return labelled(
-        last_wins(flatten_record(record)), side, lambda f: hashed_counts(field_text(f["path"], f["text"]), size)
-    )
-
-
 def _with_vectors(pairs: DataFrame, key: str, left: str, right: str, size: int) -> DataFrame:
-    return pairs.select(
-        key, _field_vectors(left, LEFT, size).alias("_l"), _field_vectors(right, RIGHT, size).alias("_r")
-    )
+    sides = [
+        labelled_vectors(last_wins(flatten_record(record)), side, size).alias(name)
+        for record, side, name in ((left, LEFT, "_l"), (right, RIGHT, "_r"))
+    ]
+    return pairs.select(key, *sides)
 
 
 def similarity_matrix(pairs: DataFrame, key: str, left: str, right: str, size: int = HASHED_SIZE) -> DataFrame:
@@ -317,15 +298,10 @@ def similarity_block(pairs: DataFrame, key: str, left: str, right: str, size: in
 def plot_points(pairs: DataFrame, key: str, left: str, right: str, size: int = HASHED_SIZE) -> DataFrame:
     """Three coordinates for every field of each pair, from the principal components of the pair."""
     both = _with_vectors(pairs, key, left, right, size).select(key, F.concat("_l", "_r").alias("_all"))
-    points = pair_points(F.transform("_all", lambda f: f["vector"]))
-    placed = F.zip_with(
-        F.transform("_all", lambda f: f["label"]),
-        points,
-        lambda label, point: F.struct(
-            label.alias("label"), point[0].alias("x"), point[1].alias("y"), point[2].alias("z")
-        ),
-    )
-    return both.select(key, F.inline(placed))
+    placed = both.withColumn("_points", pair_points(F.col("_all.vector"), 3))
+    rows = """inline(zip_with(_all, _points,
+        (f, p) -> struct(f.label AS label, p[0] AS x, p[1] AS y, p[2] AS z)))"""
+    return placed.select(key, F.expr(rows))
 
 
 # --- from model outputs -------------------------------------------------------------

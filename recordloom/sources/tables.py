@@ -16,6 +16,16 @@ def table_from_rows(spark: SparkSession, rows: Sequence, schema: T.StructType |
     return spark.createDataFrame(rows, schema)
 
 
+def spread_few_splits(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than there are cores over all of them.
+
+    Row-wise work on a table in one small file would otherwise run on one core. A table with
+    more splits than cores, any large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_training_table(df: DataFrame, path: str, fmt: str = "parquet", keep: Sequence[str] = ()) -> None:
     """Overwrite a training table with its four columns, and with `keep` in front of them.
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import fields as fld
 from recordloom.functions import prompts, records, similarity, text
-from recordloom.functions.columns import let
 from recordloom.operators import documents, lookup, order, python_batches, split, tfidf, vectors
 from recordloom.operators import records as record_ops
 from recordloom.plans import build, evaluate, training
@@ -430,8 +429,8 @@ def f8_schema_str(spark, sf_dir):
 
 @query
 def f9_flatten(spark, sf_dir):
-    fields = record_ops.explode_fields(derived.nested_records(spark, sf_dir), "record_json")
-    return fields.select("id", "path", "type", "text")
+    nested = derived.nested_records(spark, sf_dir).select("id", records.parse_record("record_json").alias("record"))
+    return record_ops.explode_fields(nested, "record").select("id", "path", "type", "text")
 
 
 @query
@@ -483,7 +482,7 @@ def f15_tokens(spark, sf_dir):
 
 @query
 def f16_tfidf(spark, sf_dir):
-    weights = tfidf.corpus_tfidf(derived.table(spark, sf_dir, "documents"), "doc_id", "text")
+    weights = tfidf.corpus_tfidf(derived.wide_table(spark, sf_dir, "documents"), "doc_id", "text")
     return weights.select("doc_id", "term", "tf", "df", rounded("tfidf", "tfidf"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.sources.tables import spread_few_splits
+
 PART_FIELDS = ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 LINE_FIELDS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
 
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for row-wise work that costs much more than reading it."""
+    return spread_few_splits(table(spark, sf_dir, name))
+
+
 def _part_json(**changes: Column | None) -> Column:
     """JSON of a part; a change replaces a field, adds one, or drops it with None."""
     fields = {name: F.col(name) for name in PART_FIELDS}
@@ -31,7 +38,7 @@ def _part_json(**changes: Column | None) -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1: one flat record per part."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _part_json().alias("record_json"))
+    return wide_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _part_json().alias("record_json"))
 
 
 def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,7 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(", 'x']")))
     )
     text = F.concat(F.lit("The part's name is '"), F.col("p_name"), F.lit("' and it is "), F.col("p_type"))
-    return table(spark, sf_dir, "part").select(
+    return wide_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), text.alias("input"), output.alias("output")
     )
 
@@ -102,7 +109,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, _part_json(p_size=F.col("p_size").cast("string")))
         .otherwise(_part_json(p_type=None, kind=F.col("p_type")))
     )
-    return table(spark, sf_dir, "part").select(
+    return wide_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("pair_id"),
         _part_json().alias("expected_json"),
         predicted.alias("predicted_json"),
@@ -126,7 +133,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.expr("substring({0}, 1, length({0}) - 1)".format("_json")))
     )
     return (
-        table(spark, sf_dir, "part")
+        wide_table(spark, sf_dir, "part")
         .withColumn("_json", _part_json())
         .select(
             F.col("p_partkey").alias("id"),
