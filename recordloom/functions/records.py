@@ -24,14 +24,19 @@ DIRECTIONS = ("schema_to_json", "json_to_schema")
 def parse_record(text: Column | str) -> Column:
     """Parse JSON text strictly into a VARIANT; null when the text is not exactly one JSON value.
 
-    The parser stops after the first value and ignores what follows. Wrapping the text in
-    two different brackets makes any leftover visible: text that closes one early cannot
-    close the other.
+    The parser stops after the first value and ignores what follows. So the text is parsed as
+    the first item of a list whose second item is the MD5 sum of the text: any other value,
+    bracket or leftover in the text moves that item from its place or ends the list before it.
     """
     text = as_column(text)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    return F.when(listed.isNotNull(), F.try_variant_get(named, "$.r", "variant"))
+    mark = F.md5(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return over(
+        lambda listed, mark: f"""if(try_variant_get({listed}, '$[1]', 'string') = {mark},
+            try_variant_get({listed}, '$[0]', 'variant'), NULL)""",
+        listed=listed,
+        mark=mark,
+    )
 
 
 def parse_output(text: Column | str) -> Column:

@@ -137,7 +137,7 @@ def hashed_counts(text: Column | str, size: int) -> Column:
 def hashed_counts_sql(text: str, size: int) -> str:
     places = f"transform({_words_sql(text)}, w -> CAST(conv(substring(md5(w), 1, 6), 16, 10) AS INT) % {int(size)})"
     histogram = (
-        f"transform(sequence(0, {int(size) - 1}), place -> CAST(size(filter(places, p -> p = place)) AS FLOAT))"
+        f"transform(sequence(0, {int(size) - 1}), place -> CAST(size(places) - size(array_remove(places, place)) AS FLOAT))"
     )
     return let(places, "places", histogram)
 

@@ -20,4 +20,5 @@ def join_pages(parts: DataFrame, document: str, pos: str, text: str) -> DataFram
 
 def split_into_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
     """One row per overlapping piece of each text."""
-    return df.select(key, F.posexplode(chunks(text, size, overlap)).alias("pos", "chunk"))
+    pieces = df.select(key, F.posexplode_outer(chunks(text, size, overlap)).alias("pos", "chunk"))
+    return pieces.where("pos IS NOT NULL")

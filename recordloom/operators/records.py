@@ -106,8 +106,8 @@ def deepest_record(df: DataFrame, record_text: str) -> DataFrame:
 
 def schema_profile(df: DataFrame, record_text: str) -> DataFrame:
     """How often each top-level key occurs with each type, over all records."""
-    entries = F.explode(F.map_entries(as_map(parse_record(record_text))))
-    typed = df.select(entries.alias("e")).select(
+    entries = F.explode_outer(F.map_entries(as_map(parse_record(record_text))))
+    typed = df.select(entries.alias("e")).where("e IS NOT NULL").select(
         F.col("e.key").alias("key"), type_name(F.col("e.value")).alias("type")
     )
     return typed.groupBy("key", "type").agg(F.count(F.lit(1)).alias("records"))

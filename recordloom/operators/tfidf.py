@@ -19,7 +19,8 @@ def smoothed_idf(documents: Column, document_frequency: Column) -> Column:
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     """How often each term occurs in each document."""
-    exploded = df.select(key, F.explode(tokens(text)).alias("term"))
+    # the outer form: the optimizer would tokenise twice to filter out texts without tokens
+    exploded = df.select(key, F.explode_outer(tokens(text)).alias("term")).where("term IS NOT NULL")
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -62,8 +63,8 @@ def pair_tfidf(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
         key,
         (size_left + size_right).alias("docs"),
         F.least(size_left, size_right).alias("compared"),
-        F.explode(F.concat(side_of(left, 0), side_of(right, 1))).alias("v"),
-    )
+        F.explode_outer(F.concat(side_of(left, 0), side_of(right, 1))).alias("v"),
+    ).where("v IS NOT NULL")
     terms = values.select(
         key, "docs", "compared", "v.pos", "v.side", F.explode_outer("v.terms").alias("term")
     )

@@ -82,7 +82,7 @@ def cosine_table(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     The table has as many rows per pair as its records have field combinations, because that
     matrix is the result asked for; fields of different pairs never meet.
     """
-    rows = df.select(key, F.explode(left).alias("l"), F.col(right).alias("_rights"))
-    cells = rows.select(key, "l", F.explode("_rights").alias("r"))
+    rows = df.select(key, F.explode_outer(left).alias("l"), F.col(right).alias("_rights"))
+    cells = rows.select(key, "l", F.explode_outer("_rights").alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
     cosine = dense_cosine(F.col("l.vector"), F.col("r.vector"), F.col("l.norm"), F.col("r.norm"))
     return cells.select(key, F.col("l.label").alias("left"), F.col("r.label").alias("right"), cosine.alias("cosine"))

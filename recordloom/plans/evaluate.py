@@ -4,6 +4,9 @@ A table of pairs has a unique key and two VARIANT columns. Fields are aligned in
 row (see `recordloom.functions.fields`), so the measures, the decisions and the weighted
 error come out of the scan stage without a shuffle. Only a plugged-in embedder and TF-IDF
 need to move data.
+
+Arrays become rows by the outer generators: for the inner ones the optimizer adds a filter on
+the size of the array below them, which computes the whole array a second time.
 """
 
 from __future__ import annotations
@@ -78,7 +81,7 @@ def with_fields(
 
 def field_rows(pairs: DataFrame, key: str, left: str, right: str, **options) -> DataFrame:
     """Full outer match of the fields of each pair as rows: key, path and both values."""
-    return with_fields(pairs, left, right, **options).select(key, F.inline("fields"))
+    return with_fields(pairs, left, right, **options).select(key, F.inline_outer("fields")).where("path IS NOT NULL")
 
 
 def missing_fields(pairs: DataFrame, key: str, left: str, right: str, **options) -> DataFrame:
@@ -90,7 +93,8 @@ def missing_fields(pairs: DataFrame, key: str, left: str, right: str, **options)
 
 def last_win_rows(df: DataFrame, key: str, record: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """One row per path of each record; on equal paths the last value stands."""
-    return df.select(key, F.inline(last_wins(flatten_record(record, max_depth))))
+    leaves = last_wins(flatten_record(record, max_depth))
+    return df.select(key, F.inline_outer(leaves)).where("path IS NOT NULL")
 
 
 # --- basic similarities -------------------------------------------------------------
@@ -196,14 +200,15 @@ def _decisions_sql(threshold: float, similarity: str) -> str:
 
 
 def _embedded_scores(aligned: DataFrame, key: str, embedder: EmbedderFactory) -> DataFrame:
-    fields = aligned.select(key, F.expr(f"explode(filter(fields, f -> {TO_COMPARE})) AS f"))
+    fields = aligned.select(key, F.expr(f"explode_outer(filter(fields, f -> {TO_COMPARE})) AS f"))
+    fields = fields.where("f IS NOT NULL")
     texts = F.array(
         *[
             F.struct(F.lit(side).alias("side"), field_text(F.col("f.path"), F.col(f"f.{side}_text")).alias("text"))
             for side in ("l", "r")
         ]
     )
-    rows = fields.select(key, F.col("f.path").alias("path"), F.inline(texts))
+    rows = fields.select(key, F.col("f.path").alias("path"), F.inline_outer(texts))
     vectors = embed_distinct(rows, "text", embedder, spread_by=[key, "path", "side"])
     sides = vectors.groupBy(key, "path").agg(
         F.max(F.when(F.col("side") == "l", F.col("vector"))).alias("l"),
@@ -216,7 +221,8 @@ def _embedded_scores(aligned: DataFrame, key: str, embedder: EmbedderFactory) ->
 
 def decision_details(pairs: DataFrame, key: str, left: str, right: str, **options) -> DataFrame:
     """One row per field of each pair with both values, their similarity and the decision."""
-    return with_decisions(pairs, key, left, right, **options).select(key, F.inline("decisions"))
+    decided = with_decisions(pairs, key, left, right, **options)
+    return decided.select(key, F.inline_outer("decisions")).where("path IS NOT NULL")
 
 
 def _score(decisions: str = "decisions") -> Column:
@@ -299,9 +305,9 @@ def plot_points(pairs: DataFrame, key: str, left: str, right: str, size: int = H
     """Three coordinates for every field of each pair, from the principal components of the pair."""
     both = _with_vectors(pairs, key, left, right, size).select(key, F.concat("_l", "_r").alias("_all"))
     placed = both.withColumn("_points", pair_points(F.col("_all.vector"), 3))
-    rows = """inline(zip_with(_all, _points,
+    rows = """inline_outer(zip_with(_all, _points,
         (f, p) -> struct(f.label AS label, p[0] AS x, p[1] AS y, p[2] AS z)))"""
-    return placed.select(key, F.expr(rows))
+    return placed.select(key, F.expr(rows)).where("label IS NOT NULL")
 
 
 # --- from model outputs -------------------------------------------------------------

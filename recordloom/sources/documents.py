@@ -38,7 +38,8 @@ def scan_documents(
         for batch in batches:
             yield batch.map(lambda content: list(decode(content)))
 
-    return files.select("file_name", F.posexplode(pages("content")).alias("pos", "text"))
+    decoded = files.select("file_name", F.posexplode_outer(pages("content")).alias("pos", "text"))
+    return decoded.where("pos IS NOT NULL")
 
 
 def has_suffix(name: Column | str, suffix: str) -> Column:

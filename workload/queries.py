@@ -416,8 +416,8 @@ def f6_rename_json_to_schema(spark, sf_dir):
 @query
 def f7_type_names(spark, sf_dir):
     entries = derived.nested_records(spark, sf_dir).select(
-        "id", F.explode(F.map_entries(records.as_map(records.parse_record("record_json")))).alias("e")
-    )
+        "id", F.explode_outer(F.map_entries(records.as_map(records.parse_record("record_json")))).alias("e")
+    ).where("e IS NOT NULL")
     return entries.select("id", F.col("e.key").alias("key"), records.type_name(F.col("e.value")).alias("type"))
 
 
@@ -464,7 +464,7 @@ def f13_char_overlap(spark, sf_dir):
 def f14_value_similarity(spark, sf_dir):
     both = _parsed_pairs(spark, sf_dir).select(
         "pair_id",
-        F.explode(F.map_entries(records.as_map("expected_json"))).alias("e"),
+        F.explode_outer(F.map_entries(records.as_map("expected_json"))).alias("e"),
         records.as_map("predicted_json").alias("other"),
     )
     common = both.where(F.map_contains_key("other", F.col("e.key")))

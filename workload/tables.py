@@ -49,7 +49,7 @@ def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct(*LINE_FIELDS))).alias("lines"))
     )
     orders = table(spark, sf_dir, "orders")
-    joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    joined = orders.join(lines.hint("merge"), orders.o_orderkey == lines.l_orderkey, "left")
     kind = "array<struct<{}>>".format(
         ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in lines.schema["lines"].dataType.elementType.fields)
     )
