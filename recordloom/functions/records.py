@@ -28,15 +28,13 @@ def parse_record(text: Column | str) -> Column:
     the first item of a list whose second item is the MD5 sum of the text: any other value,
     bracket or leftover in the text moves that item from its place or ends the list before it.
     """
-    text = as_column(text)
-    mark = F.md5(text)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    return over(
-        lambda listed, mark: f"""if(try_variant_get({listed}, '$[1]', 'string') = {mark},
-            try_variant_get({listed}, '$[0]', 'variant'), NULL)""",
-        listed=listed,
-        mark=mark,
-    )
+    return over(lambda text: parse_sql(text), text=text)
+
+
+def parse_sql(text: str) -> str:
+    listed = f"try_parse_json(concat('[', {text}, ',\"', mark, '\"]'))"
+    first = "if(try_variant_get(listed, '$[1]', 'string') = mark, try_variant_get(listed, '$[0]', 'variant'), NULL)"
+    return let(f"md5({text})", "mark", let(listed, "listed", first))
 
 
 def parse_output(text: Column | str) -> Column:
@@ -102,7 +100,7 @@ def json_text_sql(value: str, depth: int, item_sep: str = ",", key_sep: str = ":
     if depth == 0:
         return scalar
     entry, item = f"e{depth}", f"i{depth}"
-    members = f"transform(map_entries({_map_sql(value)}), {entry} -> {_entry_sql(entry, depth, item_sep, key_sep)})"
+    members = f"transform(map_entries({map_sql(value)}), {entry} -> {_entry_sql(entry, depth, item_sep, key_sep)})"
     items = f"transform({_list_sql(value)}, {item} -> {json_text_sql(item, depth - 1, item_sep, key_sep)})"
     sep = literal(item_sep)
     return (
@@ -116,7 +114,7 @@ def _entry_sql(entry: str, depth: int, item_sep: str = ",", key_sep: str = ":")
     return f"concat({key}, {literal(key_sep)}, {json_text_sql(entry + '.value', depth - 1, item_sep, key_sep)})"
 
 
-def _map_sql(value: str) -> str:
+def map_sql(value: str) -> str:
     return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
 
@@ -143,27 +141,31 @@ def rename_keys(record: Column, mapping: dict[str, str], direction: str = "schem
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
+    return over(lambda record: rename_sql(record, mapping, direction), record=record)
+
+
+def rename_sql(record: str, mapping: dict[str, str], direction: str = "schema_to_json") -> str:
+    if not mapping:
+        return f"if(size({record}) > 0, {record}, NULL)"
     flip = direction == "json_to_schema"
     steps = ", ".join(
         f"struct({literal(new if flip else old)} AS old, {literal(old if flip else new)} AS new)"
         for old, new in mapping.items()
     )
-
-    def body(record: str) -> str:
-        if not mapping:
-            return f"if(size({record}) > 0, {record}, NULL)"
-        rest = "map_filter(m, (k, v) -> k != step.old AND k != step.new)"
-        rename = f"if(map_contains_key(m, step.old), map_concat({rest}, map(step.new, element_at(m, step.old))), m)"
-        ordered = "map_from_arrays(sort_array(map_keys(r)), transform(sort_array(map_keys(r)), k -> element_at(r, k)))"
-        renamed = f"aggregate(array({steps}), {record}, (m, step) -> {rename})"
-        return f"if(size({record}) > 0, {let(renamed, 'r', ordered)}, NULL)"
-
-    return over(body, record=record)
+    rest = "map_filter(m, (k, v) -> k != step.old AND k != step.new)"
+    rename = f"if(map_contains_key(m, step.old), map_concat({rest}, map(step.new, element_at(m, step.old))), m)"
+    ordered = "map_from_arrays(sort_array(map_keys(r)), transform(sort_array(map_keys(r)), k -> element_at(r, k)))"
+    renamed = f"aggregate(array({steps}), {record}, (m, step) -> {rename})"
+    return f"if(size({record}) > 0, {let(renamed, 'r', ordered)}, NULL)"
 
 
 def schema_map(record: Column) -> Column:
     """MAP of key to type name for a MAP<STRING,VARIANT>."""
-    return over(lambda record: f"transform_values({record}, (k, v) -> {type_name_sql('v')})", record=record)
+    return over(lambda record: schema_map_sql(record), record=record)
+
+
+def schema_map_sql(record: str) -> str:
+    return f"transform_values({record}, (k, v) -> {type_name_sql('v')})"
 
 
 def schema_text(record: Column) -> Column:
@@ -186,7 +188,7 @@ def flatten_record(record: Column | str, max_depth: int = DEFAULT_DEPTH) -> Colu
 
 
 def flatten_sql(record: str, max_depth: int = DEFAULT_DEPTH) -> str:
-    nodes = f"transform(map_entries({_map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
+    nodes = f"transform(map_entries({map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
     for _ in range(max_depth - 1):
         expanded = f"flatten(transform(nodes, n -> {_EXPANDED_NODE}))"
         nodes = let(nodes, "nodes", f"if(exists(nodes, n -> NOT n.done), {expanded}, nodes)")
@@ -198,7 +200,7 @@ def _node_sql(path: str, value: str, in_list: bool = False, done: bool = False)
 
 
 _MEMBERS = (
-    f"transform(map_entries({_map_sql('n.value')}), e -> {_node_sql("concat(n.path, ' ', e.key)", 'e.value')})"
+    f"transform(map_entries({map_sql('n.value')}), e -> {_node_sql("concat(n.path, ' ', e.key)", 'e.value')})"
 )
 _ITEMS = (
     f"transform({_list_sql('n.value')}, "
@@ -209,7 +211,7 @@ _EXPANDED_NODE = f"""CASE WHEN n.done THEN array(n) ELSE coalesce(
     CASE WHEN NOT n.in_list THEN {_ITEMS} END,
     array(struct(n.path AS path, n.value AS value, n.in_list AS in_list, true AS done))) END"""
 _NOT_EMPTY = f"""n.done OR NOT (
-    coalesce(size({_map_sql('n.value')}) = 0, false)
+    coalesce(size({map_sql('n.value')}) = 0, false)
     OR coalesce(NOT n.in_list AND size({_list_sql('n.value')}) = 0, false))"""
 
 
@@ -231,7 +233,7 @@ def top_level_sql(record: str) -> str:
         "name",
         f"struct(e.key AS path, name AS type, {value_text_sql('e.value', 'name')} AS text, false AS deeper)",
     )
-    return f"transform(map_entries({_map_sql(record)}), e -> {field})"
+    return f"transform(map_entries({map_sql(record)}), e -> {field})"
 
 
 def nesting_depth(text: Column | str) -> Column:

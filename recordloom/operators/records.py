@@ -7,7 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import over
 from recordloom.functions.records import (
     DEFAULT_DEPTH,
     as_map,
@@ -43,16 +42,12 @@ def pack_record(df: DataFrame, text: str, null_as: str | None = None) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *[entry(name) for name in names]), F.lit("}"))
 
 
-def rejection_reason(record: Column) -> Column:
-    """Why a parsed record cannot be used; null when it can."""
-    return over(
-        lambda record, entries: f"""CASE
-            WHEN {record} IS NULL THEN '{NOT_JSON}'
-            WHEN {entries} IS NULL THEN '{NOT_OBJECT}'
-            WHEN size({entries}) = 0 THEN '{EMPTY_RECORD}' END""",
-        record=record,
-        entries=as_map(record),
-    )
+def rejection_sql(record: str, entries: str) -> str:
+    """Why a parsed record with these entries cannot be used; null when it can."""
+    return f"""CASE
+        WHEN {record} IS NULL THEN '{NOT_JSON}'
+        WHEN {entries} IS NULL THEN '{NOT_OBJECT}'
+        WHEN size({entries}) = 0 THEN '{EMPTY_RECORD}' END"""
 
 
 # One level of taking nodes apart. Leaves pass through: exploding null gives one empty row.

@@ -25,8 +25,12 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
-    """In how many documents each term occurs."""
-    return frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """In how many documents each term occurs.
+
+    The count reads `tf` so that this branch needs the same columns as the table itself and
+    both share one shuffle; otherwise the texts would be tokenised once more.
+    """
+    return frequencies.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def corpus_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:

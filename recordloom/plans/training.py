@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions.columns import let, over
 from recordloom.functions.prompts import render_prompt, render_training_text
-from recordloom.functions.records import as_map, map_json_text, parse_record, rename_keys, schema_text
+from recordloom.functions.records import map_json_text, map_sql, parse_sql, rename_sql, schema_map_sql
 from recordloom.functions.text import buffered_budget, repair_record_text, token_count
 from recordloom.operators.order import first_rows, row_at
-from recordloom.operators.records import rejection_reason, table_signature
+from recordloom.operators.records import rejection_sql, table_signature
 from recordloom.operators.split import SEED, TEST_SIZE, split_exact
 from recordloom.sources.tables import export_splits, read_table, write_training_table
 
@@ -22,14 +23,19 @@ SCHEMA_SOURCES = ("record", "given")
 def parse_outputs(df: DataFrame, mapping: dict[str, str] | None = None, repair: str = "parity") -> DataFrame:
     """Add the parsed and renamed record, its schema text and the reason why a row is unusable.
 
-    The columns are `record` (MAP<STRING,VARIANT>), `schema_str` and `reason`. Each text is
-    parsed once; the three columns share it.
+    The columns are `record` (MAP<STRING,VARIANT>), `schema_str` and `reason`. All three come out
+    of one generator over a single row, so each text is repaired and parsed once: filters on
+    them stay above the generator instead of repeating the parse below it.
     """
-    parsed = df.withColumn("_parsed", parse_record(repair_record_text("output", repair)))
-    judged = parsed.withColumn("reason", rejection_reason(F.col("_parsed")))
-    record = rename_keys(as_map("_parsed"), mapping or {}, "json_to_schema")
-    usable = judged.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("_parsed")
-    return usable.withColumn("schema_str", schema_text(F.col("record")))
+
+    def body(text: str) -> str:
+        result = f"struct(renamed AS record, to_json({schema_map_sql('renamed')}) AS schema_str, reason AS reason)"
+        renamed = f"if(reason IS NULL, {rename_sql('entries', mapping or {}, 'json_to_schema')}, NULL)"
+        judged = let(rejection_sql("record", "entries"), "reason", let(renamed, "renamed", result))
+        return let(parse_sql(text), "record", let(map_sql("record"), "entries", judged))
+
+    parsed = over(body, text=repair_record_text("output", repair))
+    return df.select("*", F.inline_outer(F.array(parsed)))
 
 
 def quarantine(df: DataFrame, mapping: dict[str, str] | None = None, repair: str = "parity") -> DataFrame:
