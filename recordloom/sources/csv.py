@@ -8,7 +8,12 @@ from pyspark.sql import types as T
 
 from recordloom.operators.order import row_index
 
-CSV_OPTIONS = {"header": "true", "escape": '"'}
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 UNNAMED_INDEX = "_c0"
 
 
@@ -17,7 +22,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
     Cells may span lines, so a file is read by one task: keep files to a few hundred
     megabytes, as `write_csv` does through the partitions it writes. Inference costs a pass
-    over the data; give the schema for large tables. An unnamed index column is dropped.
+    over the data; give the schema for large tables. An unnamed index column is dropped,
+    an empty cell is null.
     """
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", "true")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
