@@ -37,11 +37,20 @@ def parse_sql(text: str) -> str:
     return let(f"md5({text})", "mark", let(listed, "listed", first))
 
 
-def parse_output(text: Column | str) -> Column:
-    """Record in a model output: parsed as is, else from the first object after quote repair."""
+def parse_output(
+    text: Column | str, mapping: dict[str, str] | None = None, direction: str = "json_to_schema"
+) -> Column:
+    """Record in a model output: parsed as is, else from the first object after quote repair.
+
+    With a `mapping` its keys are renamed; values that are not records, and empty records,
+    then give null.
+    """
     text = as_column(text)
     fallback = strip_backslashes(first_json_object(single_to_double_quotes(text)))
-    return F.coalesce(parse_record(text), parse_record(fallback))
+    parsed = F.coalesce(parse_record(text), parse_record(fallback))
+    if not mapping:
+        return parsed
+    return F.to_variant_object(rename_keys(as_map(parsed), mapping, direction))
 
 
 def as_map(value: Column | str) -> Column:

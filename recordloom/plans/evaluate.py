@@ -314,12 +314,19 @@ def plot_points(pairs: DataFrame, key: str, left: str, right: str, size: int = H
 
 
 def evaluate_outputs(
-    df: DataFrame, key: str, expected: str, generated: str = "generated_output", **options
+    df: DataFrame,
+    key: str,
+    expected: str,
+    generated: str = "generated_output",
+    mapping: dict[str, str] | None = None,
+    **options,
 ) -> DataFrame:
-    """Parse generated texts and compare them with the expected JSON; unparsable ones count as empty records."""
-    pairs = df.select(
-        key, parse_record(expected).alias("_expected"), parse_output(generated).alias("_predicted")
-    )
+    """Parse generated texts and compare them with the expected JSON; unparsable ones count as empty records.
+
+    `mapping` renames the keys of the generated records to those of the expected ones first.
+    """
+    predicted = parse_output(generated, mapping).alias("_predicted")
+    pairs = df.select(key, parse_record(expected).alias("_expected"), predicted)
     return compare(pairs, key, "_expected", "_predicted", **options)
 
 

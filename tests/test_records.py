@@ -28,6 +28,12 @@ def test_parse_output(apply):
     assert apply(list(cases), lambda c: F.to_json(records.parse_output(c))) == list(cases.values())
 
 
+def test_parse_output_with_mapping(apply):
+    values = ["Sure: {'p': 'x', 'q': 1.0}", "{}", "[1]", "no"]
+    out = apply(values, lambda c: records.json_text(records.parse_output(c, {"name": "p"})))
+    assert out == ['{"name":"x","q":1.0}', None, None, None]
+
+
 def test_type_names(apply):
     values = ["1", "1.0", "1.5", "1e3", "12345678901234567890", '"x"', "true", "null", "[]", '[1,"a"]', "{}", '{"a":1}']
     expected = [type(json.loads(v)).__name__ for v in values]
