@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.columns import as_column, let, over
 
-LEAVES_TYPE = "array<struct<path:string,type:string,text:string,deeper:boolean>>"
+LEAVES_TYPE = "array<struct<path:string,type:string,text:string>>"
 
 # SQL conditions on an aligned field `f`.
 ON_BOTH_SIDES = "f.l_type IS NOT NULL AND f.r_type IS NOT NULL"

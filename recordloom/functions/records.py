@@ -15,7 +15,9 @@ from recordloom.functions.text import first_json_object, single_to_double_quotes
 # Names of the seven value types a record can hold.
 TYPE_NAMES = ("str", "int", "float", "bool", "list", "dict", "NoneType")
 
-DEFAULT_DEPTH = 8
+# Levels that records usually have, and the deepest nesting the JSON parser accepts.
+USUAL_DEPTH = 8
+PARSER_DEPTH = 1000
 WHOLE_FLOAT = r"^DECIMAL\((?:\d|1[0-8]),0\)$"
 
 DIRECTIONS = ("schema_to_json", "json_to_schema")
@@ -185,31 +187,44 @@ def schema_text(record: Column) -> Column:
 # --- flattening -----------------------------------------------------------------
 
 
-def flatten_record(record: Column | str, max_depth: int = DEFAULT_DEPTH) -> Column:
-    """Leaves of a nested record as ARRAY<STRUCT<path, type, text, deeper>>, depth first.
+def flatten_record(record: Column | str) -> Column:
+    """Leaves of a nested record as ARRAY<STRUCT<path, type, text>>, depth first.
 
     A key below a key is joined by a blank, a list element is ``name[i]``. Objects in lists
     are flattened, lists in lists are leaves, empty objects and lists vanish, null stays.
-    `deeper` marks a leaf that holds a container below `max_depth`; `nesting_depth` tells
-    how deep a table really goes.
     """
-    return over(lambda record: flatten_sql(record, max_depth), record=record)
+    return over(lambda record: flatten_sql(record), record=record)
 
 
-def flatten_sql(record: str, max_depth: int = DEFAULT_DEPTH) -> str:
+def flatten_sql(record: str) -> str:
     nodes = f"transform(map_entries({map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
-    for _ in range(max_depth - 1):
-        expanded = f"flatten(transform(nodes, n -> {_EXPANDED_NODE}))"
-        nodes = let(nodes, "nodes", f"if(exists(nodes, n -> NOT n.done), {expanded}, nodes)")
-    return f"transform(filter({nodes}, n -> {_NOT_EMPTY}), n -> {leaf_sql('n.value', 'n.path', 'n.done', 'n.in_list')})"
+    return f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
+
+
+def expand_sql(nodes: str) -> str:
+    """Take nodes apart level by level until only leaves are left.
+
+    A fold over level numbers stands for the loop. It does nothing once all nodes are
+    leaves; levels beyond the usual ones are only counted for the records that have them.
+    """
+    state = "struct(nodes AS nodes, exists(nodes, n -> NOT n.done) AS open)"
+    level = let(f"flatten(transform(acc.nodes, n -> {_EXPANDED_NODE}))", "nodes", state)
+
+    def fold(start: str, first: int, last: int) -> str:
+        return f"aggregate(sequence({first}, {last}), {start}, (acc, level) -> if(acc.open, {level}, acc))"
+
+    usual = fold(let(nodes, "nodes", state), 1, USUAL_DEPTH)
+    rest = f"if(usual.open, {fold('usual', USUAL_DEPTH + 1, PARSER_DEPTH)}, usual).nodes"
+    return let(usual, "usual", rest)
 
 
 def _node_sql(path: str, value: str, in_list: bool = False, done: bool = False) -> str:
     return f"struct({path} AS path, {value} AS value, {in_list} AS in_list, {done} AS done)"
 
 
+_CHILD_PATH = "if(n.path = '', e.key, concat(n.path, ' ', e.key))"
 _MEMBERS = (
-    f"transform(map_entries({map_sql('n.value')}), e -> {_node_sql("concat(n.path, ' ', e.key)", 'e.value')})"
+    f"transform(map_entries({map_sql('n.value')}), e -> {_node_sql(_CHILD_PATH, 'e.value')})"
 )
 _ITEMS = (
     f"transform({_list_sql('n.value')}, "
@@ -219,15 +234,11 @@ _EXPANDED_NODE = f"""CASE WHEN n.done THEN array(n) ELSE coalesce(
     {_MEMBERS},
     CASE WHEN NOT n.in_list THEN {_ITEMS} END,
     array(struct(n.path AS path, n.value AS value, n.in_list AS in_list, true AS done))) END"""
-_NOT_EMPTY = f"""n.done OR NOT (
-    coalesce(size({map_sql('n.value')}) = 0, false)
-    OR coalesce(NOT n.in_list AND size({_list_sql('n.value')}) = 0, false))"""
 
 
-def leaf_sql(value: str, path: str, done: str, in_list: str) -> str:
-    """A finished node as STRUCT<path, type, text, deeper>."""
-    deeper = f"NOT {done} AND (name = 'dict' OR (name = 'list' AND NOT {in_list}))"
-    leaf = f"struct({path} AS path, name AS type, {value_text_sql(value, 'name')} AS text, {deeper} AS deeper)"
+def leaf_sql(value: str, path: str) -> str:
+    """A finished node as STRUCT<path, type, text>."""
+    leaf = f"struct({path} AS path, name AS type, {value_text_sql(value, 'name')} AS text)"
     return let(type_name_sql(value), "name", leaf)
 
 
@@ -237,22 +248,4 @@ def top_level_fields(record: Column | str) -> Column:
 
 
 def top_level_sql(record: str) -> str:
-    field = let(
-        type_name_sql("e.value"),
-        "name",
-        f"struct(e.key AS path, name AS type, {value_text_sql('e.value', 'name')} AS text, false AS deeper)",
-    )
-    return f"transform(map_entries({map_sql(record)}), e -> {field})"
-
-
-def nesting_depth(text: Column | str) -> Column:
-    """Greatest number of open objects and lists in a JSON text."""
-    bare = F.regexp_replace(as_column(text), r'"(?:[^"\\]|\\.)*+"', "")
-    marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0))
-    step = let(
-        "acc.open + if(mark IN ('{', '['), 1, -1)", "now", "struct(now AS open, greatest(acc.most, now) AS most)"
-    )
-    return over(
-        lambda marks: f"aggregate({marks}, struct(0 AS open, 0 AS most), (acc, mark) -> {step}, acc -> acc.most)",
-        marks=marks,
-    )
+    return f"transform(map_entries({map_sql(record)}), e -> {leaf_sql('e.value', 'e.key')})"

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.records import (
-    DEFAULT_DEPTH,
+    USUAL_DEPTH,
     as_map,
+    expand_sql,
     name_of_schema_sql,
-    nesting_depth,
     parse_record,
     type_name,
     value_text_sql,
@@ -58,7 +58,7 @@ _LEVEL = f"""
     SELECT {{others}}
       CASE WHEN c.pos IS NULL THEN n.path
            WHEN c.key IS NULL THEN concat(n.path, '[', c.pos, ']')
-           WHEN n.path IS NULL THEN c.key
+           WHEN n.path IS NULL OR n.path = '' THEN c.key
            ELSE concat(n.path, ' ', c.key) END AS path,
       coalesce(c.value, n.value) AS value,
       if(c.pos IS NULL, n.in_list, c.key IS NULL) AS in_list,
@@ -68,12 +68,13 @@ _LEVEL = f"""
        OR NOT (to_json(n.value) = '{{{{}}}}' OR (NOT n.in_list AND to_json(n.value) = '[]'))"""
 
 
-def explode_fields(df: DataFrame, record: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def explode_fields(df: DataFrame, record: str, levels: int = USUAL_DEPTH) -> DataFrame:
     """One row per leaf field of each record (a VARIANT column), next to the other columns.
 
-    The fields are those of `recordloom.functions.records.flatten_record`. Each level is one
-    generator over the rows of the level before, so the table is scanned once and nothing
-    is shuffled or collected.
+    The fields are those of `recordloom.functions.records.flatten_record`. Each of the first
+    `levels` levels is one generator over the rows of the level before, so the table is
+    scanned once and nothing is shuffled or collected. What lies deeper is taken apart inside
+    its row by one more generator, so all of it comes out.
     """
     spark = df.sparkSession
     others = [name for name in df.columns if name != record]
@@ -85,18 +86,19 @@ def explode_fields(df: DataFrame, record: str, max_depth: int = DEFAULT_DEPTH) -
         F.lit(False).alias("in_list"),
         F.lit(False).alias("done"),
     )
-    for _ in range(max_depth):
+    for _ in range(levels):
         nodes = spark.sql(_LEVEL.replace("{others}", listed), nodes=nodes)
-    named = nodes.withColumn("_schema", F.schema_of_variant("value"))
+    node = "array(struct(path AS path, value AS value, in_list AS in_list, done AS done))"
+    deeper = F.expr(f"explode_outer(CASE WHEN NOT done THEN {expand_sql(node)} END) AS _deeper")
+    leaves = nodes.select(*others, "path", "value", "done", deeper).where("done OR _deeper IS NOT NULL")
+    chosen = leaves.select(
+        *others,
+        F.coalesce("_deeper.path", "path").alias("path"),
+        F.coalesce("_deeper.value", "value").alias("_value"),
+    )
+    named = chosen.withColumn("_schema", F.schema_of_variant("_value"))
     typed = named.withColumn("type", F.expr(name_of_schema_sql("_schema")))
-    deeper = F.expr("NOT done AND (type = 'dict' OR (type = 'list' AND NOT in_list))")
-    text = F.expr(value_text_sql("value", "type"))
-    return typed.select(*others, "path", "type", text.alias("text"), deeper.alias("deeper"))
-
-
-def deepest_record(df: DataFrame, record_text: str) -> DataFrame:
-    """Greatest nesting depth in a table: the `max_depth` that flattens all of it."""
-    return df.agg(F.max(nesting_depth(record_text)).alias("depth"))
+    return typed.select(*others, "path", "type", F.expr(value_text_sql("_value", "type")).alias("text"))
 
 
 def schema_profile(df: DataFrame, record_text: str) -> DataFrame:

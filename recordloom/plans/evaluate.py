@@ -32,7 +32,6 @@ from recordloom.functions.fields import (
 )
 from recordloom.functions.prompts import field_text
 from recordloom.functions.records import (
-    DEFAULT_DEPTH,
     as_map,
     flatten_record,
     json_text,
@@ -68,12 +67,12 @@ def parse_pairs(df: DataFrame, expected: str, predicted: str) -> DataFrame:
 
 
 def with_fields(
-    pairs: DataFrame, left: str, right: str, flat: bool = True, max_depth: int = DEFAULT_DEPTH
+    pairs: DataFrame, left: str, right: str, flat: bool = True
 ) -> DataFrame:
     """Add `fields`, the aligned fields of the two records; a null record counts as empty."""
 
     def leaves(record: str) -> Column:
-        found = flatten_record(record, max_depth) if flat else top_level_fields(record)
+        found = flatten_record(record) if flat else top_level_fields(record)
         return F.coalesce(found, F.array().cast(LEAVES_TYPE))
 
     return pairs.withColumn("fields", align_fields(leaves(left), leaves(right)))
@@ -91,9 +90,9 @@ def missing_fields(pairs: DataFrame, key: str, left: str, right: str, **options)
     return rows.select(key, "path", side.alias("missing_in")).where(F.col("missing_in").isNotNull())
 
 
-def last_win_rows(df: DataFrame, key: str, record: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def last_win_rows(df: DataFrame, key: str, record: str) -> DataFrame:
     """One row per path of each record; on equal paths the last value stands."""
-    leaves = last_wins(flatten_record(record, max_depth))
+    leaves = last_wins(flatten_record(record))
     return df.select(key, F.inline_outer(leaves)).where("path IS NOT NULL")
 
 

@@ -62,6 +62,7 @@ def plain_flatten(record):
 NESTED = [
     {"a": {"b": 1, "c": [1, {"d": 2}, [3], [], {}]}, "e": "x", "z": {}, "n": None, "t": True, "f": 1.0, "l": []},
     {"a b": 1, "a": {"b": 2}, "k": [{"x": [{"y": [1, 2]}]}]},
+    {"": {"b": 2, "": 3, "c": [{"": 1}]}},
     {},
 ]
 
@@ -74,7 +75,7 @@ def test_flatten_both_forms(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(NESTED)], "i int, s string")
     parsed = df.select("i", records.parse_record("s").alias("v"))
     expected = sorted(
-        (i, path, type(value).__name__, as_text(value), False)
+        (i, path, type(value).__name__, as_text(value))
         for i, record in enumerate(NESTED)
         for path, value in plain_flatten(record)
     )
@@ -83,19 +84,17 @@ def test_flatten_both_forms(spark):
     assert sorted(map(tuple, record_ops.explode_fields(parsed, "v").collect())) == expected
 
 
-def test_flatten_marks_what_is_deeper(spark):
-    deep = {"v": 1}
-    for i in range(11):
-        deep = {f"k{i}": deep}
-    df = spark.createDataFrame([(0, json.dumps(deep))], "i int, s string")
+def test_flatten_has_no_depth_limit(spark):
+    deep = {"v": 1, "l": [[2]]}
+    for i in range(60):
+        deep = {f"k{i}": deep, "side": i}
+    df = spark.createDataFrame([(0, json.dumps(deep)), (1, '{"a":{"b":{}}}')], "i int, s string")
     parsed = df.select("i", records.parse_record("s").alias("v"))
-    for form in (
-        lambda d: parsed.select("i", F.inline(records.flatten_record("v", d))),
-        lambda d: record_ops.explode_fields(parsed, "v", d),
-    ):
-        assert [(r.type, r.deeper) for r in form(8).collect()] == [("dict", True)]
-        assert [(r.type, r.text, r.deeper) for r in form(12).collect()] == [("int", "1", False)]
-    assert record_ops.deepest_record(df, "s").first()[0] == 12
+    expected = sorted((0, path, type(v).__name__, as_text(v)) for path, v in plain_flatten(deep))
+    assert len(expected) == 62
+    assert sorted(map(tuple, parsed.select("i", F.inline(records.flatten_record("v"))).collect())) == expected
+    for levels in (1, 2, 8):
+        assert sorted(map(tuple, record_ops.explode_fields(parsed, "v", levels).collect())) == expected
 
 
 def test_generator_flatten_plan(spark, plan_of):
