@@ -16,7 +16,7 @@ from recordloom.functions.text import first_json_object, single_to_double_quotes
 TYPE_NAMES = ("str", "int", "float", "bool", "list", "dict", "NoneType")
 
 # Levels that records usually have, and the deepest nesting the JSON parser accepts.
-USUAL_DEPTH = 8
+USUAL_DEPTH = 5
 PARSER_DEPTH = 1000
 WHOLE_FLOAT = r"^DECIMAL\((?:\d|1[0-8]),0\)$"
 

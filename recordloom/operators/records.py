@@ -52,20 +52,23 @@ def rejection_sql(record: str, entries: str) -> str:
 
 # One level of taking nodes apart. Leaves pass through: exploding null gives one empty row.
 # A list inside a list is a leaf, so it is not opened; only a list has an element 0.
-_OPENED = """CASE WHEN n.done OR (n.in_list AND try_variant_get(n.value, '$[0]', 'variant') IS NOT NULL)
-             THEN NULL ELSE n.value END"""
+_OPENED = """CASE WHEN n._done OR (n._in_list AND try_variant_get(n._value, '$[0]', 'variant') IS NOT NULL)
+             THEN NULL ELSE n._value END"""
 _LEVEL = f"""
     SELECT {{others}}
-      CASE WHEN c.pos IS NULL THEN n.path
-           WHEN c.key IS NULL THEN concat(n.path, '[', c.pos, ']')
-           WHEN n.path IS NULL OR n.path = '' THEN c.key
-           ELSE concat(n.path, ' ', c.key) END AS path,
-      coalesce(c.value, n.value) AS value,
-      if(c.pos IS NULL, n.in_list, c.key IS NULL) AS in_list,
-      c.pos IS NULL AS done
+      CASE WHEN c.pos IS NULL THEN n._path
+           WHEN c.key IS NULL THEN concat(n._path, '[', c.pos, ']')
+           WHEN n._path IS NULL OR n._path = '' THEN c.key
+           ELSE concat(n._path, ' ', c.key) END AS _path,
+      coalesce(c.value, n._value) AS _value,
+      if(c.pos IS NULL, n._in_list, c.key IS NULL) AS _in_list,
+      c.pos IS NULL AS _done
     FROM {{nodes}} AS n, LATERAL variant_explode_outer({_OPENED}) AS c
-    WHERE c.pos IS NOT NULL OR n.done
-       OR NOT (to_json(n.value) = '{{{{}}}}' OR (NOT n.in_list AND to_json(n.value) = '[]'))"""
+    WHERE c.pos IS NOT NULL OR n._done
+       OR NOT (to_json(n._value) = '{{{{}}}}' OR (NOT n._in_list AND to_json(n._value) = '[]'))"""
+_NODE = "array(struct(_path AS path, _value AS value, _in_list AS in_list, _done AS done))"
+# What is left after these levels, taken apart inside its row.
+_DEEPER = f"explode_outer(CASE WHEN NOT _done THEN {expand_sql(_NODE)} END)"
 
 
 def explode_fields(df: DataFrame, record: str, levels: int = USUAL_DEPTH) -> DataFrame:
@@ -73,32 +76,32 @@ def explode_fields(df: DataFrame, record: str, levels: int = USUAL_DEPTH) -> Dat
 
     The fields are those of `recordloom.functions.records.flatten_record`. Each of the first
     `levels` levels is one generator over the rows of the level before, so the table is
-    scanned once and nothing is shuffled or collected. What lies deeper is taken apart inside
-    its row by one more generator, so all of it comes out.
+    scanned once and nothing is shuffled or collected. One more generator takes apart
+    inside its row what lies deeper, so all of it comes out.
     """
     spark = df.sparkSession
     others = [name for name in df.columns if name != record]
     listed = "".join(f"n.`{name}`, " for name in others)
     nodes = df.select(
         *others,
-        F.lit(None).cast("string").alias("path"),
-        F.when(as_map(record).isNotNull(), F.col(record)).alias("value"),
-        F.lit(False).alias("in_list"),
-        F.lit(False).alias("done"),
+        F.lit(None).cast("string").alias("_path"),
+        F.when(as_map(record).isNotNull(), F.col(record)).alias("_value"),
+        F.lit(False).alias("_in_list"),
+        F.lit(False).alias("_done"),
     )
     for _ in range(levels):
         nodes = spark.sql(_LEVEL.replace("{others}", listed), nodes=nodes)
-    node = "array(struct(path AS path, value AS value, in_list AS in_list, done AS done))"
-    deeper = F.expr(f"explode_outer(CASE WHEN NOT done THEN {expand_sql(node)} END) AS _deeper")
-    leaves = nodes.select(*others, "path", "value", "done", deeper).where("done OR _deeper IS NOT NULL")
-    chosen = leaves.select(
+    opened = nodes.select(*others, "_path", "_value", "_done", F.expr(_DEEPER).alias("_deeper"))
+    leaves = opened.where("_done OR _deeper IS NOT NULL").select(
         *others,
-        F.coalesce("_deeper.path", "path").alias("path"),
-        F.coalesce("_deeper.value", "value").alias("_value"),
+        F.coalesce("_deeper.path", "_path").alias("_path"),
+        F.coalesce("_deeper.value", "_value").alias("_value"),
     )
-    named = chosen.withColumn("_schema", F.schema_of_variant("_value"))
+    named = leaves.withColumn("_schema", F.schema_of_variant("_value"))
     typed = named.withColumn("type", F.expr(name_of_schema_sql("_schema")))
-    return typed.select(*others, "path", "type", F.expr(value_text_sql("_value", "type")).alias("text"))
+    return typed.select(
+        *others, F.col("_path").alias("path"), "type", F.expr(value_text_sql("_value", "type")).alias("text")
+    )
 
 
 def schema_profile(df: DataFrame, record_text: str) -> DataFrame:

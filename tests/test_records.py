@@ -93,7 +93,9 @@ def test_flatten_has_no_depth_limit(spark):
     expected = sorted((0, path, type(v).__name__, as_text(v)) for path, v in plain_flatten(deep))
     assert len(expected) == 62
     assert sorted(map(tuple, parsed.select("i", F.inline(records.flatten_record("v"))).collect())) == expected
-    for levels in (1, 2, 8):
+    named = parsed.select("i", F.lit("kept").alias("value"), F.lit(1).alias("done"), "v")
+    assert {(r.value, r.done) for r in record_ops.explode_fields(named, "v").collect()} == {("kept", 1)}
+    for levels in (1, 2, 5):
         assert sorted(map(tuple, record_ops.explode_fields(parsed, "v", levels).collect())) == expected
 
 
