@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, pieces, text_bytes
+from recordloom.llm.common import pieces, text_bytes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BENCHMARK_BYTES = 32 << 20
@@ -81,18 +81,39 @@ def word_offsets(text: bytes, starts: list[int], ends: list[int]) -> tuple[list[
     return [places[spans[i][0]] for i in starts], [places[spans[i - 1][1]] for i in ends]
 
 
-def _benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
+def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
     """Benchmark texts in parts of bounded size; a part is what one automaton holds and one broadcast carries."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text"))
     items = items.where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // limit))
+    parts = max(1, -(-2 * total // limit)) if total > limit else 1
     for part in range(parts):
         rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         yield [(row.item, row.text.encode()) for row in rows.collect()]
 
 
-SCAN = "n_words long, starts array<int>, ends array<int>, items array<long>"
+def _merged(first: tuple, second: tuple) -> tuple[int, list[int], list[int], list[int]]:
+    """The union of what two automata found in one text."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(zip((*first[1], *second[1]), (*first[2], *second[2]), strict=True)):
+        if starts and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return second[0], starts, ends, sorted({*first[3], *second[3]})
+
+
+FOUND = (
+    ("n_words", "long", pa.int64()),
+    ("starts", "array<int>", pa.list_(pa.int32())),
+    ("ends", "array<int>", pa.list_(pa.int32())),
+    ("char_starts", "array<int>", pa.list_(pa.int32())),
+    ("char_ends", "array<int>", pa.list_(pa.int32())),
+    ("items", "array<long>", pa.list_(pa.int64())),
+)
+HIDDEN = "__scan_"
 
 
 def scan(
@@ -108,12 +129,56 @@ def scan(
 
     Texts are lower-cased (A-Z) and cut into words of digits, letters and all that is not ASCII. `size` words of
     an item that stand in a row in a text are a hit, as is a whole item of fewer words. Null and empty texts have
-    no words; an empty benchmark, null item ids and items without words hit nothing. Columns of the table keep
-    their names; a column called `scan` is replaced. One automaton holds the benchmark; beyond `limit` bytes it
-    is cut into several, which scan in turn, so that no broadcast grows with it. No shuffle: rows stay in place.
+    no words; an empty benchmark, null item ids and items without words hit nothing; repeated items count once.
+    Columns of the table keep their names; a column called `scan` is replaced. One automaton holds the benchmark;
+    beyond `limit` bytes it is cut into several, which scan in turn, so that no broadcast grows with it. No
+    shuffle: rows stay in place, and repeated rows come out as often as they went in.
     """
     kept = [name for name in docs.columns if name != "scan"]
-    found = docs.select(*kept, F.lit(None).cast(f"struct<{SCAN.replace(' ', ':').replace(',:', ',')}>").alias("scan"))
-    parts = list(_part_sizes(benchmark, item_id, item_text, limit))
-    del parts
-    return found
+    found = docs.select(*kept)
+    for items in benchmark_parts(benchmark, item_id, item_text, limit):
+        found = _scan_part(found, kept, text, docs.sparkSession.sparkContext.broadcast(items), size)
+    return found.select(*kept, F.struct(*(F.col(HIDDEN + name).alias(name) for name, _, _ in FOUND)).alias("scan"))
+
+
+def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(items.value, size)
+        for batch in pieces(batches, text):
+            columns: dict[str, list] = {name: [] for name, _, _ in FOUND}
+            before = None
+            if HIDDEN + "starts" in batch.schema.names:
+                before = [batch.column(HIDDEN + name).to_pylist() for name in ("n_words", "starts", "ends", "items")]
+            for row, value in enumerate(text_bytes(batch.column(text))):
+                result = scanner.scan(value)
+                if before:
+                    result = _merged(tuple(part[row] for part in before), result)
+                chars = word_offsets(value, result[1], result[2])
+                for name, part in zip(columns, (*result[:3], *chars, result[3]), strict=True):
+                    columns[name].append(part)
+            arrays = [batch.column(name) for name in kept]
+            arrays += [pa.array(columns[name], type=kind) for name, _, kind in FOUND]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(HIDDEN + name for name in columns)])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
+    fields += [f"{HIDDEN}{name} {kind}" for name, kind, _ in FOUND]
+    return docs.mapInArrow(run, ", ".join(fields))
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The table with the hit passages cut out of the texts; texts without a hit (and nulls) stay as they are."""
+    found = scan(docs, benchmark, text, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = docs.columns.index(text)
+        for batch in pieces(batches, text):
+            cleaned = []
+            for value, hit in zip(batch.column(text).to_pylist(), batch.column("scan").to_pylist(), strict=True):
+                for start, end in zip(reversed(hit["char_starts"]), reversed(hit["char_ends"]), strict=True):
+                    value = value[:start] + value[end:]
+                cleaned.append(value)
+            arrays = [batch.column(name) for name in docs.columns]
+            arrays[place] = pa.array(cleaned, type=pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+
+    return found.mapInArrow(run, docs.schema)
