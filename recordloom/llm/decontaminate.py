@@ -167,18 +167,18 @@ def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int) ->
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The table with the hit passages cut out of the texts; texts without a hit (and nulls) stay as they are."""
-    found = scan(docs, benchmark, text, **options)
+    found, names = scan(docs, benchmark, text, **options), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = docs.columns.index(text)
+        place = names.index(text)
         for batch in pieces(batches, text):
             cleaned = []
             for value, hit in zip(batch.column(text).to_pylist(), batch.column("scan").to_pylist(), strict=True):
                 for start, end in zip(reversed(hit["char_starts"]), reversed(hit["char_ends"]), strict=True):
                     value = value[:start] + value[end:]
                 cleaned.append(value)
-            arrays = [batch.column(name) for name in docs.columns]
+            arrays = [batch.column(name) for name in names]
             arrays[place] = pa.array(cleaned, type=pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return found.mapInArrow(run, docs.schema)

@@ -58,11 +58,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n_queries, n_vectors = queries.count(), vectors.count()
     query_blocks, blocks = n_queries // QUERIES + 1, n_vectors // CANDIDATES + 1
     asked = queries.dropDuplicates(["vec_id"]).select(
-        "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("q"),
+        "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks).cast("long")).alias("q"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
     )
     held = vectors.select(
-        "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("q"),
+        "vec_id", "vector", F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("q"),
         F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"),
     )
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
