@@ -102,7 +102,7 @@ class Codec:
         while len(numbers):
             state = pa.table({"word": numbers, "pos": places, "token": tokens})
             self.db.register("state", state)
-            found = self.db.execute(ENCODE).to_arrow_table().combine_chunks()
+            found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("state")
             open_ = found.column("step").to_numpy() >= STEPS
             done = found.filter(pa.array(~open_))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import cut, remainder, text_bytes
 
-ORDER = 4
+ORDER = 5
 EDGE = b"\xff"  # occurs in no UTF-8 text: stands before the text and, as a symbol, for its end
 END_WORD = b"\n"
-PART_BYTES = 6 << 20
+PART_BYTES = 24 << 20
+SLICE_BYTES = 3 << 20
 LOG10 = np.log10
 
 
@@ -38,6 +39,17 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], lengths
 
 
+def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes."""
+    found, start, held = [], 0, 0
+    for place, text in enumerate(texts):
+        if held and held + len(text) > limit:
+            found.append((start, place))
+            start, held = place, 0
+        held += len(text) + 1
+    return [*found, (start, len(texts))] if start < len(texts) else found
+
+
 def text_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -52,49 +64,60 @@ def _gather(table: pa.Table) -> pa.Table:
     held = table.column("held_out").to_numpy()
     texts = text_bytes(table.column("text").combine_chunks())
     words: Counter = Counter()
-    for text, out in zip(texts, held, strict=True):
-        if not out:
-            words.update(text_words(text))
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start, end in slices(texts):
+        for text, out in zip(texts[start:end], held[start:end], strict=True):
+            if not out:
+                words.update(text_words(text))
+        found, lengths = grams(texts[start:end])
+        found, n = np.unique(np.where(np.repeat(held[start:end], lengths), ~found, found), return_counts=True)
+        n[found < 0] = 0  # held out: asked for, not counted
+        found = np.where(found < 0, ~found, found)
+        keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
     words[END_WORD] += int((~held).sum())
     for text, out in zip(texts, held, strict=True):
         if out:
             for word in set(text_words(text)).difference(words):
                 words[word] = 0
-    all_grams, lengths = grams(texts)
-    trained = np.repeat(~held, lengths)
-    keys, counts = np.unique(all_grams[trained], return_counts=True)
-    new = np.setdiff1d(np.unique(all_grams[~trained]), keys, assume_unique=True)
     own = np.fromiter(map(word_key, words), np.int64, len(words))
-    key = np.concatenate([keys, new, own])
-    count = np.concatenate([counts, np.zeros(len(new), np.int64), np.fromiter(words.values(), np.int64, len(words))])
-    kind = np.repeat(np.array([0, 1], np.int32), [len(keys) + len(new), len(own)])
+    key = np.concatenate([keys, own])
+    count = np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words))])
+    kind = np.repeat(np.array([0, 1], np.int32), [len(keys), len(own)])
     return pa.table({"part": np.full(len(key), part), "kind": kind, "key": key, "c": count})
 
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of the last symbol of each gram after its context; all grams end in the same two bytes of
-    context, and all of that context are given. `pairs`: counts of symbols after single bytes, 256 x 256.
+    context, and all of that context are given. `pairs`: in how many two-byte contexts a symbol follows a byte.
 
-    Escapes take the number of different symbols as their count (method C). An escape excludes the symbols of the
-    longer context: symbols of a context all occur in the shorter ones, so what is left there is its count less
-    the mass of the longer context's symbols.
+    The longest contexts have the counts of the training texts, shorter ones count in how many different longer
+    contexts a symbol follows (update exclusion). Each symbol of a context gives half a count to the escape (method
+    D). An escape excludes the symbols of the longer context: symbols of a context all occur in the shorter ones, so
+    what is left there is its count less the mass of the longer context's symbols.
     """
     value, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
     out_mass, out_kinds = np.zeros(len(keys)), np.zeros(len(keys))
     seen_pairs = pairs > 0
-    zero = pairs.sum(axis=0)
-    symbol = keys & 0xFF
-    last = (keys >> 8) & 0xFF
-    levels, parent = {}, None
-    for order in range(2, ORDER + 1):
-        short, place = np.unique(keys & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
-        c = np.bincount(place, counts, len(short))
-        below = pairs[(short >> 8) & 0xFF, short & 0xFF] if parent is None else parent[1][np.searchsorted(parent[0], short & ((1 << 8 * order) - 1))]
+    zero = seen_pairs.sum(axis=0).astype(float)
+    symbol, last = keys & 0xFF, (keys >> 8) & 0xFF
+    tables, above, weight = {}, keys, counts
+    for order in range(ORDER, 1, -1):
+        short, place = np.unique(above & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        tables[order] = short, np.bincount(place, weight, len(short))
+        above, weight = short, tables[order][1] > 0
+    levels = {}
+    for order, (short, c) in tables.items():
+        if order > 2:
+            parent, mass = tables[order - 1]
+            below = mass[np.searchsorted(parent, short & ((1 << 8 * order) - 1))]
+        else:
+            below = pairs[(short >> 8) & 0xFF, short & 0xFF]
         contexts, at = np.unique(short >> 8, return_inverse=True)
         seen = c > 0
         n, d, x = (np.bincount(at, w, len(contexts)) for w in (c, seen, np.where(seen, below, 0)))
-        levels[order] = (c[place], n[at][place], d[at][place], x[at][place])
-        parent = (short, c)
+        own = np.searchsorted(short, keys & ((1 << 8 * (order + 1)) - 1))
+        levels[order] = (c[own], n[at[own]], d[at[own]], x[at[own]])
     levels[1] = (
         pairs[last, symbol],
         pairs.sum(axis=1)[last],
@@ -104,12 +127,11 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
     levels[0] = (zero[symbol], np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum()), np.zeros(len(keys)))
     for order in range(ORDER, -1, -1):
         c, n, d, x = levels[order]
-        left, escape = n - out_mass, d - out_kinds
-        total = left + escape
+        left, escape = n - out_mass, (d - out_kinds) / 2
         hit = ~done & (c > 0)
-        value[hit] += LOG10(c[hit] / total[hit])
+        value[hit] += LOG10((c[hit] - 0.5) / left[hit])
         miss = ~done & (c == 0) & (escape > 0)
-        value[miss] += LOG10(escape[miss] / total[miss])
+        value[miss] += LOG10(escape[miss] / left[miss])
         done |= hit
         known = n > 0
         out_mass, out_kinds = np.where(known, x, out_mass), np.where(known, d, out_kinds)
@@ -125,7 +147,8 @@ def ppm_scores(
     Rows whose crc32(id as text) mod `held_out_of` is 0 are held out; all others train both models. The trie holds
     every context of up to `ORDER` bytes of all training texts, so it grows with the corpus and is never broadcast:
     each part of the texts (about `part_bytes`) asks for the grams and words it contains by a join. The contexts
-    that end in the same two bytes meet in one task, at most 256^3 grams; single bytes are counted in a table of
+    that end in the same two bytes meet in one task, of prose about a
+    fiftieth of all distinct grams for the commonest pair; single bytes are counted in a table of
     256 x 256. Words are matched by 64-bit hashes. Null and empty texts score their end only. Without training
     rows the base has N = V = 0 and the model is uniform. A null id counts as empty text when hashed; repeated rows
     train and come out as often as they occur; an empty table gives an empty result.
@@ -143,7 +166,8 @@ def ppm_scores(
     words = total.where("kind = 1")
     n_train, n_kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     pairs = np.zeros((256, 256))
-    two = total.where("kind = 0 AND c > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("c").alias("c"))
+    three = total.where("kind = 0 AND c > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).distinct()
+    two = three.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.count("*").alias("c"))
     for row in two.collect():  # at most 256 x 256 rows
         pairs[row.pair >> 8, row.pair & 0xFF] = row.c
 
@@ -170,8 +194,11 @@ def ppm_scores(
         gram, length = key[kind == 0][order], value[kind == 0][order]
         count = dict(zip(key[kind == 1].tolist(), value[kind == 1].tolist(), strict=True))
         texts = text_bytes(left.column("text").combine_chunks())
-        sequence, lengths = grams(texts)
-        each = np.add.reduceat(length[np.searchsorted(gram, sequence)], np.cumsum(lengths) - lengths)
+        each = []
+        for start, stop in slices(texts):
+            sequence, lengths = grams(texts[start:stop])
+            each.append(np.add.reduceat(length[np.searchsorted(gram, sequence)], np.cumsum(lengths) - lengths))
+        each = np.concatenate(each)
         cost: dict[bytes, float] = {}
         tokens, known, base = [], [], []
         scale = np.log10(n_train + 0.1 * (n_kinds + 1))
