@@ -167,7 +167,8 @@ def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int) ->
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The table with the hit passages cut out of the texts; texts without a hit (and nulls) stay as they are."""
-    found, names = scan(docs, benchmark, text, **options), docs.columns
+    own = docs.withColumnRenamed("scan", HIDDEN + "own")  # the scan would replace it
+    found, names = scan(own, benchmark, text, **options), own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index(text)
@@ -181,4 +182,4 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             arrays[place] = pa.array(cleaned, type=pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, own.schema).toDF(*docs.columns)

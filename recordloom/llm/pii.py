@@ -65,6 +65,10 @@ def check_digit(digits: str) -> str:
     return str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
 
 
+def valid_ssn(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 def _date(text: str) -> tuple[str, datetime.date] | None:
     shape = "%Y-%m-%d" if text[4] == "-" else "%d/%m/%Y" if "/" in text else "%d.%m.%Y"
     try:
@@ -101,7 +105,12 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     if kind == "phone":
         return _laid(text, digits[:-10] + _digits(digits[-10:], key, tweak))
     if kind == "ssn":
-        return _laid(text, _digits(digits, key, tweak)) if digits[:3] not in ("000", "666") and digits[0] != "9" else None
+        made = digits
+        while valid_ssn(digits) and (made == digits or not valid_ssn(made)):  # walk along the cycle
+            made = _digits(made, key, tweak)
+            if made == digits:
+                break
+        return _laid(text, made) if valid_ssn(digits) else None
     if check_digit(digits[:-1]) == digits[-1]:
         made = _digits(digits[:-1], key, tweak)
         return _laid(text, made + check_digit(made))

@@ -180,7 +180,8 @@ def test_pseudonyms():
         text, spans = pii.replace(f"x {value}, y {value}.", b"k")
         assert [s[2] for s in spans] == [kind] * 2, kind
         first, second = text[2:].removesuffix(".").split(", y ")
-        assert first == second != value and len(first) == len(value)
+        assert first == second != value
+        assert kind == "ip" or len(first) == len(value)
     digits = pii.replace(cases["card"], b"k")[0].replace(" ", "")
     assert pii.check_digit(digits[:-1]) == digits[-1]
     for invalid in ("4111 1111 1111 1112", "1987-02-30", "300.1.1.1", "version 3.1"):
