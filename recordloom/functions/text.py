@@ -41,7 +41,7 @@ def repair_record_text(text: Column | str, repair: str = "parity") -> Column:
     ``parity`` applies the six rewrites of the original, including the lossy last two
     (``/`` becomes `` or ``, a doubled quote becomes one). ``safe`` leaves those two out
     and instead translates the literals ``None``, ``nan``, ``True`` and ``False`` wherever
-    they stand outside a quoted string.
+    they stand outside a quoted string; text that already is a JSON object stays as it is.
     """
     if repair not in ("parity", "safe"):
         raise ValueError(f"repair must be 'parity' or 'safe', not {repair!r}")
@@ -53,7 +53,9 @@ def repair_record_text(text: Column | str, repair: str = "parity") -> Column:
     if repair == "parity":
         out = F.replace(out, F.lit("/"), F.lit(" or "))
         return F.replace(out, F.lit('""'), F.lit('"'))
-    return _translate_literals(out)
+    given = as_column(text)
+    is_json = F.startswith(F.ltrim(given), F.lit("{")) & F.try_parse_json(given).isNotNull()
+    return F.when(is_json, given).otherwise(_translate_literals(out))
 
 
 def _translate_literals(text: Column) -> Column:
