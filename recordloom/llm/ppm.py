@@ -78,8 +78,8 @@ def _gather(table: pa.Table) -> pa.Table:
     words[END_WORD] += int((~held).sum())
     for text, out in zip(texts, held, strict=True):
         if out:
-            for word in set(text_words(text)).difference(words):
-                words[word] = 0
+            for word in text_words(text):
+                words.setdefault(word, 0)
     own = np.fromiter(map(word_key, words), np.int64, len(words))
     key = np.concatenate([keys, own])
     count = np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words))])
