@@ -15,8 +15,9 @@ from recordloom.llm.common import cut, remainder, text_bytes
 ORDER = 5
 EDGE = b"\xff"  # occurs in no UTF-8 text: stands before the text and, as a symbol, for its end
 END_WORD = b"\n"
-PART_BYTES = 24 << 20
+PART_BYTES = 32 << 20
 SLICE_BYTES = 3 << 20
+WAITING = 4_000_000
 LOG10 = np.log10
 
 
@@ -58,13 +59,43 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], np.add.reduceat(count, first) if len(key) else count
+
+
+class Lookup:
+    """Places of keys in a sorted array: by a table of hashes, and by bisection where two keys share a slot."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of keys that all are in the array."""
+        found = self.slots[self._slot(wanted)]
+        other = np.flatnonzero(self.keys[found] != wanted)
+        found[other] = np.searchsorted(self.keys, wanted[other])
+        return found
+
+
 def _gather(table: pa.Table) -> pa.Table:
     """Distinct grams (kind 0) and words (kind 1) of a part of the texts, with their counts in training texts."""
     part = table.column("part")[0].as_py()
     held = table.column("held_out").to_numpy()
     texts = text_bytes(table.column("text").combine_chunks())
     words: Counter = Counter()
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held_keys, held_counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for start, end in slices(texts):
         for text, out in zip(texts[start:end], held[start:end], strict=True):
             if not out:
@@ -73,8 +104,13 @@ def _gather(table: pa.Table) -> pa.Table:
         found, n = np.unique(np.where(np.repeat(held[start:end], lengths), ~found, found), return_counts=True)
         n[found < 0] = 0  # held out: asked for, not counted
         found = np.where(found < 0, ~found, found)
-        keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        held_keys.append(found)
+        held_counts.append(n)
+        waiting += len(found)
+        if waiting > WAITING:
+            merged = _summed(held_keys, held_counts)
+            held_keys, held_counts, waiting = [merged[0]], [merged[1]], 0
+    keys, counts = _summed(held_keys, held_counts)
     words[END_WORD] += int((~held).sum())
     for text, out in zip(texts, held, strict=True):
         if out:
@@ -162,7 +198,7 @@ def ppm_scores(
     parts = size // part_bytes + 1
     dealt = narrow.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     asked = cut(dealt.groupBy("part").applyInArrow(_gather, "part long, kind int, key long, c long"), "grams")
-    total = cut(asked.groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
+    total = cut(asked.groupBy("key", "kind").agg(F.sum("c").alias("c")), "counts")
     words = total.where("kind = 1")
     n_train, n_kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     pairs = np.zeros((256, 256))
@@ -179,7 +215,7 @@ def ppm_scores(
     weighed = total.where("kind = 0").select("key", "c", context).groupBy("context")
     valued = weighed.applyInArrow(weigh, "kind int, key long, value double")
     valued = valued.unionAll(words.select("kind", "key", F.col("c").cast("double").alias("value")))
-    answers = asked.select("part", "kind", "key").join(valued, ["kind", "key"]).select("part", "kind", "key", "value")
+    answers = asked.select("part", "kind", "key").join(valued, ["key", "kind"]).select("part", "kind", "key", "value")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_())]
         + [(name, pa.int64()) for name in ("n_tokens", "n_known", "train_tokens")]
@@ -191,13 +227,13 @@ def ppm_scores(
             return schema.empty_table()
         kind, key, value = (right.column(name).to_numpy() for name in ("kind", "key", "value"))
         order = np.argsort(key[kind == 0])
-        gram, length = key[kind == 0][order], value[kind == 0][order]
+        grammar, length = Lookup(key[kind == 0][order]), value[kind == 0][order]
         count = dict(zip(key[kind == 1].tolist(), value[kind == 1].tolist(), strict=True))
         texts = text_bytes(left.column("text").combine_chunks())
         each = []
         for start, stop in slices(texts):
             sequence, lengths = grams(texts[start:stop])
-            each.append(np.add.reduceat(length[np.searchsorted(gram, sequence)], np.cumsum(lengths) - lengths))
+            each.append(np.add.reduceat(length[grammar.places(sequence)], np.cumsum(lengths) - lengths))
         each = np.concatenate(each)
         cost: dict[bytes, float] = {}
         tokens, known, base = [], [], []
