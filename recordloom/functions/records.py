@@ -92,10 +92,26 @@ def value_text_sql(value: str, name: str) -> str:
         WHEN {name} = 'str' THEN try_variant_get({value}, '$', 'string')
         WHEN {name} = 'bool' THEN initcap(to_json({value}))
         WHEN {name} = 'NoneType' THEN 'None'
-        WHEN {name} = 'float' THEN CAST(try_variant_get({value}, '$', 'double') AS STRING)
+        WHEN {name} = 'float' THEN {float_text_sql(f"try_variant_get({value}, '$', 'double')")}
         ELSE to_json({value}) END"""
 
 
+def float_text_sql(number: str) -> str:
+    """Text of a double as string formatting prints it: plain from 1e-4 to below 1e16, else with an exponent.
+
+    The cast gives the same digits, but writes an exponent from 1e7 on and below 1e-3.
+    """
+    digits = "regexp_replace(replace(replace(x.m, '-', ''), '.', ''), '(?<=.)0+$', '')"
+    parts = f"struct(if(startswith(x.m, '-'), '-', '') AS sign, {digits} AS d, x.e AS e)"
+    plain = "concat(p.sign, rpad(substring(p.d, 1, p.e + 1), p.e + 1, '0'), '.', if(length(p.d) > p.e + 1, substring(p.d, p.e + 2), '0'))"
+    exponent = "concat('e', if(p.e < 0, '-', '+'), lpad(abs(p.e), 2, '0'))"
+    scientific = f"concat(p.sign, substring(p.d, 1, 1), if(length(p.d) > 1, concat('.', substring(p.d, 2)), ''), {exponent})"
+    chosen = f"CASE WHEN p.e BETWEEN 0 AND 15 THEN {plain} WHEN p.e = -4 THEN concat(p.sign, '0.000', p.d) ELSE {scientific} END"
+    split = "struct(substring_index(t, 'E', 1) AS m, CAST(substring_index(t, 'E', -1) AS INT) AS e)"
+    rewritten = let(split, "x", let(parts, "p", chosen))
+    return let(f"CAST({number} AS STRING)", "t", f"if(contains(t, 'E'), {rewritten}, t)")
+
+
 def json_text(value: Column | str, depth: int = 3, item_sep: str = ",", key_sep: str = ":") -> Column:
     """JSON text with sorted keys at every level.
 
@@ -201,14 +217,14 @@ def flatten_sql(record: str) -> str:
     return f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
 
 
-def expand_sql(nodes: str) -> str:
-    """Take nodes apart level by level until only leaves are left.
+def expand_sql(nodes: str, expanded: str | None = None) -> str:
+    """Take nodes apart level by level until only leaves are left. `expanded`: the nodes that replace a node `n`.
 
     A fold over level numbers stands for the loop. It does nothing once all nodes are
     leaves; levels beyond the usual ones are only counted for the records that have them.
     """
     state = "struct(nodes AS nodes, exists(nodes, n -> NOT n.done) AS open)"
-    level = let(f"flatten(transform(acc.nodes, n -> {_EXPANDED_NODE}))", "nodes", state)
+    level = let(f"flatten(transform(acc.nodes, n -> {expanded or _EXPANDED_NODE}))", "nodes", state)
 
     def fold(start: str, first: int, last: int) -> str:
         return f"aggregate(sequence({first}, {last}), {start}, (acc, level) -> if(acc.open, {level}, acc))"

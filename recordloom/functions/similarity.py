@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.columns import as_column, let, literal, over
 from recordloom.functions.fields import align_sql, value_match_sql
-from recordloom.functions.records import top_level_sql, type_name_sql
+from recordloom.functions.records import expand_sql, top_level_sql, type_name_sql
 from recordloom.functions.text import WORD_PATTERN
 
 
@@ -37,62 +37,64 @@ def char_overlap_sql(left: str, right: str) -> str:
     return f"if({total} > 0, 2D * ({shared}) / {total}, 0D)"
 
 
-def value_similarity(left: Column | str, right: Column | str, list_depth: int = 2) -> Column:
+def value_similarity(left: Column | str, right: Column | str) -> Column:
     """Similarity of two VARIANT values by their types; 0 for types that do not go together.
 
     Strings by character overlap, numbers and booleans by distance, records by the share of
     common keys with equal values, lists by the mean similarity of their elements over the
-    longer length. `list_depth` is how many levels of lists in lists are followed.
+    longer length, to any depth of lists in lists.
     """
-    return over(lambda left, right: value_similarity_sql(left, right, list_depth), left=left, right=right)
+    return over(lambda left, right: value_similarity_sql(left, right), left=left, right=right)
 
 
-def value_similarity_sql(left: str, right: str, list_depth: int) -> str:
-    pair = f"p{list_depth}"
+# A pair of lists becomes the pairs of its elements, each with its share of the weight; all other pairs are done.
+_ELEMENT_PAIRS = let(
+    "struct(try_variant_get(n.l, '$', 'array<variant>') AS l, try_variant_get(n.r, '$', 'array<variant>') AS r)",
+    "q",
+    """if(q.l IS NULL OR q.r IS NULL, array(struct(n.l AS l, n.r AS r, n.w AS w, true AS done)),
+        filter(zip_with(q.l, q.r, (a, b) ->
+            struct(a AS l, b AS r, n.w / greatest(size(q.l), size(q.r)) AS w, false AS done)),
+            c -> c.l IS NOT NULL AND c.r IS NOT NULL))""",
+)
+
+
+def value_similarity_sql(left: str, right: str) -> str:
+    start = f"array(struct({left} AS l, {right} AS r, 1D AS w, false AS done))"
+    pairs = expand_sql(start, f"if(n.done, array(n), {_ELEMENT_PAIRS})")
+    return f"aggregate({pairs}, 0D, (total, n) -> total + n.w * coalesce({_plain_similarity_sql('n.l', 'n.r')}, 0D))"
+
+
+def _plain_similarity_sql(left: str, right: str) -> str:
+    """Similarity of two values that are not both lists."""
 
     def number(side: str) -> str:
-        value = f"{pair}.{side}"
-        flag = f"CAST(try_variant_get({value}, '$', 'boolean') AS DOUBLE)"
-        return f"if({pair}.{side}t = 'bool', {flag}, try_variant_get({value}, '$', 'double'))"
+        flag = f"CAST(try_variant_get(p.{side}, '$', 'boolean') AS DOUBLE)"
+        return f"if(p.{side}t = 'bool', {flag}, try_variant_get(p.{side}, '$', 'double'))"
 
     strings = let(
-        f"struct(try_variant_get({pair}.l, '$', 'string') AS l, try_variant_get({pair}.r, '$', 'string') AS r)",
+        "struct(try_variant_get(p.l, '$', 'string') AS l, try_variant_get(p.r, '$', 'string') AS r)",
         "s",
         char_overlap_sql("s.l", "s.r"),
     )
-    records = value_match_sql(align_sql(top_level_sql(f"{pair}.l"), top_level_sql(f"{pair}.r")))
-    lists = f"WHEN {pair}.lt = 'list' AND {pair}.rt = 'list' THEN " + (
-        list_similarity_sql(f"{pair}.l", f"{pair}.r", list_depth - 1) if list_depth > 0 else "0D"
-    )
+    records = value_match_sql(align_sql(top_level_sql("p.l"), top_level_sql("p.r")))
     numbers = "('int', 'float', 'bool')"
     chosen = f"""CASE
-        WHEN {pair}.lt = 'str' AND {pair}.rt = 'str' THEN {strings}
-        WHEN {pair}.lt IN {numbers} AND {pair}.rt IN {numbers}
-            THEN 1D / (1D + abs({number("l")} - {number("r")}))
-        WHEN {pair}.lt = 'dict' AND {pair}.rt = 'dict' THEN {records}
-        {lists}
+        WHEN p.lt = 'str' AND p.rt = 'str' THEN {strings}
+        WHEN p.lt IN {numbers} AND p.rt IN {numbers} THEN 1D / (1D + abs({number("l")} - {number("r")}))
+        WHEN p.lt = 'dict' AND p.rt = 'dict' THEN {records}
         ELSE 0D END"""
-    typed = (
-        f"struct({left} AS l, {right} AS r, {type_name_sql(left)} AS lt, {type_name_sql(right)} AS rt)"
-    )
-    return let(typed, pair, chosen)
+    typed = f"struct({left} AS l, {right} AS r, {type_name_sql(left)} AS lt, {type_name_sql(right)} AS rt)"
+    return let(typed, "p", chosen)
 
 
-def list_similarity(left: Column | str, right: Column | str, list_depth: int = 1) -> Column:
-    """Sum of the similarities of elements at equal places over the longer length; 0 if both are empty."""
-    return over(lambda left, right: list_similarity_sql(left, right, list_depth), left=left, right=right)
+def list_similarity(left: Column | str, right: Column | str) -> Column:
+    """Sum of the similarities of elements at equal places over the longer length; 0 if both are empty or one is no list."""
+    return over(lambda left, right: list_similarity_sql(left, right), left=left, right=right)
 
 
-def list_similarity_sql(left: str, right: str, list_depth: int) -> str:
-    lists = f"q{list_depth}"
-    score = f"coalesce({value_similarity_sql('a', 'b', list_depth)}, 0D)"
-    total = f"aggregate(zip_with({lists}.l, {lists}.r, (a, b) -> {score}), 0D, (total, x) -> total + x)"
-    longest = f"greatest(size({lists}.l), size({lists}.r))"
-    pair = (
-        f"struct(try_variant_get({left}, '$', 'array<variant>') AS l, "
-        f"try_variant_get({right}, '$', 'array<variant>') AS r)"
-    )
-    return let(pair, lists, f"if({longest} > 0, {total} / {longest}, 0D)")
+def list_similarity_sql(left: str, right: str) -> str:
+    lists = " AND ".join(f"startswith(schema_of_variant({side}), 'ARRAY')" for side in (left, right))
+    return f"if({lists}, {value_similarity_sql(left, right)}, 0D)"
 
 
 # --- vectors ----------------------------------------------------------------------

@@ -179,6 +179,19 @@ VALUES = [
 ]
 
 
+def test_lists_are_compared_to_any_depth(spark):
+    rows = [
+        ('[[["x"]]]', '[[["x"]]]', 1.0), ('[[[[1, 2]]]]', '[[[[1, 3]]]]', 0.75), ('[[[["a"]]], 1]', '[[[["a"]]], "b"]', 0.5),
+        ('[[[[]]]]', '[[[[]]]]', 0.0), ("[" * 40 + "7" + "]" * 40, "[" * 40 + "7" + "]" * 40, 1.0), ("[1, 2]", "[1]", 0.5),
+        ("[1]", "1", 0.0), ("[]", "[]", 0.0), ("[null]", "[null]", 0.0),
+    ]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, a string, b string, s double")
+    a, b = parse_record("a"), parse_record("b")
+    found = df.select("s", similarity.value_similarity(a, b).alias("v"), similarity.list_similarity(a, b).alias("l"))
+    for row in found.orderBy("i").collect():
+        assert row.v == pytest.approx(row.s) and row.l == pytest.approx(row.s)
+
+
 def test_value_similarity(spark):
     rows = [(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(VALUES)]
     df = spark.createDataFrame(rows, "i int, a string, b string")

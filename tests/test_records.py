@@ -84,6 +84,13 @@ def test_flatten_both_forms(spark):
     assert sorted(map(tuple, record_ops.explode_fields(parsed, "v").collect())) == expected
 
 
+def test_floats_print_as_string_formatting_prints_them(spark):
+    values = [1e7, 12345678.5, -12345678.5, 1e-5, 1.25e-4, 1e15, 1e16, 1.5e16, 1e20, -2.5e-7, 0.001, 900.0, 0.1, 100200300.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    texts = df.select("i", F.expr(records.float_text_sql("x")).alias("t")).orderBy("i").collect()
+    assert [row.t for row in texts] == [str(x) for x in values]
+
+
 def test_flatten_has_no_depth_limit(spark):
     deep = {"v": 1, "l": [[2]]}
     for i in range(60):

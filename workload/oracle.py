@@ -321,9 +321,8 @@ ORACLE_SQL: dict[str, str] = {
     "s3_training_table": with_(D2, REPAIRED, formatted(False))
     + "SELECT input, preprocessed_input, output, text FROM fmt",
     "s4_doc_scan": "SELECT page_id, regexp_extract(url, '[^/]*$') AS file_name, html AS text FROM pages WHERE url LIKE '%#top'",
-    "s6_export_split": """SELECT doc_id, lang, source, 'eval' AS split FROM (
-        SELECT *, row_number() OVER (ORDER BY md5('1738:' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents)
-        WHERE place <= ceil(0.3::DOUBLE * n)""",
+    "s6_export_split": """SELECT doc_id, lang, source, CASE WHEN place <= ceil(0.3::DOUBLE * n) THEN 'eval' ELSE 'train' END AS split FROM (
+        SELECT *, row_number() OVER (ORDER BY md5('1738:' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents)""",
     "p1_concat_pages": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "p1b_chunk": """SELECT doc_id, (s // 900)::INTEGER AS pos, substring(text, s + 1, 1000) AS chunk
         FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 100 - 1, 0) + 1, 900)) AS s FROM documents)""",
@@ -414,8 +413,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, row_number() OVER (ORDER BY md5('1738:' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents)""",
     "w3_split_hash": """SELECT doc_id, CASE WHEN ('0x' || substring(md5('1738:' || doc_id), 1, 8))::BIGINT % 10000 < 3000
       THEN 'eval' ELSE 'train' END AS split FROM documents""",
-    "w4_row_index": """SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row
-      FROM events WHERE event_type = 'click'""",
+    "w4_row_index": """SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row FROM events""",
     "l1_input_example": with_(D2, REPAIRED, formatted(False))
     + "SELECT id, input, preprocessed_input, output, text FROM fmt ORDER BY id LIMIT 5",
     "l2_canonical": with_(D3) + f"SELECT pair_id, {sorted_json('predicted_json')} AS canonical FROM d3",

@@ -86,8 +86,7 @@ def s6_export_split(spark, sf_dir):
     path = scratch_path(spark, "export")
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     tables.export_splits(split.split_exact(docs, "doc_id"), path, fmt="json")
-    back = spark.read.schema("doc_id bigint, lang string, source string, split string").json(path)
-    return back.where("split = 'eval'")
+    return spark.read.schema("doc_id bigint, lang string, source string, split string").json(path)
 
 
 # --- projections and filters --------------------------------------------------------
@@ -319,7 +318,7 @@ def w3_split_hash(spark, sf_dir):
 @query
 def w4_row_index(spark, sf_dir):
     events = derived.table(spark, sf_dir, "events").select("event_id", "event_type")
-    return order.row_index(events.where("event_type = 'click'"), "event_id")
+    return order.row_index(events, "event_id")
 
 
 @query
