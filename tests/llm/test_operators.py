@@ -11,7 +11,7 @@ import xxhash
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, language, lines, pages, pii, ppm, quality, simhash, topk
+from recordloom.llm import bpe, decontaminate, language, lines, near, pages, pii, ppm, quality, simhash, topk
 from recordloom.llm.queries import op10_decontaminate, op6_topk
 
 SMALL = "/root/testdata/sf0.001"
@@ -256,6 +256,67 @@ def test_simhash_odd(odd, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_copies(rows):
+    """Rows (id, text) that stay, by comparing all pairs."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and len(a & b) * 5 >= len(a | b) * 4):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    groups = collections.defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[top(i)].append(row)
+    return [{row for row in group if row[0] == group[0][0]} for group in groups.values()]
+
+
+def edited_copies():
+    random.seed(8)
+    word = lambda: "w%d" % random.randrange(3000)
+    rows, common = [], [word() for _ in range(30)]
+    for _ in range(60):
+        base = [word() for _ in range(random.choice((3, 6, 20, 60, 200)))] + common * random.randrange(2)
+        for _ in range(random.randrange(1, 6)):
+            own = list(base)
+            for _ in range(random.randrange(0, max(1, len(own) // 25) + 1)):
+                own[random.randrange(len(own))] = word()
+            rows.append((len(rows), random.choice((" ", "  ", "\n")).join(own).upper() if random.random() < 0.3 else " ".join(own)))
+    base = [word() for _ in range(80)]
+    for _ in range(40):  # a large group whose members differ from each other
+        base = list(base)
+        base[random.randrange(80)] = word()
+        rows.append((len(rows), " ".join(base)))
+    return rows
+
+
+def check_first_rows(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    import corpus_pipeline
+
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()]
+    groups = first_of_copies(rows)
+    assert len(found) == len(groups)
+    assert all(len(group & set(found)) == 1 for group in groups)
+
+
+def test_pipeline_near_copies_match_all_pairs(spark, texts):
+    rows = edited_copies()
+    assert len(first_of_copies(rows)) < len({t.lower() for _, t in rows}) - 20
+    check_first_rows(spark, rows + [(1000 + i, t) for i, t in texts.items()])
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First <b>bold</b> text, long enough
 to count.<p>Second&nbsp;one.<ul><li>item<li>more</ul><form>Name <input></form></article>
