@@ -317,6 +317,13 @@ def test_pipeline_near_copies_match_all_pairs(spark, texts):
     check_first_rows(spark, rows + [(1000 + i, t) for i, t in texts.items()])
 
 
+def test_pipeline_keeps_different_texts_of_null_and_repeated_ids(spark, none):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d + " end"), (None, c), (None, None), (None, " "), (8, "short text"), (9, "short text too")]
+    check_first_rows(spark, rows)
+    assert near.first_rows(none).count() == 0 and near.first_rows(none).columns == none.columns
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First <b>bold</b> text, long enough
 to count.<p>Second&nbsp;one.<ul><li>item<li>more</ul><form>Name <input></form></article>
