@@ -22,12 +22,16 @@ FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._+%-]*[A-Za-z0-9])?(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}(?::?\d{2})?)|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
+    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)|\.\d))",
     re.ASCII,
 )
+GROUP = re.compile(r"\d+", re.ASCII)
+GROUP_END = re.compile(r"(?!\w|-(?!\d)|\.\d)", re.ASCII)
+# lengths of the groups of digits that card numbers are usually written in
+USUAL = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 
 
 def permute(value: list[int], radix: int, key: bytes, tweak: bytes) -> list[int]:
@@ -70,12 +74,49 @@ def valid_ssn(digits: str) -> bool:
 
 
 def _date(text: str) -> tuple[str, datetime.date] | None:
-    shape = "%Y-%m-%d" if text[4] == "-" else "%d/%m/%Y" if "/" in text else "%d.%m.%Y"
-    try:
-        day = datetime.datetime.strptime(text, shape).date()
-    except ValueError:
-        return None
-    return (shape, day) if 0 <= (day - FIRST_DAY).days < DAYS else None
+    """The format and the day; between slashes the month comes first only where it cannot come second."""
+    shapes = ("%Y-%m-%d",) if text[4] == "-" else ("%d/%m/%Y", "%m/%d/%Y") if "/" in text else ("%d.%m.%Y",)
+    for shape in shapes:
+        try:
+            day = datetime.datetime.strptime(text, shape).date()
+        except ValueError:
+            continue
+        return (shape, day) if 0 <= (day - FIRST_DAY).days < DAYS else None
+    return None
+
+
+def _cards(text: str, start: int) -> list[tuple[int, bool]]:
+    """Ends of the valid card numbers made of whole groups of digits from `start`, and whether usual; longest first."""
+    found, digits, sizes = [], "", []
+    while (group := GROUP.match(text, start)) and len(digits) + len(group.group()) <= 19:
+        digits += group.group()
+        sizes.append(len(group.group()))
+        start = group.end() + 1
+        if len(digits) >= 13 and GROUP_END.match(text, group.end()) and check_digit(digits[:-1]) == digits[-1]:
+            found.append((group.end(), len(sizes) == 1 or tuple(sizes) in USUAL))
+        if text[group.end() : start] not in (" ", "-"):
+            break
+    return found[::-1]
+
+
+def card_span(text: str, start: int, end: int) -> tuple[int, int] | int:
+    """Start and end of the card number in a run of groups of digits, or where to search on.
+
+    Groups before or behind a number, such as a date of expiry, do not hide it. A number in usual groups goes
+    before one that overlaps it and is valid by chance.
+    """
+    while True:
+        group = GROUP.match(text, start)
+        found = _cards(text, start)
+        usual = [stop for stop, is_usual in found if is_usual]
+        if usual:
+            return start, usual[0]
+        later = [m.start() for m in GROUP.finditer(text, group.end(), found[0][0])] if found else []
+        if found and not any(is_usual for place in later for _, is_usual in _cards(text, place)):
+            return start, found[0][0]
+        start = group.end() + 1
+        if start >= end or text[start - 1] != "-":  # groups behind a blank are found from there by themselves
+            return group.end()
 
 
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
@@ -100,7 +141,8 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
             day = int(_digits(f"{day:05d}", key, tweak))
             if day < DAYS:
                 made = FIRST_DAY + datetime.timedelta(day)
-                return made.strftime(found[0])
+                if found[0] != "%m/%d/%Y" or made.day > 12:  # what has the month first stays readable in one way
+                    return made.strftime(found[0])
     digits = "".join(c for c in text if c.isdigit())
     if kind == "phone":
         return _laid(text, digits[:-10] + _digits(digits[-10:], key, tweak))
@@ -119,14 +161,21 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and start, end and kind of what they replace, in characters of the original."""
-    made, spans, done = [], [], 0
-    for match in FIND.finditer(text):
+    made, spans, done, place = [], [], 0, 0
+    while match := FIND.search(text, place):
         kind = match.lastgroup or ""
-        new = pseudonym(kind, match.group(), key)
+        start, place = match.span()
+        if kind == "card":
+            span = card_span(text, start, place)
+            if isinstance(span, int):
+                place = span
+                continue
+            start, place = span
+        new = pseudonym(kind, text[start:place], key)
         if new is not None:
-            made += [text[done : match.start()], new]
-            done = match.end()
-            spans.append((match.start(), done, kind))
+            made += [text[done:start], new]
+            done = place
+            spans.append((start, done, kind))
     return "".join([*made, text[done:]]), spans
 
 
@@ -137,7 +186,7 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY) -> Data
     """The table with personal values in the texts replaced, and `pii_spans`: start, end (characters of the original)
     and kind of each.
 
-    Valid dates (1900 to 2099), IPv4 addresses, phone and social security numbers, card numbers with a right check
+    Valid dates (1900 to 2099; between slashes with the month first where it cannot come second), IPv4 addresses, phone and social security numbers, card numbers with a right check
     digit, local parts of mail addresses and long hexadecimal secrets go through a keyed Feistel network over
     their own digits: the result is valid and of the same format, and equal values get equal pseudonyms in all
     documents. Numbers that are not valid stay. A permutation may leave a rare value as it is. Null texts stay

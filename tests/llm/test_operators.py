@@ -194,6 +194,38 @@ def test_pseudonyms():
     assert same[1] == f"{day}/{month}/{year}" and same[2] == f"{day}.{month}.{year}"
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("4111 1111 1111 1111 123", {"card": "4111 1111 1111 1111"}),
+        ("4111111111111111 12/27", {"card": "4111111111111111"}),
+        ("4111-1111-1111-1111-123", {"card": "4111-1111-1111-1111"}),
+        ("0000-4111-1111-1111-1111", {"card": "4111-1111-1111-1111"}),
+        ("no 12 4111 1111 1111 1111 12/2027", {"card": "4111 1111 1111 1111"}),
+        ("1234 4111 1111 1111 1111", {"card": "4111 1111 1111 1111"}),
+        ("4111 1111 1111 1111 2001-03-04", {"card": "4111 1111 1111 1111", "date": "2001-03-04"}),
+        ("7 2001-03-04 4111 1111 1111 1111", {"date": "2001-03-04", "card": "4111 1111 1111 1111"}),
+        ("1234567890123457 017-555-7713", {"phone": "017-555-7713"}),
+        ("born 12/31/1987.", {"date": "12/31/1987"}),
+        ("at 1987-02-28T10:00:00Z", {"date": "1987-02-28"}),
+        ("at 1987-02-28T10:00:00+01:00", {"date": "1987-02-28"}),
+    ],
+)
+def test_pseudonyms_beside_other_digits(text, kinds):
+    new, spans = pii.replace(text, b"k")
+    assert [(kind, text[start:end]) for start, end, kind in spans] == list(kinds.items())
+    assert len(new) == len(text) and not any(value in new for value in kinds.values())
+
+
+def test_pseudonyms_of_dates_with_the_month_first():
+    days = [f"{m:02d}/{d:02d}/{y}" for y in (1950, 1987) for m in range(1, 13) for d in range(1, 29)]
+    made = [pii.pseudonym("date", day, b"k") for day in days]
+    assert len(set(made)) == len(days)
+    assert all((int(a[3:5]) > 12) == (int(b[3:5]) > 12) for a, b in zip(days, made, strict=True))
+    for invalid in ("13/13/1987", "1987-02-30T10:00:00Z", "1987-02-28Tuesday", "411111111111111112"):
+        assert pii.replace(invalid, b"k") == (invalid, [])
+
+
 def test_pseudonyms_on_odd_tables(odd, none):
     rows = pii.pseudonymised(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id: r.text for r in rows}[1] is None
