@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import cut, pieces
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:(?!\n[ \t\r]*\n)[\s\S])+")}
-MIN_WORDS = 8
+MIN_WORDS = 1
 
 
 def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -48,7 +48,7 @@ def without_repeats(
 ) -> DataFrame:
     """(doc_id, text, removed array of (start, end, first_doc, first_start)) for every row.
 
-    Units of fewer than `min_words` words stay and are not compared, so common short lines remain. Of equal units the
+    Units of one word or more are compared unless `min_words` asks for more; shorter ones and blank ones stay. Of equal units the
     one with the smallest (id, offset) stays, a null id last; the others go, and the spans give their place in the
     original text and where the unit stays. A removed line takes its line break along. Rows that repeat entirely (id
     and text) share one rank and lose the same units. Null texts stay null, empty ones empty; an empty table gives an

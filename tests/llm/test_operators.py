@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, decontaminate, language, lines, near, pages, pii, ppm, quality, simhash, topk
-from recordloom.llm.queries import op10_decontaminate, op6_topk
+from recordloom.llm.queries import op10_decontaminate, op3_lines, op6_topk
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, items string, scan string, pii_spans string"
@@ -128,6 +129,23 @@ def test_lines_match_brute_force(spark, texts):
     assert {r.doc_id: r.text or "" for r in lines.without_repeats(docs, min_words=3).collect()} == expected
 
 
+def test_op3_leaves_no_line_twice(spark, texts):
+    seen, expected = set(), {}
+    for doc_id in sorted(texts):
+        kept = []
+        for line in re.split(r"(?<=\n)", texts[doc_id]):
+            words = tuple(line.lower().split())
+            if not words or words not in seen:
+                kept.append(line)
+            seen.add(words)
+        expected[doc_id] = "".join(kept)
+    found = {r.doc_id: r.text or "" for r in op3_lines(spark, SMALL).collect()}
+    assert found == expected
+    repeated = "Released under the MIT license.\nown %d"
+    docs = spark.createDataFrame([(i, repeated % i) for i in range(3)], "doc_id long, text string")
+    assert [r.text for r in lines.without_repeats(docs).orderBy("doc_id").collect()] == [repeated % 0, "own 1", "own 2"]
+
+
 def test_languages(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
