@@ -51,15 +51,26 @@ def _outside(name: str, rest: str) -> bool:
         return True
     if not rest or name in ("body", "html"):
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", rest, re.I):
-        return True
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", rest, re.I))
+
+
+def _named(name: str, rest: str) -> bool:
+    """Whether a class, id or role has a word of what surrounds main text."""
+    if not rest or name in ("body", "html"):
+        return False
     return any(not AROUND.isdisjoint(re.split(r"[^a-z]+", found.lower())) for found in MARKED.findall(rest))
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """Blocks in page order: tag path, whether it lies outside of main text by name, text, characters in links."""
-    stack: list[tuple[str, bool]] = []
-    found: list[tuple[tuple[str, ...], bool, str, int]] = []
+    """Blocks in page order: tag path, whether it lies outside of main text by name, text, characters in links.
+
+    A name alone does not put an article or main element outside, nor what holds the first of them if all are held by
+    named elements; if none has text left, nor what holds more than half of the text.
+    """
+    stack: list[tuple[str, bool | int]] = []  # an element outside by its name only has a number from 2 on
+    found: list[tuple[tuple[str, ...], tuple[bool | int, ...], str, int]] = []
+    holders: list[set[int]] = []
+    numbers = 1
     parts: list[str] = []
     linked = 0
 
@@ -68,7 +79,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             path = tuple(name for name, _ in stack if name not in INLINE)
-            found.append((path, any(out for _, out in stack), text, min(linked, len(text))))
+            found.append((path, tuple(out for _, out in stack if out), text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -111,6 +122,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     break
                 if stack[i][0] in SECTIONS:
                     break
+            if name == "body":
+                heads = [i for i, entry in enumerate(stack) if entry[0] == "head"]
+                if heads:
+                    pop_to(heads[0])
             if name in CLOSES:
                 ends, stops = CLOSES[name]
                 for i in range(len(stack) - 1, -1, -1):
@@ -119,13 +134,34 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     if stack[i][0] in ends:
                         pop_to(i)
         if name not in VOID and not rest.endswith("/"):
-            out = _outside(name, rest)
+            out: bool | int = _outside(name, rest)
+            if not out and name not in ("article", "main") and _named(name, rest):
+                numbers += 1
+                out = numbers
             if out:
                 flush()
             stack.append((name, out))
+            if name in ("article", "main") and not any(mark is True for _, mark in stack):
+                holders.append({mark for _, mark in stack if mark})
     take(page[done:])
     flush()
-    return found
+    wrapping = set() if not all(holders) else set().union(*holders[:1])
+    if not any(wrapping.issuperset(marks) and ("article" in path or "main" in path) for path, marks, _, _ in found):
+        held: dict[int, int] = defaultdict(int)
+        whole = 0
+        for _, marks, text, linked in found:
+            if True not in marks:
+                whole += len(text) - linked
+                for mark in marks:
+                    held[mark] += len(text) - linked
+        wrapping |= {mark for mark, length in held.items() if 2 * length > whole}
+    return [(path, not wrapping.issuperset(marks), text, linked) for path, marks, text, linked in found]
+
+
+def _middle(weighted: list[tuple[float, int]]) -> float:
+    """The smallest of the ratios up to which half of the blocks with own text lie."""
+    values = sorted(value for value, own in weighted if own > 0)
+    return values[(len(values) - 1) // 2] if values else 0.0
 
 
 def main_blocks(page: str) -> list[str]:
@@ -134,14 +170,16 @@ def main_blocks(page: str) -> list[str]:
     For each path: characters outside of links per block, weighted by the punctuation per block. The ratio is
     smoothed with that of all paths of the same enclosing section, so headings and lists follow the paragraphs around
     them. Paths outside an article (or, without one, a main element) have none if there is one, as have paths outside
-    by name. Paths below a tenth of the largest ratio go.
+    by name. Without such an element, paths below a tenth of the ratio of the middle block go, so one
+    long block does not outweigh the others; within it, only paths go that are nothing but links.
     """
     found = blocks(page)
     inside = [block for block in found if not block[1]]
+    chosen = False
     for name in ("article", "main"):
         own = [block for block in inside if name in block[0]]
         if own:
-            inside = own
+            inside, chosen = own, True
             break
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     sections: dict[tuple[str, ...], tuple[str, ...]] = {}
@@ -157,7 +195,7 @@ def main_blocks(page: str) -> list[str]:
             total[2] += 1
     ratio = {key: total[0] / total[2] * (1 + min(1.0, total[1] / total[2])) for key, total in sums.items()}
     fused = {path: (ratio[path] + ratio[section]) / 2 for path, section in sections.items()}
-    least = LEAST * max(fused.values(), default=0.0)
+    least = 0.0 if chosen else LEAST * _middle([(fused[path], len(text) - linked) for path, _, text, linked in inside])
     return [text for path, _, text, _ in inside if fused[path] >= least and fused[path] > 0]
 
 

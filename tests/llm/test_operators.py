@@ -388,6 +388,28 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+@pytest.mark.parametrize("wrapper", ["article", "div"])
+def test_pages_keep_paragraphs_beside_a_long_quote(wrapper):
+    parts = [f"<h2>Head {i}</h2>" + "".join(f"<p>{f'{i} {j}'.ljust(249, 'x')}.</p>" for j in range(6)) for i in range(5)]
+    page = f"<body><{wrapper}>{''.join(parts)}<blockquote><p>{'quote ' * 1000}.</p></blockquote></{wrapper}></body>"
+    assert len(pages.main_blocks(page)) == 36
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post has-comments", "search", "tags meta share"])
+def test_pages_keep_text_in_named_wrappers(name):
+    own = "<h1>Head</h1><p>The text, which is long enough.</p><p>And more of it, too.</p>"
+    beside = "<div class='sidebar'><p>Beside it.</p></div><div class='comments'><p>A reader.</p></div>"
+    kept = ["Head", "The text, which is long enough.", "And more of it, too."]
+    for page in (
+        f"<body><div class='{name}'><article>{own}</article>{beside}</div></body>",
+        f"<body><article class='{name}'>{own}{beside}</article></body>",
+        f"<body><div class='{name}'>{own}</div>{beside}</body>",
+        f"<body><div class='{name}'><article>{own}</article><div id='comments'><article><p>{'A reader. ' * 99}</p></article></div></div></body>",
+        f"<html><head><title>T</title><meta charset=utf-8><body><div>{own}</div>{beside}</body>",
+    ):
+        assert pages.main_blocks(page) == kept, page
+
+
 def plain_scan(text, items, size=10):
     words, hit, names = decontaminate.normal_words(text.encode()), set(), set()
     for item, benchmark in items:
