@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, language, lines, pages, pii, ppm, quality, simhash, topk
+from recordloom.llm import automaton, bpe, decontaminate, fim, filters, language, lines, pages, pii, ppm, quality, simhash, topk
 from recordloom.llm.common import table
 
 
@@ -67,9 +67,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents"))))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digests(automaton.encode_decode(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_ppm, op2_bpe, op3_lines, op4_language, op5_quality, op6_topk, op7_pii, op8_simhash, op9_pages, op10_decontaminate
+        op1_ppm, op2_bpe, op3_lines, op4_language, op5_quality, op6_topk, op7_pii, op8_simhash, op9_pages, op10_decontaminate,
+        op11_fim, op12_filters, op13_automaton,
     )
 }
