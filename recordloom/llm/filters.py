@@ -8,7 +8,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The five filters in the order of their mask bits, and their limits.
@@ -53,7 +53,8 @@ def mask_counts(
     Bit i of the mask is set if filter i of `FILTERS` fails. A null part or text counts as empty. A document fails E if
     its text is that of a smaller id anywhere in the table; a null id is neither smaller nor larger than another. It is
     good or toxic if a label row of its id says so. Texts are compared by their SHA-256 sums. No group of copies meets
-    in one task: rows are counted by sum, part and labels before the smallest id of a sum is looked up.
+    in one task: rows are counted by sum, part and labels before the smallest id of a sum is looked up, and texts are read
+    once.
     """
     narrow = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -76,8 +77,8 @@ def mask_counts(
         F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("without_id"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("low"),
     )
-    firsts = groups.groupBy("digest").agg(F.min("low.doc_id").alias("first_id"))
-    placed = groups.join(firsts, "digest")
+    # One row for each part and label of a text is left, so no window holds more rows than that, whatever its copies.
+    placed = groups.withColumn("first_id", F.min("low.doc_id").over(Window.partitionBy("digest")))
     first = F.col("without_id") + F.when(F.col("low.doc_id") == F.col("first_id"), F.col("low.n")).otherwise(0)
     split = placed.select(
         "part", "good", "toxic",
