@@ -90,6 +90,7 @@ def value_text_sql(value: str, name: str) -> str:
     """Text of a value as string formatting prints it; lists and dicts as JSON."""
     return f"""CASE
         WHEN {name} = 'str' THEN try_variant_get({value}, '$', 'string')
+        WHEN {name} IN ('list', 'dict') THEN {json_text_sql(value)}
         WHEN {name} = 'bool' THEN initcap(to_json({value}))
         WHEN {name} = 'NoneType' THEN 'None'
         WHEN {name} = 'float' THEN {float_text_sql(f"try_variant_get({value}, '$', 'double')")}
@@ -104,7 +105,7 @@ def float_text_sql(number: str) -> str:
     digits = "regexp_replace(replace(replace(x.m, '-', ''), '.', ''), '(?<=.)0+$', '')"
     parts = f"struct(if(startswith(x.m, '-'), '-', '') AS sign, {digits} AS d, x.e AS e)"
     plain = "concat(p.sign, rpad(substring(p.d, 1, p.e + 1), p.e + 1, '0'), '.', if(length(p.d) > p.e + 1, substring(p.d, p.e + 2), '0'))"
-    exponent = "concat('e', if(p.e < 0, '-', '+'), lpad(abs(p.e), 2, '0'))"
+    exponent = "concat('e', if(p.e < 0, '-', '+'), lpad(abs(p.e), greatest(length(abs(p.e)), 2), '0'))"
     scientific = f"concat(p.sign, substring(p.d, 1, 1), if(length(p.d) > 1, concat('.', substring(p.d, 2)), ''), {exponent})"
     chosen = f"CASE WHEN p.e BETWEEN 0 AND 15 THEN {plain} WHEN p.e = -4 THEN concat(p.sign, '0.000', p.d) ELSE {scientific} END"
     split = "struct(substring_index(t, 'E', 1) AS m, CAST(substring_index(t, 'E', -1) AS INT) AS e)"
@@ -112,33 +113,59 @@ def float_text_sql(number: str) -> str:
     return let(f"CAST({number} AS STRING)", "t", f"if(contains(t, 'E'), {rewritten}, t)")
 
 
-def json_text(value: Column | str, depth: int = 3, item_sep: str = ",", key_sep: str = ":") -> Column:
-    """JSON text with sorted keys at every level.
+def json_text(value: Column | str, item_sep: str = ",", key_sep: str = ":") -> Column:
+    """JSON text with sorted keys at every level, however deep.
 
-    Numbers written with a zero fraction keep it (``900.0``) down to `depth` levels of
-    nesting; below that the built-in writer prints ``900``.
+    Floats are written as string formatting prints them (``900.0``, ``1e+300``). A value is taken apart level by level into an ordered
+    array of pieces, finished text and values still to be opened, until only text is left to be joined.
     """
-    return over(lambda value: json_text_sql(value, depth, item_sep, key_sep), value=value)
-
-
-def json_text_sql(value: str, depth: int, item_sep: str = ",", key_sep: str = ":") -> str:
-    whole = f"schema_of_variant({value}) RLIKE {literal(WHOLE_FLOAT)}"
-    scalar = f"concat(to_json({value}), if({whole}, '.0', ''))"
-    if depth == 0:
-        return scalar
-    entry, item = f"e{depth}", f"i{depth}"
-    members = f"transform(map_entries({map_sql(value)}), {entry} -> {_entry_sql(entry, depth, item_sep, key_sep)})"
-    items = f"transform({_list_sql(value)}, {item} -> {json_text_sql(item, depth - 1, item_sep, key_sep)})"
-    sep = literal(item_sep)
-    return (
-        f"coalesce(concat('{{', array_join({members}, {sep}), '}}'), "
-        f"concat('[', array_join({items}, {sep}), ']'), {scalar})"
+    return over(lambda value: json_text_sql(value, item_sep, key_sep), value=value)
+
+
+def json_text_sql(value: str, item_sep: str = ",", key_sep: str = ":") -> str:
+    return f"if({value} IS NULL, NULL, {_joined_sql(f'array({_piece_sql(value)})', item_sep, key_sep)})"
+
+
+def map_json_text(record: Column, item_sep: str = ",", key_sep: str = ":") -> Column:
+    """JSON text of a MAP<STRING,VARIANT>, in the order of the map; what lies in it as by `json_text`."""
+    return over(
+        lambda record: f"if({record} IS NULL, NULL, {_joined_sql(_object_sql(record, item_sep, key_sep), item_sep, key_sep)})",
+        record=record,
     )
 
 
-def _entry_sql(entry: str, depth: int, item_sep: str = ",", key_sep: str = ":") -> str:
-    key = f"regexp_replace(to_json(array({entry}.key)), '^\\\\[|\\\\]$', '')"
-    return f"concat({key}, {literal(key_sep)}, {json_text_sql(entry + '.value', depth - 1, item_sep, key_sep)})"
+def _joined_sql(pieces: str, item_sep: str, key_sep: str) -> str:
+    opened = f"""if(n.done, array(n), coalesce(
+        {_object_sql(map_sql("n.value"), item_sep, key_sep)}, {_array_sql(_list_sql("n.value"), item_sep)}))"""
+    return f"array_join(transform({expand_sql(pieces, opened)}, n -> n.text), '')"
+
+
+def _text_piece_sql(text: str) -> str:
+    return f"struct({text} AS text, CAST(NULL AS VARIANT) AS value, true AS done)"
+
+
+def _piece_sql(value: str) -> str:
+    """A value as a piece: finished text unless it is an object or a list."""
+    number = float_text_sql(f"try_variant_get({value}, '$', 'double')")
+    scalar = f"if({name_of_schema_sql('s')} = 'float', {number}, to_json({value}))"
+    nested = "startswith(s, 'OBJECT') OR startswith(s, 'ARRAY')"
+    piece = f"if({nested}, struct('' AS text, {value} AS value, false AS done), {_text_piece_sql(scalar)})"
+    return let(f"schema_of_variant({value})", "s", piece)
+
+
+def _object_sql(members: str, item_sep: str, key_sep: str) -> str:
+    """Pieces of a map, null for null: a brace, its entries, a brace."""
+    key = "regexp_replace(to_json(array(e.key)), '^\\\\[|\\\\]$', '')"
+    before = f"concat(if(i > 0, {literal(item_sep)}, ''), {key}, {literal(key_sep)})"
+    entries = f"transform(map_entries({members}), (e, i) -> array({_text_piece_sql(before)}, {_piece_sql('e.value')}))"
+    return f"concat(array({_text_piece_sql(literal('{'))}), flatten({entries}), array({_text_piece_sql(literal('}'))}))"
+
+
+def _array_sql(items: str, item_sep: str) -> str:
+    """Pieces of a list, null for null."""
+    separated = f"array({_text_piece_sql(f"if(i > 0, {literal(item_sep)}, '')")}, {_piece_sql('item')})"
+    entries = f"transform({items}, (item, i) -> {separated})"
+    return f"concat(array({_text_piece_sql(literal('['))}), flatten({entries}), array({_text_piece_sql(literal(']'))}))"
 
 
 def map_sql(value: str) -> str:
@@ -149,16 +176,6 @@ def _list_sql(value: str) -> str:
     return f"try_variant_get({value}, '$', 'array<variant>')"
 
 
-def map_json_text(record: Column, depth: int = 3) -> Column:
-    """JSON text of a MAP<STRING,VARIANT>, in the order of the map."""
-    return over(
-        lambda record: (
-            f"concat('{{', array_join(transform(map_entries({record}), e -> {_entry_sql('e', depth)}), ','), '}}')"
-        ),
-        record=record,
-    )
-
-
 def rename_keys(record: Column, mapping: dict[str, str], direction: str = "schema_to_json") -> Column:
     """Rename keys of a MAP<STRING,VARIANT> by a small mapping.
 

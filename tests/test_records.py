@@ -41,24 +41,6 @@ def test_type_names(apply):
     assert set(expected) == set(records.TYPE_NAMES)
 
 
-def plain_flatten(record):
-    """Path rules restated: (path, value) of every leaf, equal paths included."""
-    out = []
-
-    def visit(path, value, in_list):
-        if isinstance(value, dict):
-            for key in sorted(value):
-                visit(f"{path} {key}" if path else key, value[key], False)
-        elif isinstance(value, list) and not in_list:
-            for i, item in enumerate(value):
-                visit(f"{path}[{i}]", item, True)
-        else:
-            out.append((path, value))
-
-    visit("", record, False)
-    return out
-
-
 NESTED = [
     {"a": {"b": 1, "c": [1, {"d": 2}, [3], [], {}]}, "e": "x", "z": {}, "n": None, "t": True, "f": 1.0, "l": []},
     {"a b": 1, "a": {"b": 2}, "k": [{"x": [{"y": [1, 2]}]}]},
@@ -67,25 +49,26 @@ NESTED = [
 ]
 
 
-def as_text(value):
-    return json.dumps(value, separators=(",", ":")) if isinstance(value, (list, dict)) else str(value)
+# The leaves of NESTED, written by hand: row, path, type, text.
+LEAVES = [
+    (0, "a b", "int", "1"), (0, "a c[0]", "int", "1"), (0, "a c[1] d", "int", "2"), (0, "a c[2]", "list", "[3]"),
+    (0, "a c[3]", "list", "[]"), (0, "e", "str", "x"), (0, "f", "float", "1.0"), (0, "n", "NoneType", "None"),
+    (0, "t", "bool", "True"),
+    (1, "a b", "int", "1"), (1, "a b", "int", "2"), (1, "k[0] x[0] y[0]", "int", "1"), (1, "k[0] x[0] y[1]", "int", "2"),
+    (2, "", "int", "3"), (2, "b", "int", "2"), (2, "c[0] ", "int", "1"),
+]
 
 
 def test_flatten_both_forms(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(NESTED)], "i int, s string")
     parsed = df.select("i", records.parse_record("s").alias("v"))
-    expected = sorted(
-        (i, path, type(value).__name__, as_text(value))
-        for i, record in enumerate(NESTED)
-        for path, value in plain_flatten(record)
-    )
     in_row = parsed.select("i", F.inline(records.flatten_record("v")))
-    assert sorted(map(tuple, in_row.collect())) == expected
-    assert sorted(map(tuple, record_ops.explode_fields(parsed, "v").collect())) == expected
+    assert sorted(map(tuple, in_row.collect())) == sorted(LEAVES)
+    assert sorted(map(tuple, record_ops.explode_fields(parsed, "v").collect())) == sorted(LEAVES)
 
 
 def test_floats_print_as_string_formatting_prints_them(spark):
-    values = [1e7, 12345678.5, -12345678.5, 1e-5, 1.25e-4, 1e15, 1e16, 1.5e16, 1e20, -2.5e-7, 0.001, 900.0, 0.1, 100200300.0]
+    values = [1e7, 12345678.5, -12345678.5, 1e-5, 1.25e-4, 1e15, 1e16, 1.5e16, 1e20, 1e100, -2.5e-300, -2.5e-7, 0.001, 900.0, 0.1, 100200300.0]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
     texts = df.select("i", F.expr(records.float_text_sql("x")).alias("t")).orderBy("i").collect()
     assert [row.t for row in texts] == [str(x) for x in values]
@@ -97,8 +80,11 @@ def test_flatten_has_no_depth_limit(spark):
         deep = {f"k{i}": deep, "side": i}
     df = spark.createDataFrame([(0, json.dumps(deep)), (1, '{"a":{"b":{}}}')], "i int, s string")
     parsed = df.select("i", records.parse_record("s").alias("v"))
-    expected = sorted((0, path, type(v).__name__, as_text(v)) for path, v in plain_flatten(deep))
-    assert len(expected) == 62
+    above = [" ".join(f"k{j}" for j in range(59, i, -1)) for i in range(-1, 60)]
+    expected = sorted(
+        [(0, f"{above[0]} v", "int", "1"), (0, f"{above[0]} l[0]", "list", "[2]")]
+        + [(0, f"{above[i + 1]} side".strip(), "int", str(i)) for i in range(60)]
+    )
     assert sorted(map(tuple, parsed.select("i", F.inline(records.flatten_record("v"))).collect())) == expected
     named = parsed.select("i", F.lit("kept").alias("value"), F.lit(1).alias("done"), "v")
     assert {(r.value, r.done) for r in record_ops.explode_fields(named, "v").collect()} == {("kept", 1)}
@@ -124,39 +110,47 @@ def test_last_wins(apply):
     ]
 
 
-def plain_rename(record, mapping, direction):
-    if not record:
-        return None
-    out = dict(record)
-    for key, value in mapping.items():
-        old, new = (key, value) if direction == "schema_to_json" else (value, key)
-        if old in out:
-            out[new] = out.pop(old)
-    return out
-
-
-@pytest.mark.parametrize("direction", records.DIRECTIONS)
-@pytest.mark.parametrize(
-    "mapping",
-    [
-        {"a": "x"},
-        {"a": "b", "b": "c"},
-        {"a": "b", "b": "a"},
-        {"x": "a", "y": "b", "z": "a"},
-        {"a": "a", "q": "w"},
-        {},
-        {"it's": "a\\b"},
-    ],
-)
-def test_rename(apply, mapping, direction):
-    values = [{"a": 1, "b": "two", "c": {"d": 3.0}}, {"c": None, "x": [1]}, {"it's": 1, "a\\b": 2}, {}]
-    renamed = apply(
-        [json.dumps(v) for v in values],
+TO_JSON, TO_SCHEMA = records.DIRECTIONS
+PLAIN = {"a": 1, "b": "two", "c": {"d": 3.0}}
+# Written by hand: direction, mapping, record, record with its keys renamed.
+RENAMED = [
+    (TO_JSON, {"a": "x"}, PLAIN, {"b": "two", "c": {"d": 3.0}, "x": 1}),
+    (TO_JSON, {"a": "x"}, {"c": None}, {"c": None}),
+    (TO_JSON, {"a": "b", "b": "c"}, PLAIN, {"c": 1}),
+    (TO_JSON, {"a": "b", "b": "a"}, PLAIN, {"a": 1, "c": {"d": 3.0}}),
+    (TO_JSON, {"x": "a", "y": "b", "z": "a"}, {"c": None, "x": [1]}, {"a": [1], "c": None}),
+    (TO_JSON, {"a": "a", "q": "w"}, PLAIN, PLAIN),
+    (TO_JSON, {"it's": "a\\b"}, {"it's": 1, "a\\b": 2}, {"a\\b": 1}),
+    (TO_JSON, {}, PLAIN, PLAIN),
+    (TO_JSON, {"a": "x"}, {}, None),
+    (TO_SCHEMA, {"a": "x"}, PLAIN, PLAIN),
+    (TO_SCHEMA, {"a": "x"}, {"c": None, "x": [1]}, {"a": [1], "c": None}),
+    (TO_SCHEMA, {"a": "b", "b": "c"}, PLAIN, {"a": "two", "b": {"d": 3.0}}),
+    (TO_SCHEMA, {"x": "a", "y": "b", "z": "a"}, PLAIN, {"c": {"d": 3.0}, "x": 1, "y": "two"}),
+    (TO_SCHEMA, {"it's": "a\\b"}, {"it's": 1, "a\\b": 2}, {"it's": 2}),
+    (TO_SCHEMA, {}, {}, None),
+]
+
+
+@pytest.mark.parametrize("direction, mapping, record, renamed", RENAMED)
+def test_rename(apply, direction, mapping, record, renamed):
+    texts = apply(
+        [json.dumps(record)],
         lambda c: records.map_json_text(records.rename_keys(records.as_map(records.parse_record(c)), mapping, direction)),
     )
-    expected = [plain_rename(v, mapping, direction) for v in values]
-    assert [None if r is None else json.loads(r) for r in renamed] == expected
-    assert all(r is None or list(json.loads(r)) == sorted(json.loads(r)) for r in renamed)
+    # keys come out in alphabetical order, as they are written in the table
+    assert texts == [renamed and json.dumps(renamed, separators=(",", ":"))]
+
+
+def test_json_text_of_any_depth(apply):
+    text = '{"f":{"e":[{"d":{"c":[[900.0,{"b":[1e+300,1e-05,"\\"",null,true,{},[]],"a":-2.50}]]}}]},"a":7.0}'
+    ordered = '{"a":7.0,"f":{"e":[{"d":{"c":[[900.0,{"a":-2.5,"b":[1e+300,1e-05,"\\"",null,true,{},[]]}]]}}]}}'
+    deep = "[" * 300 + "1.0" + "]" * 300
+    cases = {text: ordered, deep: deep, "{}": "{}", "[]": "[]", '""': '""', "nothing": None, None: None}
+    assert apply(list(cases), lambda c: records.json_text(records.parse_record(c))) == list(cases.values())
+    assert apply([text, "[1]"], lambda c: records.map_json_text(records.as_map(records.parse_record(c)))) == [ordered, None]
+    spaced = apply([text], lambda c: records.json_text(records.parse_record(c), ", ", ": "))
+    assert spaced == [ordered.replace(",", ", ").replace(":", ": ")]
 
 
 def test_json_text(apply):
@@ -164,7 +158,7 @@ def test_json_text(apply):
     texts = apply([json.dumps(v) for v in values], lambda c: records.json_text(records.parse_record(c)))
     assert [json.loads(t) for t in texts] == values
     assert texts[0] == '{"a":[1.0,2,{"c":3.5,"d":"x\\"y"}],"b":900.0,"é":null}'
-    spaced = apply([json.dumps(values[0])], lambda c: records.json_text(records.parse_record(c), 3, ", ", ": "))
+    spaced = apply([json.dumps(values[0])], lambda c: records.json_text(records.parse_record(c), ", ", ": "))
     assert spaced == [json.dumps({"a": [1.0, 2, {"c": 3.5, "d": 'x"y'}], "b": 900.0, "é": None}, ensure_ascii=False)]
 
 
