@@ -127,21 +127,44 @@ def _words_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), {literal(WORD_PATTERN)}, 0)"
 
 
-def hashed_counts(text: Column | str, size: int) -> Column:
-    """Dense vector of word counts, words assigned to places by a hash.
+def word_counts(text: Column | str) -> Column:
+    """Sparse vector of the words of a text: STRUCT<words, counts, squares>.
 
-    The place comes from the first hexadecimal digits of the MD5 sum, so any other system
-    can compute the same vector.
+    `words` are the distinct words in order, `counts` the same words each with how often it occurs, `squares` the sum of
+    the squared counts.
     """
-    return over(lambda text: hashed_counts_sql(text, size), text=text)
+    return over(lambda text: word_counts_sql(text), text=text)
 
 
-def hashed_counts_sql(text: str, size: int) -> str:
-    places = f"transform({_words_sql(text)}, w -> CAST(conv(substring(md5(w), 1, 6), 16, 10) AS INT) % {int(size)})"
-    histogram = (
-        f"transform(sequence(0, {int(size) - 1}), place -> CAST(size(places) - size(array_remove(places, place)) AS FLOAT))"
-    )
-    return let(places, "places", histogram)
+def word_counts_sql(text: str) -> str:
+    starts = "filter(transform(ws, (w, i) -> if(i > 0 AND get(ws, i - 1) = w, NULL, i)), i -> i IS NOT NULL)"
+    counts = """transform(starts, (start, i) ->
+        struct(get(ws, start) AS word, CAST(coalesce(get(starts, i + 1), size(ws)) - start AS BIGINT) AS n))"""
+    vector = """struct(transform(counts, c -> c.word) AS words, counts AS counts,
+        aggregate(counts, 0L, (total, c) -> total + c.n * c.n) AS squares)"""
+    return let(f"sort_array({_words_sql(text)})", "ws", let(starts, "starts", let(counts, "counts", vector)))
+
+
+def sparse_dot_sql(left: str, right: str) -> str:
+    """Dot product of two vectors of `word_counts`, exact.
+
+    The distinct words they share are found first. Without repeated words on either side their number is the product;
+    otherwise the two ordered arrays are merged, so that equal words become neighbours, and folded once.
+    """
+    common = f"size(array_intersect({left}.words, {right}.words))"
+    merged = f"sort_array(concat({left}.counts, {right}.counts))"
+    step = """if(acc.word = x.word, struct(x.word AS word, 0L AS n, acc.total + acc.n * x.n AS total),
+        struct(x.word AS word, x.n AS n, acc.total AS total))"""
+    folded = f"aggregate({merged}, struct('' AS word, 0L AS n, 0L AS total), (acc, x) -> {step}, acc -> acc.total)"
+    return f"""CASE WHEN {common} = 0 THEN 0L
+        WHEN {left}.squares = size({left}.words) AND {right}.squares = size({right}.words) THEN CAST({common} AS BIGINT)
+        ELSE {folded} END"""
+
+
+def sparse_cosine_sql(left: str, right: str) -> str:
+    """Cosine of two vectors of `word_counts`; 0 when either has no words."""
+    scale = f"CAST({left}.squares AS DOUBLE) * CAST({right}.squares AS DOUBLE)"
+    return f"if({left}.squares > 0 AND {right}.squares > 0, CAST({sparse_dot_sql(left, right)} AS DOUBLE) / sqrt({scale}), 0D)"
 
 
 def bag_cosine(left: Column | str, right: Column | str) -> Column:

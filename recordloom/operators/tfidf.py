@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import tokens
+from recordloom.functions.tfidf import mean_cosine
+from recordloom.functions.tfidf import pair_tfidf as row_tfidf
 from recordloom.operators.lookup import join_by_frequency
 
 
@@ -49,47 +51,14 @@ def corpus_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def pair_tfidf(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Cosine of the i-th value of one record and the i-th of the other, fitted per pair.
+    """One row for each compared place of two arrays of texts, see `recordloom.functions.tfidf.pair_tfidf`.
 
-    `left` and `right` are arrays of texts. All values of both sides make up the corpus of a
-    pair; positions beyond the shorter side are not compared. The pairs are partitioned once,
-    before their texts are taken apart, and all counting happens inside that partitioning.
+    The whole corpus of a pair is in its row: nothing is shuffled or joined.
     """
-    size_left, size_right = F.size(left), F.size(right)
-
-    def side_of(values: str, mark: int) -> Column:
-        return F.transform(
-            F.col(values),
-            lambda text, i: F.struct(i.alias("pos"), F.lit(mark).alias("side"), tokens(text).alias("terms")),
-        )
-
-    values = pairs.repartition(key).select(
-        key,
-        (size_left + size_right).alias("docs"),
-        F.least(size_left, size_right).alias("compared"),
-        F.explode_outer(F.concat(side_of(left, 0), side_of(right, 1))).alias("v"),
-    ).where("v IS NOT NULL")
-    terms = values.select(
-        key, "docs", "compared", "v.pos", "v.side", F.explode_outer("v.terms").alias("term")
-    )
-    counted = terms.groupBy(key, "docs", "compared", "pos", "term").agg(
-        F.count_if((F.col("side") == 0) & F.col("term").isNotNull()).alias("l"),
-        F.count_if((F.col("side") == 1) & F.col("term").isNotNull()).alias("r"),
-    )
-    holders = (F.col("l") > 0).cast("int") + (F.col("r") > 0).cast("int")
-    idf = smoothed_idf(F.col("docs"), F.sum(holders).over(Window.partitionBy(key, "term")))
-    weighted = counted.withColumn("idf", idf).where("pos < compared")
-    weighted = weighted.select(key, "pos", (F.col("l") * F.col("idf")).alias("wl"), (F.col("r") * F.col("idf")).alias("wr"))
-    sums = weighted.groupBy(key, "pos").agg(
-        F.sum(F.col("wl") * F.col("wr")).alias("lr"),
-        F.sum(F.col("wl") * F.col("wl")).alias("ll"),
-        F.sum(F.col("wr") * F.col("wr")).alias("rr"),
-    )
-    product = F.col("ll") * F.col("rr")
-    cosine = F.when(product > 0, F.col("lr") / F.sqrt(product)).otherwise(F.lit(0.0))
-    return sums.select(key, "pos", cosine.alias("tfidf_cosine"))
+    return pairs.select(key, F.inline_outer(row_tfidf(left, right))).where("pos IS NOT NULL")
 
 
 def mean_pair_tfidf(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Mean of `pair_tfidf` per pair; a pair with nothing to compare has no row."""
-    return pair_tfidf(pairs, key, left, right).groupBy(key).agg(F.avg("tfidf_cosine").alias("tfidf_mean"))
+    means = pairs.select(key, F.explode_outer(F.array(mean_cosine(row_tfidf(left, right)))).alias("tfidf_mean"))
+    return means.where("tfidf_mean IS NOT NULL")

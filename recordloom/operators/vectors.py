@@ -10,8 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import as_column, let, over
-from recordloom.functions.similarity import dense_cosine, dot_sql, hashed_counts_sql
+from recordloom.functions.columns import as_column, over
+from recordloom.functions.similarity import word_counts_sql
 
 LEFT = "Dict 1"
 RIGHT = "Dict 2"
@@ -40,11 +40,12 @@ def principal_components(df: DataFrame, key: str, vector: str, k: int = COMPONEN
     return projected.select(key, *[points[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def pair_points(vectors: Column | str, k: int = COMPONENTS) -> Column:
-    """The field vectors of one pair projected on their own first `k` principal components.
+def pair_points(products: Column | str, k: int = COMPONENTS) -> Column:
+    """The fields of one pair placed on their own first `k` principal components.
 
-    One row holds one pair, so the work is spread as the rows are. Each component is turned
-    so that its largest coordinate is positive.
+    `products` holds the dot products of the vectors of all fields with each other; with their means taken off, their
+    eigenvectors are the components' coordinates, however long the vectors are. One row holds one pair, so the work is
+    spread as the rows are. Each component is turned so that its largest coordinate is positive.
     """
 
     @F.pandas_udf("array<array<double>>")
@@ -54,35 +55,38 @@ def pair_points(vectors: Column | str, k: int = COMPONENTS) -> Column:
         def points(rows):
             if rows is None or len(rows) == 0:
                 return []
-            data = np.array([np.asarray(row, dtype="float64") for row in rows])
-            data = data - data.mean(axis=0)
-            u, s, _ = np.linalg.svd(data, full_matrices=False)
-            coordinates = np.zeros((len(data), k))
-            found = (u * s)[:, :k]
+            gram = np.array([np.asarray(row, dtype="float64") for row in rows])
+            means = gram.mean(axis=0)
+            values, directions = np.linalg.eigh(gram - means - means[:, None] + means.mean())
+            values, directions = values[::-1][:k], directions[:, ::-1][:, :k]
+            found = directions * np.sqrt(np.where(values > 1e-12 * max(values[0], 1.0), values, 0.0))
             top = np.abs(found).argmax(axis=0)
+            coordinates = np.zeros((len(gram), k))
             coordinates[:, : found.shape[1]] = found * np.where(found[top, range(found.shape[1])] < 0, -1.0, 1.0)
             return coordinates.tolist()
 
         for batch in batches:
             yield batch.map(points)
 
-    return project(as_column(vectors))
+    return project(as_column(products))
 
 
-def labelled_vectors(fields: Column | str, side: str, size: int) -> Column:
-    """Fields of one side as ARRAY<STRUCT<label, vector, norm>>, each vector and norm computed once."""
-    vector = hashed_counts_sql("concat(x.path, ': ', x.text)", size)
-    entry = f"struct(concat(x.path, ' ({side})') AS label, v AS vector, sqrt({dot_sql('v', 'v')}) AS norm)"
-    return over(lambda fields: f"transform({fields}, x -> {let(vector, 'v', entry)})", fields=fields)
+def labelled_words(fields: Column | str, side: str) -> Column:
+    """Fields of one side as ARRAY<STRUCT<label, vector>>, the vector being the exact word counts of "path: text"."""
+    vector = word_counts_sql("concat(x.path, ': ', x.text)")
+    entry = f"struct(concat(x.path, ' ({side})') AS label, {vector} AS vector)"
+    return over(lambda fields: f"transform({fields}, x -> {entry})", fields=fields)
 
 
-def cosine_table(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
+def cosine_table(df: DataFrame, key: str, left: str, right: str, cosine: str) -> DataFrame:
     """Cosines between two arrays of labelled vectors of the same row, one row per combination.
 
-    The table has as many rows per pair as its records have field combinations, because that
-    matrix is the result asked for; fields of different pairs never meet.
+    `cosine` is the SQL text of the cosine of the vectors `l.vector` and `r.vector`. The table has as many rows per pair
+    as its records have field combinations, because that matrix is the result asked for; fields of different pairs
+    never meet.
     """
     rows = df.select(key, F.explode_outer(left).alias("l"), F.col(right).alias("_rights"))
     cells = rows.select(key, "l", F.explode_outer("_rights").alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
-    cosine = dense_cosine(F.col("l.vector"), F.col("r.vector"), F.col("l.norm"), F.col("r.norm"))
-    return cells.select(key, F.col("l.label").alias("left"), F.col("r.label").alias("right"), cosine.alias("cosine"))
+    return cells.select(
+        key, F.col("l.label").alias("left"), F.col("r.label").alias("right"), F.expr(cosine).alias("cosine")
+    )

@@ -2,8 +2,8 @@
 
 A table of pairs has a unique key and two VARIANT columns. Fields are aligned inside the
 row (see `recordloom.functions.fields`), so the measures, the decisions and the weighted
-error come out of the scan stage without a shuffle. Only a plugged-in embedder and TF-IDF
-need to move data.
+error come out of the scan stage without a shuffle. Only a plugged-in embedder needs to
+move data.
 
 Arrays become rows by the outer generators: for the inner ones the optimizer adds a filter on
 the size of the array below them, which computes the whole array a second time.
@@ -42,13 +42,16 @@ from recordloom.functions.records import (
 from recordloom.functions.similarity import (
     FIELD_BAG_COSINE,
     dense_cosine,
+    dot_sql,
     norm,
     sequence_ratio,
     sequence_ratios,
+    sparse_cosine_sql,
+    sparse_dot_sql,
 )
 from recordloom.operators.python_batches import EmbedderFactory, GeneratorFactory, embed_distinct, generate
-from recordloom.operators.tfidf import mean_pair_tfidf
-from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled_vectors, pair_points
+from recordloom.functions.tfidf import mean_cosine, pair_tfidf
+from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled_words, pair_points
 
 # Recommended weights of the four measures.
 RECOMMENDED_WEIGHTS = {
@@ -58,8 +61,6 @@ RECOMMENDED_WEIGHTS = {
     "similarity_score": 0.48,
 }
 
-HASHED_SIZE = 64
-
 
 def parse_pairs(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     """Replace two JSON text columns by the records in them."""
@@ -139,12 +140,29 @@ def value_texts(record: str, flat: bool = False) -> Column:
 def similarities_with_tfidf(
     pairs: DataFrame, key: str, left: str, right: str, flat: bool = False, sequence: bool = True
 ) -> DataFrame:
-    """`basic_similarities` on unflattened records, with the mean TF-IDF similarity of their values."""
-    basics = basic_similarities(pairs, key, left, right, flat=flat, sequence=sequence)
-    texts = pairs.select(key, value_texts(left, flat).alias("l_texts"), value_texts(right, flat).alias("r_texts"))
-    means = mean_pair_tfidf(texts, key, "l_texts", "r_texts")
-    tfidf = F.coalesce(F.col("tfidf_mean"), F.lit(0.0)).alias("textual_similarity_tfidf")
-    return basics.join(means, key, "left").select(*basics.columns, tfidf)
+    """`basic_similarities` on unflattened records, with the mean TF-IDF similarity of their values.
+
+    Everything comes out of the row: the leaves of both records are taken once, for the fields and for the texts.
+    """
+
+    def leaves(record: str) -> Column:
+        found = last_wins(flatten_record(record)) if flat else top_level_fields(record)
+        return F.coalesce(found, F.array().cast(LEAVES_TYPE))
+
+    taken = pairs.select(key, leaves(left).alias("_l"), leaves(right).alias("_r"))
+    aligned = taken.select(
+        key,
+        align_fields("_l", "_r").alias("fields"),
+        pair_tfidf(F.col("_l").getField("text"), F.col("_r").getField("text")).alias("_cosines"),
+    )
+    measures = {
+        "jaccard_similarity": key_jaccard("fields"),
+        "value_similarity": value_match("fields"),
+    }
+    if sequence:
+        measures["textual_similarity_seq"] = mean_sequence_ratio("fields")
+    tfidf = F.coalesce(mean_cosine("_cosines"), F.lit(0.0)).alias("textual_similarity_tfidf")
+    return aligned.select(key, *[value.alias(name) for name, value in measures.items()], tfidf)
 
 
 def record_similarities(pairs: DataFrame, key: str, left: str, right: str, raw: bool = True) -> DataFrame:
@@ -156,14 +174,18 @@ def record_similarities(pairs: DataFrame, key: str, left: str, right: str, raw:
     measured = pairs.select(
         key, left, right, keys(left).alias("_l"), keys(right).alias("_r")
     )
+    overlap = key_overlap("_l", "_r").alias("key_similarity")
+    if not raw:
+        return measured.select(key, overlap)
     usable = (F.size("_l") > 0) & (F.size("_r") > 0)
-    columns = [key, key_overlap("_l", "_r").alias("key_similarity")]
-    if raw:
-        texts = [
-            F.when(usable, json_text(record, item_sep=", ", key_sep=": ")) for record in (left, right)
-        ]
-        columns.append(F.coalesce(sequence_ratio(*texts), F.lit(0.0)).alias("raw_similarity"))
-    return measured.select(*columns)
+    texts = [
+        F.when(usable, json_text(record, item_sep=", ", key_sep=": ")).alias(name)
+        for record, name in ((left, "l"), (right, "r"))
+    ]
+    # through a generator: inside one projection the function would be given the whole expression to evaluate
+    written = measured.select(key, overlap, F.explode_outer(F.array(F.struct(*texts))).alias("_texts"))
+    ratio = F.coalesce(sequence_ratio(F.col("_texts.l"), F.col("_texts.r")), F.lit(0.0))
+    return written.select(key, "key_similarity", ratio.alias("raw_similarity"))
 
 
 # --- decisions ----------------------------------------------------------------------
@@ -281,29 +303,54 @@ def corpus_summary(compared: DataFrame) -> DataFrame:
 # --- data behind plots --------------------------------------------------------------
 
 
-def _with_vectors(pairs: DataFrame, key: str, left: str, right: str, size: int) -> DataFrame:
-    sides = [
-        labelled_vectors(last_wins(flatten_record(record)), side, size).alias(name)
-        for record, side, name in ((left, LEFT, "_l"), (right, RIGHT, "_r"))
+WORD_COSINE = sparse_cosine_sql("l.vector", "r.vector")
+DENSE_COSINE = f"if(l.norm > 0 AND r.norm > 0, {dot_sql('l.vector', 'r.vector')} / (l.norm * r.norm), 0D)"
+
+
+def _with_vectors(pairs: DataFrame, key: str, left: str, right: str, embedder: EmbedderFactory | None = None) -> DataFrame:
+    """Key and the labelled vectors of both sides, `_l` and `_r`: exact word counts, or vectors of an embedder."""
+    sides = ((left, LEFT, "_l"), (right, RIGHT, "_r"))
+    if embedder is None:
+        vectors = [labelled_words(last_wins(flatten_record(record)), side).alias(name) for record, side, name in sides]
+        return pairs.select(key, *vectors)
+    listed = [
+        over(
+            lambda leaves, side=side, name=name: f"""transform(coalesce({leaves}, CAST(array() AS {LEAVES_TYPE})), (x, i) ->
+                struct('{name}' AS side, i AS place, concat(x.path, ' ({side})') AS label, concat(x.path, ': ', x.text) AS text))""",
+            leaves=last_wins(flatten_record(record)),
+        )
+        for record, side, name in sides
     ]
-    return pairs.select(key, *sides)
+    rows = pairs.select(key, F.inline_outer(F.concat(*listed)))
+    embedded = embed_distinct(rows, "text", embedder, spread_by=[key, "side", "place"])
+    entry = F.struct("place", "label", "vector", norm("vector").alias("norm"))
+    held = [F.sort_array(F.collect_list(F.when(F.col("side") == name, entry))).alias(name) for _, _, name in sides]
+    return embedded.groupBy(key).agg(*held)
 
 
-def similarity_matrix(pairs: DataFrame, key: str, left: str, right: str, size: int = HASHED_SIZE) -> DataFrame:
+def similarity_matrix(
+    pairs: DataFrame, key: str, left: str, right: str, embedder: EmbedderFactory | None = None
+) -> DataFrame:
     """Cosine of every field of both records with every other, as rows."""
-    both = _with_vectors(pairs, key, left, right, size).select(key, F.concat("_l", "_r").alias("_all"))
-    return cosine_table(both, key, "_all", "_all")
+    both = _with_vectors(pairs, key, left, right, embedder).select(key, F.concat("_l", "_r").alias("_all"))
+    return cosine_table(both, key, "_all", "_all", DENSE_COSINE if embedder else WORD_COSINE)
 
 
-def similarity_block(pairs: DataFrame, key: str, left: str, right: str, size: int = HASHED_SIZE) -> DataFrame:
+def similarity_block(
+    pairs: DataFrame, key: str, left: str, right: str, embedder: EmbedderFactory | None = None
+) -> DataFrame:
     """The part of `similarity_matrix` that sets the left fields against the right ones."""
-    return cosine_table(_with_vectors(pairs, key, left, right, size), key, "_l", "_r")
+    both = _with_vectors(pairs, key, left, right, embedder)
+    return cosine_table(both, key, "_l", "_r", DENSE_COSINE if embedder else WORD_COSINE)
 
 
-def plot_points(pairs: DataFrame, key: str, left: str, right: str, size: int = HASHED_SIZE) -> DataFrame:
-    """Three coordinates for every field of each pair, from the principal components of the pair."""
-    both = _with_vectors(pairs, key, left, right, size).select(key, F.concat("_l", "_r").alias("_all"))
-    placed = both.withColumn("_points", pair_points(F.col("_all.vector"), 3))
+def plot_points(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """Three coordinates for every field of each pair, from the principal components of the pair's word counts."""
+    both = _with_vectors(pairs, key, left, right).select(key, F.concat("_l", "_r").alias("_all"))
+    products = f"transform(_all, l -> transform(_all, r -> CAST({sparse_dot_sql('l.vector', 'r.vector')} AS DOUBLE)))"
+    # through a generator: inside one projection the function would be given the whole expression to evaluate
+    multiplied = both.select(key, "_all", F.explode_outer(F.array(F.expr(products))).alias("_products"))
+    placed = multiplied.withColumn("_points", pair_points("_products", 3))
     rows = """inline_outer(zip_with(_all, _points,
         (f, p) -> struct(f.label AS label, p[0] AS x, p[1] AS y, p[2] AS z)))"""
     return placed.select(key, F.expr(rows)).where("label IS NOT NULL")

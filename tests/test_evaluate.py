@@ -11,7 +11,6 @@ from recordloom.functions import similarity
 from recordloom.functions.records import parse_record
 from recordloom.operators import tfidf, vectors
 from recordloom.plans import evaluate
-from tests.test_records import as_text, plain_flatten
 
 PAIRS = [
     ({"a": {"b": 1, "c": [1, 2]}, "x": "big red dog", "k": True}, {"a": {"b": 1.0, "c": [1, 3]}, "y": "q", "k": 1}),
@@ -29,14 +28,23 @@ def pairs(spark):
     return evaluate.parse_pairs(spark.createDataFrame(rows, "id int, l string, r string"), "l", "r")
 
 
-def flat(record):
-    return dict(plain_flatten(record))
+# The fields of PAIRS, written by hand.
+FIELDS = [
+    ({"a b": 1, "a c[0]": 1, "a c[1]": 2, "k": True, "x": "big red dog"}, {"a b": 1.0, "a c[0]": 1, "a c[1]": 3, "k": 1, "y": "q"}),
+    ({"n": None, "x": "big red dog"}, {"n": None, "x": "Dog, red big!"}),
+    (
+        {"l[0]": [1], "l[1]": [2], "t": "one two three four five six"},
+        {"l[0]": [1], "l[1]": [3], "t": "one two three four five seven"},
+    ),
+    ({}, {}),
+    ({"a": "same"}, {}),
+    ({"m": "ab" * 150}, {"m": "ba" * 150}),
+]
 
 
-def expected_basic(left, right):
-    l, r = flat(left), flat(right)  # noqa: E741
+def expected_basic(l, r):  # noqa: E741
     both, union = set(l) & set(r), set(l) | set(r)
-    ratios = [SequenceMatcher(None, as_text(l[k]), as_text(r[k])).ratio() for k in both]
+    ratios = [SequenceMatcher(None, str(l[k]), str(r[k])).ratio() for k in both]
     return (
         len(both) / len(union) if union else 0,
         sum(l[k] == r[k] for k in both) / len(both) if both else 0,
@@ -46,13 +54,13 @@ def expected_basic(left, right):
 
 def test_basic_similarities(pairs):
     rows = evaluate.basic_similarities(pairs, "id", "l", "r").orderBy("id").collect()
-    for row, (left, right) in zip(rows, PAIRS):
+    for row, (left, right) in zip(rows, FIELDS):
         assert tuple(row)[1:] == pytest.approx(expected_basic(left, right))
 
 
 def test_field_rows_and_missing(pairs):
     rows = evaluate.field_rows(pairs, "id", "l", "r").collect()
-    assert len(rows) == sum(len(set(flat(a)) | set(flat(b))) for a, b in PAIRS)
+    assert len(rows) == sum(len(set(a) | set(b)) for a, b in FIELDS)
     missing = {tuple(r) for r in evaluate.missing_fields(pairs, "id", "l", "r").collect()}
     assert missing == {(0, "x", "Dict 2"), (0, "y", "Dict 1"), (4, "a", "Dict 2")}
 
@@ -72,7 +80,7 @@ def expected_decision(key, l, r, threshold):  # noqa: E741
         return "missing in Dict 1"
     if key not in r:
         return "missing in Dict 2"
-    a, b = as_text(l[key]), as_text(r[key])
+    a, b = str(l[key]), str(r[key])
     score = 1.0 if a == b else plain_cosine(bag(f"{key}: {a}"), bag(f"{key}: {b}"))
     return "good" if score == 1 else "minor difference" if score >= threshold else "value mismatch"
 
@@ -80,9 +88,9 @@ def expected_decision(key, l, r, threshold):  # noqa: E741
 def test_decisions(pairs):
     found = {(r.id, r.path): r.decision for r in evaluate.decision_details(pairs, "id", "l", "r").collect()}
     expected = {
-        (i, key): expected_decision(key, flat(a), flat(b), 0.8)
-        for i, (a, b) in enumerate(PAIRS)
-        for key in set(flat(a)) | set(flat(b))
+        (i, key): expected_decision(key, a, b, 0.8)
+        for i, (a, b) in enumerate(FIELDS)
+        for key in set(a) | set(b)
     }
     assert found == expected
     assert set(found.values()) == {"good", "minor difference", "value mismatch", "missing in Dict 1", "missing in Dict 2"}
@@ -157,25 +165,12 @@ def test_record_similarities(pairs):
         assert (row.key_similarity, row.raw_similarity) == pytest.approx((keys, SequenceMatcher(None, *texts).ratio()))
 
 
-def plain_value_similarity(a, b):
-    if isinstance(a, str) and isinstance(b, str):
-        total = len(a) + len(b)
-        return 2 * sum(c in b for c in a) / total if total else 0
-    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return 1 / (1 + abs(a - b))
-    if isinstance(a, list) and isinstance(b, list):
-        longest = max(len(a), len(b))
-        return sum(map(plain_value_similarity, a, b)) / longest if longest else 0
-    if isinstance(a, dict) and isinstance(b, dict):
-        both = set(a) & set(b)
-        return sum(a[k] == b[k] for k in both) / len(both) if both else 0
-    return 0
-
-
+# Written by hand: two values and their similarity.
 VALUES = [
-    ("abca", "ab"), ("ab", "abca"), ("", ""), ("é😀x", "x😀"), (1, 3), (1.5, 1), (True, 0), ("1", 1), (None, None),
-    ([1, 2, "ab"], [1, 4]), ([], []), ([], [1]), ([[1], [2, 3]], [[1], [4, 3]]), ({"a": 1, "b": 2}, {"a": 1, "b": 3}),
-    ({"a": [1, 2], "b": {"c": 1}}, {"a": [1, 2], "b": {"c": 2}}), ({}, {}), ([{"a": 1}], [{"a": 1, "b": 2}]),
+    ("abca", "ab", 1.0), ("ab", "abca", 2 / 3), ("", "", 0.0), ("é😀x", "x😀", 0.8), (1, 3, 1 / 3), (1.5, 1, 2 / 3), (True, 0, 0.5),
+    ("1", 1, 0.0), (None, None, 0.0), ([1, 2, "ab"], [1, 4], 4 / 9), ([], [], 0.0), ([], [1], 0.0),
+    ([[1], [2, 3]], [[1], [4, 3]], 5 / 6), ({"a": 1, "b": 2}, {"a": 1, "b": 3}, 0.5),
+    ({"a": [1, 2], "b": {"c": 1}}, {"a": [1, 2], "b": {"c": 2}}, 0.5), ({}, {}, 0.0), ([{"a": 1}], [{"a": 1, "b": 2}], 1.0),
 ]
 
 
@@ -193,11 +188,10 @@ def test_lists_are_compared_to_any_depth(spark):
 
 
 def test_value_similarity(spark):
-    rows = [(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(VALUES)]
+    rows = [(i, json.dumps(a), json.dumps(b)) for i, (a, b, _) in enumerate(VALUES)]
     df = spark.createDataFrame(rows, "i int, a string, b string")
     scores = df.select("i", similarity.value_similarity(parse_record("a"), parse_record("b")).alias("s")).orderBy("i")
-    for row, (a, b) in zip(scores.collect(), VALUES):
-        assert row.s == pytest.approx(plain_value_similarity(a, b)), (a, b)
+    assert [row.s for row in scores.collect()] == pytest.approx([score for *_, score in VALUES])
 
 
 def test_string_measures(spark):
@@ -245,7 +239,23 @@ def test_pair_tfidf(spark, plan_of):
             a, b = weights[pos], weights[len(left) + pos]
             expected[i, pos] = sum(v * b.get(t, 0) for t, v in a.items())
     assert found == pytest.approx(expected)
-    assert plan_of(result).count("Exchange") == 1
+    assert "Exchange" not in plan_of(result)
+    means = {r.i: r.tfidf_mean for r in tfidf.mean_pair_tfidf(df, "i", "l", "r").collect()}
+    assert means == pytest.approx({i: sum(c for (j, _), c in expected.items() if j == i) / n for i, n in ((0, 2), (1, 1), (2, 2))})
+
+
+def test_tfidf_comes_out_of_the_row(pairs, spark, plan_of):
+    texts = spark.createDataFrame([("{}", "[]")], "l string, r string").withColumn("id", F.monotonically_increasing_id())
+    parsed = evaluate.parse_pairs(texts, "l", "r")
+    plan = plan_of(evaluate.similarities_with_tfidf(parsed, "id", "l", "r", sequence=False))
+    assert not any(word in plan for word in ("Exchange", "Join", "Python", "Union", "Aggregate"))
+    assert plan.count("md5(") == plan_of(parsed).count("md5(") > 0
+    for flat in (False, True):
+        rows = evaluate.similarities_with_tfidf(pairs, "id", "l", "r", flat=flat, sequence=False)
+        basics = evaluate.basic_similarities(pairs, "id", "l", "r", flat=flat, sequence=False)
+        assert {tuple(r)[:3] for r in rows.collect()} == {tuple(r) for r in basics.collect()}
+        empty = rows.where("id = 3").first()
+        assert empty.textual_similarity_tfidf == 0.0
 
 
 def test_corpus_tfidf(spark):
@@ -259,7 +269,7 @@ def test_corpus_tfidf(spark):
 def test_matrix_block_and_points(pairs):
     small = pairs.where("id < 3")
     matrix = evaluate.similarity_matrix(small, "id", "l", "r").collect()
-    sizes = [(len(flat(a)), len(flat(b))) for a, b in PAIRS[:3]]
+    sizes = [(len(a), len(b)) for a, b in FIELDS[:3]]
     assert len(matrix) == sum((a + b) ** 2 for a, b in sizes)
     assert all(row.cosine == pytest.approx(1.0) for row in matrix if row.left == row.right)
     cells = {(r.id, r.left, r.right): r.cosine for r in matrix}
@@ -274,6 +284,38 @@ def test_matrix_block_and_points(pairs):
         assert sum(p.x**2 for p in own) >= sum(p.y**2 for p in own) >= sum(p.z**2 for p in own)
 
 
+def test_cosines_of_the_table_are_those_of_the_decisions(pairs):
+    details = evaluate.decision_details(pairs, "id", "l", "r").where("l_text != r_text").collect()
+    cells = {(r.id, r.left, r.right): r.cosine for r in evaluate.similarity_block(pairs, "id", "l", "r").collect()}
+    assert details and all(cells[r.id, f"{r.path} (Dict 1)", f"{r.path} (Dict 2)"] == r.similarity for r in details)
+
+
+def test_word_vectors_are_exact(spark):
+    texts = ["", "a", "a a a b", "b c", "A, a! c é é é", "x " * 3_000 + " ".join(f"w{i}" for i in range(3_000)), "?!"]
+    df = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i int, t string")
+    left = df.select(F.col("i").alias("i"), similarity.word_counts("t").alias("l"))
+    right = df.select(F.col("i").alias("j"), similarity.word_counts("t").alias("r"))
+    cells = left.crossJoin(right).select("i", "j", F.expr(similarity.sparse_cosine_sql("l", "r")).alias("c")).collect()
+    for row in cells:
+        assert row.c == pytest.approx(plain_cosine(bag(texts[row.i]), bag(texts[row.j])))
+
+
+def test_table_with_an_embedder(pairs):
+    model = words_of_length()
+    cells = evaluate.similarity_matrix(pairs, "id", "l", "r", embedder=words_of_length).collect()
+    assert len(cells) == sum((len(a) + len(b)) ** 2 for a, b in FIELDS)
+    side = {" (Dict 1)": 0, " (Dict 2)": 1}
+
+    def vector(i, label):
+        path = label[:-9]
+        return dict(enumerate(model([f"{path}: {FIELDS[i][side[label[-9:]]][path]}"])[0]))
+
+    for row in cells:
+        assert row.cosine == pytest.approx(plain_cosine(vector(row.id, row.left), vector(row.id, row.right)))
+    block = {tuple(r) for r in evaluate.similarity_block(pairs, "id", "l", "r", embedder=words_of_length).collect()}
+    assert block == {tuple(r) for r in cells if r.left.endswith("1)") and r.right.endswith("2)")}
+
+
 def test_pca_and_pooling(spark):
     import numpy as np
 

@@ -73,6 +73,29 @@ d4 AS (
     ELSE left(expected_json, length(expected_json) - 1) END AS generated_output
   FROM d4p)"""
 
+_LINE = ", ".join(
+    f"'{name}': lines[1].{name}{' + 1' if name == 'l_quantity' else ''}"
+    for name in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+)
+
+
+def _order(status: str = "o_orderstatus", buyer: str = "{'key': o_custkey, 'priority': o_orderpriority}", lines: str = "lines") -> str:
+    return f"to_json({{'{status}': o_orderstatus, 'o_totalprice': o_totalprice, 'buyer': {buyer}, 'lines': {lines}}})"
+
+
+D5 = f"""{D1N},
+d5o AS (SELECT * REPLACE (coalesce(lines, []) AS lines) FROM orders LEFT JOIN d1l ON l_orderkey = o_orderkey),
+d3 AS (
+  SELECT o_orderkey AS pair_id, {_order()}::VARCHAR AS expected_json,
+    CASE o_orderkey % 6
+      WHEN 0 THEN {_order()}
+      WHEN 1 THEN {_order(buyer="{'key': o_custkey}")}
+      WHEN 2 THEN {_order(lines=f"CASE WHEN len(lines) > 0 THEN list_concat([{{{_LINE}}}], lines[2:]) ELSE lines END")}
+      WHEN 3 THEN {_order(lines="CASE WHEN len(lines) > 0 THEN lines[1:len(lines) - 1] ELSE lines END")}
+      WHEN 4 THEN {_order(buyer="{'key': o_custkey::VARCHAR, 'priority': o_orderpriority}")}
+      ELSE {_order(status="status")} END::VARCHAR AS predicted_json
+  FROM d5o)"""
+
 LAB = "lab AS (SELECT doc_id, to_json({'quality': quality, 'toxic': toxic})::VARCHAR AS structured FROM labels)"
 
 
@@ -186,6 +209,26 @@ fields AS (
   SELECT pair_id, path, lf.type AS l_type, lf.text AS l_text, rf.type AS r_type, rf.text AS r_text
   FROM lf FULL OUTER JOIN rf USING (pair_id, path))"""
 
+def deep_side(name: str, column: str) -> str:
+    """Leaves of the nested records of D5, taken from the tree of the JSON."""
+    return f"""{name} AS (
+  SELECT pair_id, replace(substring(t.fullkey, 3), '.', ' ') AS path, {type_of("t.value")} AS type,
+    CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' ELSE t.atom::VARCHAR END AS text
+  FROM d3, json_tree(d3.{column}) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
+
+
+D5F = (
+    D5,
+    f"""{deep_side("lf", "expected_json")},
+{deep_side("rf", "predicted_json")},
+fields AS (
+  SELECT pair_id, path, lf.type AS l_type, lf.text AS l_text, rf.type AS r_type, rf.text AS r_text
+  FROM lf FULL OUTER JOIN rf USING (pair_id, path))""",
+)
+
+MISSING = """SELECT pair_id, path, 'Dict 1' AS missing_in FROM (SELECT pair_id, path FROM rf EXCEPT SELECT pair_id, path FROM lf)
+    UNION ALL SELECT pair_id, path, 'Dict 2' FROM (SELECT pair_id, path FROM lf EXCEPT SELECT pair_id, path FROM rf)"""
+
 BASIC = """basic AS (
   SELECT pair_id,
     count(*) FILTER (l_type IS NOT NULL AND r_type IS NOT NULL) / count(*) AS jaccard_similarity,
@@ -261,8 +304,28 @@ cosines AS (
   FROM (SELECT pair_id, unnest(range(compared)) AS pos FROM sizes) LEFT JOIN products USING (pair_id, pos))"""
 
 
+# Exact word counts of the fields of D3, labelled by side, and the cosine of any two of a pair.
+WORD_VECTORS = """labelled AS (
+  SELECT pair_id, path || ' (Dict 1)' AS label, 'Dict 1' AS side, path || ': ' || text AS field FROM lf
+  UNION ALL SELECT pair_id, path || ' (Dict 2)', 'Dict 2', path || ': ' || text FROM rf),
+counted AS (
+  SELECT pair_id, label, word, count(*) AS c
+  FROM (SELECT pair_id, label, unnest(regexp_extract_all(lower(field), '[\\p{L}\\p{N}_]+')) AS word FROM labelled) GROUP BY ALL),
+squares AS (SELECT pair_id, label, sum(c * c) AS n FROM counted GROUP BY ALL),
+shared AS (
+  SELECT a.pair_id, a.label AS l, b.label AS r, sum(a.c * b.c) AS d
+  FROM counted a JOIN counted b USING (pair_id, word) GROUP BY ALL),
+cells AS (
+  SELECT a.pair_id, a.label AS "left", b.label AS "right", a.side AS l_side, b.side AS r_side,
+    round(coalesce(d::DOUBLE / sqrt(ln.n::DOUBLE * rn.n::DOUBLE), 0.0), 6) AS cosine
+  FROM labelled a JOIN labelled b USING (pair_id)
+  LEFT JOIN shared s ON s.pair_id = a.pair_id AND s.l = a.label AND s.r = b.label
+  LEFT JOIN squares ln ON ln.pair_id = a.pair_id AND ln.label = a.label
+  LEFT JOIN squares rn ON rn.pair_id = a.pair_id AND rn.label = b.label)"""
+
+
 def vectors(size: int) -> str:
-    """Field vectors of D3 by hashed word counts, labelled by side."""
+    """Field vectors of D3 as the stand-in embedder gives them, labelled by side."""
 
     def one(table: str, label: str) -> str:
         return f"SELECT pair_id, path || ' ({label})' AS label, '{label}' AS side, path || ': ' || text AS field FROM {table}"
@@ -345,12 +408,13 @@ ORACLE_SQL: dict[str, str] = {
     "j1_metadata_lookup": with_(LAB) + f"SELECT doc_id, source, coalesce(structured, '{{}}') AS structured {LABELLED}",
     "j2_field_outer": with_(*D3F) + "SELECT pair_id, path, l_type, l_text, r_type, r_text FROM fields",
     "j4_missing_fields": with_(*D3F)
-    + """SELECT pair_id, path, 'Dict 1' AS missing_in FROM (SELECT pair_id, path FROM rf EXCEPT SELECT pair_id, path FROM lf)
-    UNION ALL SELECT pair_id, path, 'Dict 2' FROM (SELECT pair_id, path FROM lf EXCEPT SELECT pair_id, path FROM rf)""",
-    "j5_pairwise_cosine": with_(*D3F, vectors(64))
-    + """SELECT pair_id, a.label AS "left", b.label AS "right", round(list_cosine_similarity(a.v, b.v), 6) AS cosine
-    FROM vecs a JOIN vecs b USING (pair_id)""",
-    "j6_cross_block": with_(*D3F, vectors(64))
+    + MISSING,
+    "j2_nested_fields": with_(*D5F) + "SELECT pair_id, path, l_type, l_text, r_type, r_text FROM fields",
+    "j4_nested_missing": with_(*D5F) + MISSING,
+    "j5_pairwise_cosine": with_(*D3F, WORD_VECTORS) + 'SELECT pair_id, "left", "right", cosine FROM cells',
+    "j6_cross_block": with_(*D3F, WORD_VECTORS)
+    + """SELECT pair_id, "left", "right", cosine FROM cells WHERE l_side = 'Dict 1' AND r_side = 'Dict 2'""",
+    "j6_block_embedded": with_(*D3F, vectors(16))
     + """SELECT pair_id, a.label AS "left", b.label AS "right", round(list_cosine_similarity(a.v, b.v), 6) AS cosine
     FROM vecs a JOIN vecs b USING (pair_id) WHERE a.side = 'Dict 1' AND b.side = 'Dict 2'""",
     "a1_key_jaccard": with_(*D3F, BASIC)
@@ -417,6 +481,12 @@ ORACLE_SQL: dict[str, str] = {
     "l1_input_example": with_(D2, REPAIRED, formatted(False))
     + "SELECT id, input, preprocessed_input, output, text FROM fmt ORDER BY id LIMIT 5",
     "l2_canonical": with_(D3) + f"SELECT pair_id, {sorted_json('predicted_json')} AS canonical FROM d3",
+    "l2_nested_canonical": with_(D1N)
+    + """SELECT o_orderkey AS id, to_json({'buyer': {'key': o_custkey, 'priority': o_orderpriority},
+      'lines': list_transform(coalesce(lines, []), lambda x: {'l_extendedprice': x.l_extendedprice, 'l_linenumber': x.l_linenumber,
+        'l_partkey': x.l_partkey, 'l_quantity': x.l_quantity, 'l_returnflag': x.l_returnflag, 'l_suppkey': x.l_suppkey}),
+      'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice})::VARCHAR AS canonical
+    FROM orders LEFT JOIN d1l ON l_orderkey = o_orderkey""",
     "x1_key_sets": with_(D3, "k AS (SELECT pair_id, json_keys(expected_json) AS l, json_keys(predicted_json) AS r FROM d3)")
     + """SELECT pair_id, array_to_string(list_sort(list_distinct(list_concat(l, r))), ',') AS all_keys,
       array_to_string(list_sort(list_intersect(l, r)), ',') AS common_keys,
@@ -506,6 +576,11 @@ ORACLE_SQL: dict[str, str] = {
         decided(0.8),
     )
     + "SELECT pair_id, path, round(similarity, 6) AS similarity, decision FROM decided",
+    "c6_nested_detail": with_(*D5F, SCORED, decided(0.8))
+    + "SELECT pair_id, path, l_text, r_text, round(similarity, 6) AS similarity, decision FROM decided",
+    "c7_nested_compare": with_(*D5F, BASIC, SCORED, decided(0.9), compared())
+    + """SELECT pair_id, round(jaccard_similarity, 6) AS jaccard_similarity, round(value_similarity::DOUBLE, 6) AS value_similarity,
+      round(similarity_score::DOUBLE, 6) AS similarity_score, round(weighted_mape::DOUBLE, 6) AS weighted_mape FROM compared""",
     "c7_compare": with_(*D3F, BASIC, SCORED, decided(0.9), compared())
     + """SELECT pair_id, round(jaccard_similarity, 6) AS jaccard_similarity, round(value_similarity::DOUBLE, 6) AS value_similarity,
       round(similarity_score::DOUBLE, 6) AS similarity_score, round(weighted_mape::DOUBLE, 6) AS weighted_mape FROM compared""",

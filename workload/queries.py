@@ -53,6 +53,10 @@ def _parsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.parse_pairs(derived.pairs(spark, sf_dir), "expected_json", "predicted_json")
 
 
+def _parsed_nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.parse_pairs(derived.nested_pairs(spark, sf_dir), "expected_json", "predicted_json")
+
+
 PAIR = ("pair_id", "expected_json", "predicted_json")
 
 # --- sources and sinks --------------------------------------------------------------
@@ -159,6 +163,16 @@ def j2_field_outer(spark, sf_dir):
     return evaluate.field_rows(_parsed_pairs(spark, sf_dir), *PAIR)
 
 
+@query
+def j2_nested_fields(spark, sf_dir):
+    return evaluate.field_rows(_parsed_nested_pairs(spark, sf_dir), *PAIR)
+
+
+@query
+def j4_nested_missing(spark, sf_dir):
+    return evaluate.missing_fields(_parsed_nested_pairs(spark, sf_dir), *PAIR)
+
+
 @query
 def j4_missing_fields(spark, sf_dir):
     return evaluate.missing_fields(_parsed_pairs(spark, sf_dir), *PAIR)
@@ -176,6 +190,12 @@ def j6_cross_block(spark, sf_dir):
     return block.select("pair_id", "left", "right", rounded("cosine", "cosine"))
 
 
+@query
+def j6_block_embedded(spark, sf_dir):
+    block = evaluate.similarity_block(_parsed_pairs(spark, sf_dir), *PAIR, embedder=md5_embedder)
+    return block.select("pair_id", "left", "right", rounded("cosine", "cosine"))
+
+
 # --- aggregations -------------------------------------------------------------------
 
 
@@ -335,6 +355,12 @@ def l2_canonical(spark, sf_dir):
     )
 
 
+@query
+def l2_nested_canonical(spark, sf_dir):
+    orders = derived.nested_records(spark, sf_dir)
+    return orders.select("id", records.json_text(records.parse_record("record_json")).alias("canonical"))
+
+
 # --- sets ---------------------------------------------------------------------------
 
 
@@ -603,6 +629,18 @@ def c6_decision_detail(spark, sf_dir):
     return details.select("pair_id", "path", "l_text", "r_text", rounded("similarity", "similarity"), "decision")
 
 
+@query
+def c6_nested_detail(spark, sf_dir):
+    details = evaluate.decision_details(_parsed_nested_pairs(spark, sf_dir), *PAIR)
+    return details.select("pair_id", "path", "l_text", "r_text", rounded("similarity", "similarity"), "decision")
+
+
+@query
+def c7_nested_compare(spark, sf_dir):
+    compared = evaluate.compare(_parsed_nested_pairs(spark, sf_dir), *PAIR)
+    return compared.select("pair_id", *[rounded(name, name) for name in compared.columns if name != "pair_id"])
+
+
 @query
 def c6_decision_embedded(spark, sf_dir):
     details = evaluate.decision_details(_parsed_pairs(spark, sf_dir), *PAIR, embedder=md5_embedder)

@@ -41,8 +41,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _part_json().alias("record_json"))
 
 
-def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1n: one record per order with its buyer and the list of its line items."""
+def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the ordered list of their line items, empty for none."""
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
@@ -53,13 +53,41 @@ def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "array<struct<{}>>".format(
         ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in lines.schema["lines"].dataType.elementType.fields)
     )
-    record = F.struct(
-        "o_orderstatus",
-        "o_totalprice",
-        F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("priority")).alias("buyer"),
-        F.coalesce("lines", F.array().cast(kind)).alias("lines"),
+    return joined.withColumn("lines", F.coalesce("lines", F.array().cast(kind)))
+
+
+def _order_json(status: str = "o_orderstatus", buyer: Column | None = None, lines: Column | None = None) -> Column:
+    """JSON of an order; the changes give its status another key or replace a part."""
+    if buyer is None:
+        buyer = F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    parts = (
+        F.col("o_orderstatus").alias(status), F.col("o_totalprice"), buyer.alias("buyer"),
+        (F.col("lines") if lines is None else lines).alias("lines"),
+    )
+    return F.to_json(F.struct(*parts))
+
+
+def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1n: one record per order with its buyer and the list of its line items."""
+    return _order_parts(spark, sf_dir).select(F.col("o_orderkey").alias("id"), _order_json().alias("record_json"))
+
+
+def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5: every order record with a copy that is changed in one of six ways, at its top, in its buyer or in its lines."""
+    kind = F.col("o_orderkey") % 6
+    priority = F.col("o_orderpriority").alias("priority")
+    more = F.transform("lines", lambda x, i: x.withField("l_quantity", x["l_quantity"] + F.when(i == 0, 1).otherwise(0)))
+    predicted = (
+        F.when(kind == 0, _order_json())
+        .when(kind == 1, _order_json(buyer=F.struct(F.col("o_custkey").alias("key"))))
+        .when(kind == 2, _order_json(lines=more))
+        .when(kind == 3, _order_json(lines=F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))))
+        .when(kind == 4, _order_json(buyer=F.struct(F.col("o_custkey").cast("string").alias("key"), priority)))
+        .otherwise(_order_json(status="status"))
+    )
+    return _order_parts(spark, sf_dir).select(
+        F.col("o_orderkey").alias("pair_id"), _order_json().alias("expected_json"), predicted.alias("predicted_json")
     )
-    return joined.select(F.col("o_orderkey").alias("id"), F.to_json(record).alias("record_json"))
 
 
 def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
