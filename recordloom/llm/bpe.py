@@ -17,24 +17,26 @@ from recordloom.llm.common import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 STEPS = 24
-CACHE_WORDS = 600_000
+CACHE_WORDS = 100_000  # in each half of the cache
 WORD_ROWS = 40_000
 PIECE_TEXT = 2 << 20
 
 # One step contracts the leftmost pair of least rank in every word; words without a pair leave the recursion.
 ENCODE = f"""
-WITH RECURSIVE steps(step, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM state
+WITH RECURSIVE steps(step, word, pos, token, next_token, before) AS (
+    SELECT 0, word, pos, token, lead(token) OVER near, lag(pos) OVER near
+    FROM state WINDOW near AS (PARTITION BY word ORDER BY pos)
     UNION ALL
-    SELECT step + 1, word, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE token END
+    SELECT step, word, pos, token, lead(token) OVER near, lag(pos) OVER near
     FROM (
-        SELECT p.*, min((m.id::BIGINT << 32) | p.pos) OVER (PARTITION BY p.word) AS best
-        FROM (
-            SELECT *, lead(token) OVER near AS next_token, lag(pos) OVER near AS before
-            FROM steps WHERE step < {STEPS} WINDOW near AS (PARTITION BY word ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.l = p.token AND m.r = p.next_token
+        SELECT s.step + 1 AS step, s.word, s.pos, CASE WHEN s.pos = (b.best & 4294967295) THEN (b.best >> 32)::INTEGER ELSE s.token END AS token
+        FROM steps s JOIN (
+            SELECT p.word, min((m.id::BIGINT << 32) | p.pos) AS best
+            FROM steps p JOIN merges m ON m.l = p.token AND m.r = p.next_token GROUP BY p.word
+        ) b ON b.word = s.word
+        WHERE s.step < {STEPS} AND s.before IS DISTINCT FROM (b.best & 4294967295)
     )
-    WHERE best IS NOT NULL AND before IS DISTINCT FROM (best & 4294967295)
+    WINDOW near AS (PARTITION BY word ORDER BY pos)
 ), last AS (SELECT word, max(step) AS step FROM steps GROUP BY word)
 SELECT word, step, list(token ORDER BY pos) AS tokens FROM steps JOIN last USING (word, step) GROUP BY word, step
 """
@@ -58,6 +60,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         rows = [
             (self.ranks[token[:cut]], self.ranks[token[cut:]], rank)
             for token, rank in self.ranks.items()
@@ -75,11 +78,13 @@ class Codec:
             self.db.unregister("given")
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids of words into the cache: whole tokens directly, all others by the recursive query."""
+        """Put the ids of words into the cache: whole tokens and words met before directly, all others by the query."""
         rest = []
         for word in words:
-            rank = self.ranks.get(word.encode())
-            if rank is None:
+            packed, rank = self.earlier.get(word), self.ranks.get(word.encode())
+            if packed is not None:
+                self.words[word] = packed
+            elif rank is None:
                 rest.append(word)
             else:
                 self.words[word] = rank.to_bytes(4, "little")
@@ -122,9 +127,12 @@ class Codec:
             tokens = lists.flatten().to_numpy() if len(more) else tokens[:0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed little-endian unsigned 32-bit integers."""
+        """Ids of each text as packed little-endian unsigned 32-bit integers.
+
+        Words met since the cache was last half full stay in it; the others go when it is full.
+        """
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words, self.earlier = {}, self.words
         split = [self.find(text) for text in texts]
         self.learn(list(set().union(*split).difference(self.words)))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
