@@ -18,8 +18,8 @@ from recordloom.llm.common import pieces
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 STEPS = 24
 CACHE_WORDS = 100_000  # in each half of the cache
-WORD_ROWS = 10_000
-PIECE_TEXT = 1 << 20
+WORD_ROWS = 40_000
+PIECE_TEXT = 2 << 20
 
 # One step contracts the leftmost pair of least rank in every word; words without a pair leave the recursion.
 ENCODE = f"""
