@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from recordloom.llm import automaton, bpe, decontaminate, fim, filters, language, lines, pages, pii, ppm, quality, simhash, topk
 from recordloom.llm.common import table
 
+# repeated passages of over 50 words, less the parts of them in sentences that reach beyond either end
+PASSAGE_RUN = 40
+
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.ppm_scores(table(spark, sf_dir, "documents"))
@@ -20,7 +23,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeats(table(spark, sf_dir, "documents"))
+    return lines.without_repeats(table(spark, sf_dir, "documents"), unit="sentence", min_run=PASSAGE_RUN)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

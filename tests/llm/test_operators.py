@@ -119,7 +119,7 @@ def test_lines_match_brute_force(spark, texts):
     seen, expected = {}, {}
     for doc_id in sorted(texts):
         text, kept, done = texts[doc_id], [], 0
-        for start, end, digest in lines.units(text, "line", 3):
+        for start, end, _, digest in lines.units(text, "line", 3):
             if digest in seen:
                 kept.append(text[done:start])
                 done = end + (text[end : end + 1] == "\n")
@@ -129,7 +129,7 @@ def test_lines_match_brute_force(spark, texts):
     assert {r.doc_id: r.text or "" for r in lines.without_repeats(docs, min_words=3).collect()} == expected
 
 
-def test_op3_leaves_no_line_twice(spark, texts):
+def test_lines_of_any_length_leave_none_twice(spark, texts):
     seen, expected = set(), {}
     for doc_id in sorted(texts):
         kept = []
@@ -139,13 +139,75 @@ def test_op3_leaves_no_line_twice(spark, texts):
                 kept.append(line)
             seen.add(words)
         expected[doc_id] = "".join(kept)
-    found = {r.doc_id: r.text or "" for r in op3_lines(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = {r.doc_id: r.text or "" for r in lines.without_repeats(docs).collect()}
     assert found == expected
     repeated = "Released under the MIT license.\nown %d"
     docs = spark.createDataFrame([(i, repeated % i) for i in range(3)], "doc_id long, text string")
     assert [r.text for r in lines.without_repeats(docs).orderBy("doc_id").collect()] == [repeated % 0, "own 1", "own 2"]
 
 
+def test_op3_matches_brute_force(spark, texts):
+    """Sentences one after another in the order of ids, without digests: later ones go in runs of 40 words or more."""
+    seen, expected = set(), {}
+    for doc_id in sorted(texts):
+        text, spans, run = texts[doc_id], [], []
+        own = set()
+        for start, end, n, _ in [*lines.units(text, "sentence", 1), (0, 0, 0, b"")]:
+            words = tuple(text[start:end].lower().split())
+            if words and words in seen | own:
+                run.append((start, end, n))
+            else:
+                spans += [(s, e) for s, e, _ in run] if sum(n for _, _, n in run) >= 40 else []
+                run = []
+            own.add(words)
+        seen |= own
+        expected[doc_id] = spans
+    rows = op3_lines(spark, SMALL).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.removed] for r in rows} == expected
+    assert any(expected.values())
+    left = {r.doc_id: "".join((r.text or "").split()) for r in rows}
+    for doc_id, spans in expected.items():
+        text = texts[doc_id]
+        outside = "".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)], strict=True))
+        assert left[doc_id] == "".join(outside.split())
+
+
+def test_op3_finds_planted_passages_and_leaves_clean_documents_alone(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    sentence = lambda: " ".join(word() for _ in range(random.randint(4, 12))).capitalize() + "."
+    passages = [" ".join(sentence() for _ in range(8)) for _ in range(10)]
+    common = ["All rights reserved.", "Of.", "Released under the terms of the license."]
+    rows, planted = [], set()
+    for i in range(200):
+        body = [sentence() for _ in range(20)]
+        body.insert(5, random.choice(common))
+        if i % 2:
+            passage = passages[i % 20 // 2]
+            # a line of its own, inside a line, and broken over lines elsewhere
+            body.insert(10, [f"\n{passage}\n", passage, passage.replace(". ", ".\n")][i % 3])
+            if i >= 20:
+                planted.add(i)
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in lines.without_repeats(docs, unit="sentence", min_run=40).collect() if r.removed}
+    assert found == planted
+
+
+def test_lines_odd_tables(spark, none):
+    long = " ".join(f"w{i}" for i in range(60)) + "."
+    rows = [(1, long, 7, 7), (None, long, 7, 7), (2, f"A b. {long} C d.\n{long}\nE", 7, 7), (2, f"A b. {long} C d.\n{long}\nE", 7, 7), (2, long, 7, 7)]
+    docs = spark.createDataFrame(rows + [(3, "." * 300_000 + "x" * 300_000, 1, 1)], "doc_id long, text string, digest int, removed int")
+    found = lines.without_repeats(docs, unit="sentence", min_run=40).collect()
+    assert sorted((r.doc_id or 0, r.text[:20]) for r in found) == [(0, ""), (1, long[:20]), (2, ""), (2, "A b. C d.\nE"), (2, "A b. C d.\nE"), (3, "." * 20)]
+    assert {s.first_doc for r in found for s in r.removed} == {1}
+    alone = spark.createDataFrame([(None, f"{long}\n{long}")], "doc_id long, text string")
+    assert [(s.start, s.first_doc, s.first_start) for s in lines.without_repeats(alone).first().removed] == [(len(long) + 1, None, 0)]
+    for unit in lines.UNITS:
+        assert lines.without_repeats(none, unit=unit).count() == 0
+
+
 def test_languages(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
