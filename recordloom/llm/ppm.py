@@ -16,8 +16,8 @@ ORDER = 5
 EDGE = b"\xff"  # occurs in no UTF-8 text: stands before the text and, as a symbol, for its end
 END_WORD = b"\n"
 PART_BYTES = 32 << 20
-SLICE_BYTES = 3 << 20
-WAITING = 4_000_000
+SLICE_BYTES = 1 << 20
+WAITING = 1_500_000
 LOG10 = np.log10
 
 
