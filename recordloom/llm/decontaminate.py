@@ -81,15 +81,16 @@ def word_offsets(text: bytes, starts: list[int], ends: list[int]) -> tuple[list[
     return [places[spans[i][0]] for i in starts], [places[spans[i - 1][1]] for i in ends]
 
 
-def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Benchmark texts in parts of bounded size; a part is what one automaton holds and one broadcast carries."""
+def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
+    """Benchmark texts in parts of bounded size, and whether a part is the last; a part is what one automaton holds and
+    one broadcast carries."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text"))
     items = items.where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // limit)) if total > limit else 1
     for part in range(parts):
         rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        yield [(row.item, row.text.encode()) for row in rows.collect()]
+        yield [(row.item, row.text.encode()) for row in rows.collect()], part == parts - 1
 
 
 def _merged(first: tuple, second: tuple) -> tuple[int, list[int], list[int], list[int]]:
@@ -136,12 +137,21 @@ def scan(
     """
     kept = [name for name in docs.columns if name != "scan"]
     found = docs.select(*kept)
-    for items in benchmark_parts(benchmark, item_id, item_text, limit):
+    for items, _ in benchmark_parts(benchmark, item_id, item_text, limit):
         found = _scan_part(found, kept, text, docs.sparkSession.sparkContext.broadcast(items), size)
     return found.select(*kept, F.struct(*(F.col(HIDDEN + name).alias(name) for name, _, _ in FOUND)).alias("scan"))
 
 
-def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int) -> DataFrame:
+def _without(value: str | None, starts: list[int], ends: list[int]) -> str | None:
+    """The text without the characters between starts and ends."""
+    if not starts:
+        return value
+    return "".join(value[start:end] for start, end in zip([0, *ends], [*starts, len(value)], strict=True))
+
+
+def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int, cut_out: bool = False) -> DataFrame:
+    """Columns `kept` with what was found so far; or, to `cut_out`, with the passages taken from the texts instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(items.value, size)
         for batch in pieces(batches, text):
@@ -157,29 +167,35 @@ def _scan_part(docs: DataFrame, kept: list[str], text: str, items, size: int) ->
                 for name, part in zip(columns, (*result[:3], *chars, result[3]), strict=True):
                     columns[name].append(part)
             arrays = [batch.column(name) for name in kept]
+            if cut_out:
+                runs = zip(batch.column(text).to_pylist(), columns["char_starts"], columns["char_ends"], strict=True)
+                arrays[kept.index(text)] = pa.array([_without(*row) for row in runs], type=pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, names=kept)
+                continue
             arrays += [pa.array(columns[name], type=kind) for name, _, kind in FOUND]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(HIDDEN + name for name in columns)])
 
+    if cut_out:
+        return docs.mapInArrow(run, docs.select(*kept).schema)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
     fields += [f"{HIDDEN}{name} {kind}" for name, kind, _ in FOUND]
     return docs.mapInArrow(run, ", ".join(fields))
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The table with the hit passages cut out of the texts; texts without a hit (and nulls) stay as they are."""
-    own = docs.withColumnRenamed("scan", HIDDEN + "own")  # the scan would replace it
-    found, names = scan(own, benchmark, text, **options), own.columns
+def without_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    size: int = 10,
+    limit: int = BENCHMARK_BYTES,
+) -> DataFrame:
+    """The table with the hit passages cut out of the texts; texts without a hit (and nulls) stay as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index(text)
-        for batch in pieces(batches, text):
-            cleaned = []
-            for value, hit in zip(batch.column(text).to_pylist(), batch.column("scan").to_pylist(), strict=True):
-                for start, end in zip(reversed(hit["char_starts"]), reversed(hit["char_ends"]), strict=True):
-                    value = value[:start] + value[end:]
-                cleaned.append(value)
-            arrays = [batch.column(name) for name in names]
-            arrays[place] = pa.array(cleaned, type=pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return found.mapInArrow(run, own.schema).toDF(*docs.columns)
+    The scan of the last part of the benchmark cuts as well, so a text goes to Python once for each part.
+    """
+    found, kept = docs, docs.columns
+    for items, last in benchmark_parts(benchmark, item_id, item_text, limit):
+        found = _scan_part(found, kept, text, docs.sparkSession.sparkContext.broadcast(items), size, last)
+    return found

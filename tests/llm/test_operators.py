@@ -502,6 +502,8 @@ def test_decontamination_odd(spark, odd, none):
     assert hit["items"] == [1] and ODD[2][1][hit["char_starts"][0] : hit["char_ends"][0]] == "seven eight"
     cleaned = {r.doc_id: r.text for r in decontaminate.without_passages(odd, bench).collect()}
     assert cleaned[None] == "one two three four five six  nine ten" and cleaned[1] is None
+    parts = decontaminate.without_passages(odd, bench, limit=8)
+    assert {r.doc_id: r.text for r in parts.collect()} == cleaned and parts.columns == odd.columns
     assert decontaminate.scan(none, bench).count() == 0 == decontaminate.scan(none, bench.limit(0)).count()
 
 
