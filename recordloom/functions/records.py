@@ -282,3 +282,28 @@ def top_level_fields(record: Column | str) -> Column:
 
 def top_level_sql(record: str) -> str:
     return f"transform(map_entries({map_sql(record)}), e -> {leaf_sql('e.value', 'e.key')})"
+
+
+# --- schema of many records -----------------------------------------------------
+
+
+def schema_nodes(record: Column | str) -> Column:
+    """Every value of a record, containers included, as ARRAY<STRUCT<parent, path, in_list, type>>.
+
+    Paths are those of `flatten_record`, but items of a list share the path ``name[]``, lists in lists are opened too and
+    the record itself has the path ``''``.
+    """
+    return over(lambda record: schema_nodes_sql(record), record=record)
+
+
+def schema_nodes_sql(record: str) -> str:
+    def node(parent: str, path: str, in_list: str, value: str, done: bool = False) -> str:
+        return f"struct({parent} AS parent, {path} AS path, {in_list} AS in_list, {value} AS value, {done} AS done)"
+
+    members = f"transform(map_entries({map_sql('n.value')}), e -> {node('n.path', _CHILD_PATH, 'false', 'e.value')})"
+    items = f"transform({_list_sql('n.value')}, item -> {node('n.path', "concat(n.path, '[]')", 'true', 'item')})"
+    own = f"array({node('n.parent', 'n.path', 'n.in_list', 'n.value', True)})"
+    expanded = f"if(n.done, array(n), coalesce(concat({own}, coalesce({members}, {items})), {own}))"
+    root = f"array({node('CAST(NULL AS STRING)', "''", 'false', record)})"
+    typed = f"struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, {type_name_sql('n.value')} AS type)"
+    return f"if({record} IS NULL, NULL, transform({expand_sql(root, expanded)}, n -> {typed}))"

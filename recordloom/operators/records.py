@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.records import (
@@ -13,6 +13,7 @@ from recordloom.functions.records import (
     expand_sql,
     name_of_schema_sql,
     parse_record,
+    schema_nodes,
     type_name,
     value_text_sql,
 )
@@ -113,6 +114,61 @@ def schema_profile(df: DataFrame, record_text: str) -> DataFrame:
     return typed.groupBy("key", "type").agg(F.count(F.lit(1)).alias("records"))
 
 
+# The type of values that have no common one.
+ANY = "any"
+
+
+def merged_type(types: Column) -> Column:
+    """Least type that holds values of all these types; nulls fit every type, and an int is also a float."""
+    held = F.array_sort(F.array_except(types, F.array(F.lit("NoneType"))))
+    numbers = F.array(F.lit("float"), F.lit("int"))
+    return (
+        F.when(F.size(held) == 0, "NoneType")
+        .when(F.size(held) == 1, F.get(held, F.lit(0)))
+        .when(held == numbers, "float")
+        .otherwise(ANY)
+    )
+
+
+def merged_schema(df: DataFrame, record_text: str) -> DataFrame:
+    """One schema for all records: (parent, path, type, types, occurrences, nulls, optional), one row per path.
+
+    Values are counted by path and type inside the scan stage first, so a shuffle moves one row per path, type and task,
+    however many records or list items there are, and each record is parsed once. `type` is the least type that holds
+    all values of the path (`merged_type`), `types` lists what occurred, `optional` says that some object at the parent
+    path lacks the key. Texts that are not JSON are left out; the path of a record is ``''``, of list items ``name[]``.
+    """
+    nodes = df.select(F.explode(schema_nodes(parse_record(record_text))).alias("n")).select("n.*")
+    counts = nodes.groupBy("parent", "path", "in_list", "type").agg(F.count(F.lit(1)).alias("n"))
+    # an object is counted at its own path and once more for the keys below it
+    own = F.struct(F.col("parent"), F.col("path"), F.col("in_list"), F.col("type"), F.col("n"), F.lit(0).cast("long").alias("objects"))
+    below = F.struct(
+        F.col("path").alias("parent"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(False).alias("in_list"),
+        F.col("type"),
+        F.lit(0).cast("long").alias("n"),
+        F.col("n").alias("objects"),
+    )
+    rows = F.when(F.col("type") == "dict", F.array(own, below)).otherwise(F.array(own))
+    spread = counts.select(F.inline(rows)).withColumn("objects", F.sum("objects").over(Window.partitionBy("parent")))
+    paths = spread.where("path IS NOT NULL").groupBy("parent", "path", "in_list").agg(
+        F.array_sort(F.collect_set("type")).alias("types"),
+        F.sum("n").alias("occurrences"),
+        F.sum(F.when(F.col("type") == "NoneType", F.col("n")).otherwise(0)).alias("nulls"),
+        F.max("objects").alias("objects"),
+    )
+    return paths.select(
+        "parent",
+        "path",
+        merged_type(F.col("types")).alias("type"),
+        "types",
+        "occurrences",
+        "nulls",
+        (~F.col("in_list") & F.col("parent").isNotNull() & (F.col("occurrences") < F.col("objects"))).alias("optional"),
+    )
+
+
 def table_signature(df: DataFrame) -> DataFrame:
     """Name, type and nullability of each column, with its count of nulls, in one pass."""
     counts = df.agg(

@@ -49,9 +49,11 @@ from recordloom.functions.similarity import (
     sparse_cosine_sql,
     sparse_dot_sql,
 )
+from recordloom.operators.kept import generate_kept
 from recordloom.operators.python_batches import EmbedderFactory, GeneratorFactory, embed_distinct, generate
 from recordloom.functions.tfidf import mean_cosine, pair_tfidf
 from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled_words, pair_points
+from recordloom.plans.training import with_prompt
 
 # Recommended weights of the four measures.
 RECOMMENDED_WEIGHTS = {
@@ -376,8 +378,34 @@ def evaluate_outputs(
     return compare(pairs, key, "_expected", "_predicted", **options)
 
 
+def generate_texts(
+    df: DataFrame,
+    factory: GeneratorFactory,
+    schema: str | dict = "",
+    model_name: str = "",
+    config: dict | None = None,
+    path: str | None = None,
+    version: str = "",
+    spread_by: list[str] | None = None,
+) -> DataFrame:
+    """Prompts where the table has none, and one generated text per row.
+
+    With a `path` the texts are kept there under `version`, and only prompts that have none go to the model.
+    """
+    prompted = with_prompt(df, schema, model_name)
+    if path is None:
+        return generate(prompted, factory, config=config)
+    return generate_kept(prompted, factory, path, version, spread_by or df.columns[:1], config=config)
+
+
 def generate_and_evaluate(
-    df: DataFrame, key: str, expected: str, factory: GeneratorFactory, config: dict | None = None, **options
+    df: DataFrame,
+    key: str,
+    expected: str,
+    factory: GeneratorFactory,
+    config: dict | None = None,
+    schema: str | dict = "",
+    **options,
 ) -> DataFrame:
-    """Generate a text per prompt and score it."""
-    return evaluate_outputs(generate(df, factory, config=config), key, expected, **options)
+    """Generate a text per row and score it; rows without prompts get one that shows `schema`."""
+    return evaluate_outputs(generate_texts(df, factory, schema, config=config), key, expected, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.columns import let, over
@@ -20,7 +20,9 @@ ON_ERROR = ("quarantine", "stop", "fail")
 SCHEMA_SOURCES = ("record", "given")
 
 
-def parse_outputs(df: DataFrame, mapping: dict[str, str] | None = None, repair: str = "parity") -> DataFrame:
+def parse_outputs(
+    df: DataFrame, mapping: dict[str, str] | None = None, repair: str = "parity", output: Column | str = "output"
+) -> DataFrame:
     """Add the parsed and renamed record, its schema text and the reason why a row is unusable.
 
     The columns are `record` (MAP<STRING,VARIANT>), `schema_str` and `reason`. All three come out
@@ -34,7 +36,7 @@ def parse_outputs(df: DataFrame, mapping: dict[str, str] | None = None, repair:
         judged = let(rejection_sql("record", "entries"), "reason", let(renamed, "renamed", result))
         return let(parse_sql(text), "record", let(map_sql("record"), "entries", judged))
 
-    parsed = over(body, text=repair_record_text("output", repair))
+    parsed = over(body, text=repair_record_text(output, repair))
     return df.select("*", F.inline_outer(F.array(parsed)))
 
 
@@ -72,7 +74,7 @@ def format_training_data(
     parsed = parse_outputs(df, mapping, repair)
     shown = F.col("schema_str") if schema_source == "record" else F.lit(schema_str)
     if on_error == "stop":
-        return _format_until_first_bad(df, parsed, shown, model_name, schema_str, key)
+        return _format_until_first_bad(df, mapping, repair, shown, model_name, schema_str, key)
     if on_error == "fail":
         message = F.concat(F.lit("unusable record at "), F.col(key).cast("string"), F.lit(": "), F.col("reason"))
         guarded = F.when(F.col("reason").isNull(), F.col("reason")).otherwise(F.raise_error(message))
@@ -100,13 +102,20 @@ def first_bad_key(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def _format_until_first_bad(
-    df: DataFrame, parsed: DataFrame, shown: Column, model_name: str, schema_str: str, key: str
+    df: DataFrame, mapping: dict[str, str] | None, repair: str, shown: Column, model_name: str, schema_str: str, key: str
 ) -> DataFrame:
-    stop = first_bad_key(parsed, key).scalar()
-    before = parsed.where(F.col(key) < stop).agg(F.max_by("schema_str", key)).scalar()
+    """The rows up to the first unusable one are the only ones that are parsed to be formatted.
+
+    The row before it is found by its key and alone parsed for the schema that is carried over.
+    """
+    stop = first_bad_key(parse_outputs(df, mapping, repair), key).scalar()
+    last = df.where(F.col(key) < stop).agg(F.max_by("output", F.struct(key, "output")).alias("output"))
+    before = parse_outputs(last, mapping, repair).select("schema_str").scalar()
     carried = F.coalesce(before, F.lit(schema_str))
     complete = stop.isNull() | (F.col(key) < stop)
     at_stop = F.col(key) == stop
+    given = df.withColumn("_given", F.when(complete, F.col("output")))
+    parsed = parse_outputs(given, mapping, repair, "_given")
     prompt = render_prompt(F.when(at_stop, carried).otherwise(shown), "input", model_name)
     marked = parsed.withColumns(
         {
@@ -136,6 +145,71 @@ def sequence_budget(df: DataFrame, text: str = "text", key: str | None = None, c
     return counts.select("tokens", buffered_budget("tokens").alias("budget"))
 
 
+def sequence_budgets(
+    df: DataFrame, text: str = "text", percentiles: tuple[float, ...] = (0.5, 0.95, 1.0), count: Column | None = None
+) -> DataFrame:
+    """Exact token counts that these shares of the rows do not exceed, with their budgets: (percentile, tokens, budget).
+
+    Rows are first counted by their number of tokens; what is then put in order has one row per different number, so it
+    grows with the longest text, not with the table. Null texts do not count; a table without texts gives nulls.
+    """
+    _check_percentiles(percentiles)
+    counted = df.select((token_count(text) if count is None else count).alias("tokens")).where("tokens IS NOT NULL")
+    histogram = counted.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.orderBy("tokens")
+    reached = histogram.select(
+        "tokens",
+        F.sum("n").over(whole).alias("reached"),
+        F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rows"),
+    )
+    found = reached.agg(
+        *[F.min(F.when(F.col("reached") >= F.lit(float(p)) * F.col("rows"), F.col("tokens"))).alias(f"_p{i}") for i, p in enumerate(percentiles)]
+    )
+    listed = [F.struct(F.lit(float(p)).alias("percentile"), F.col(f"_p{i}").alias("tokens")) for i, p in enumerate(percentiles)]
+    return found.select(F.inline(F.array(*listed))).select("percentile", "tokens", buffered_budget("tokens").alias("budget"))
+
+
+SKETCH_K = 400
+
+
+def token_sketch(
+    df: DataFrame, text: str = "text", by: tuple[str, ...] = (), k: int = SKETCH_K, count: Column | None = None
+) -> DataFrame:
+    """A quantile sketch of the token counts, one row or one per group of `by`, to be kept with the table.
+
+    Sketches of parts are merged by `sketch_budgets`, so new rows never make old ones be counted again. With k = 400 the
+    rank of an answer is within 1.1 per cent of the rows of the true one, at any size, with a probability of 0.99.
+    """
+    counted = df.select(*by, (token_count(text) if count is None else count).cast("long").alias("tokens")).where("tokens IS NOT NULL")
+    return counted.groupBy(*by).agg(F.kll_sketch_agg_bigint("tokens", k).alias("sketch"))
+
+
+def sketch_budgets(sketches: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.95, 1.0), k: int = SKETCH_K) -> DataFrame:
+    """(percentile, tokens, budget) of all sketches together."""
+    _check_percentiles(percentiles)
+    merged = sketches.agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    ranks = F.array(*[F.lit(float(p)) for p in percentiles])
+    tokens = F.kll_sketch_get_quantile_bigint("sketch", ranks)
+    pairs = merged.select(F.inline(F.arrays_zip(ranks.alias("percentile"), tokens.alias("tokens"))))
+    read = pairs.toDF("percentile", "tokens").withColumn("tokens", F.col("tokens").cast("int"))
+    return read.select("percentile", "tokens", buffered_budget("tokens").alias("budget"))
+
+
+def _check_percentiles(percentiles: tuple[float, ...]) -> None:
+    if not percentiles or not all(0 < p <= 1 for p in percentiles):
+        raise ValueError(f"percentiles must lie above 0 and up to 1, not {percentiles!r}")
+
+
+def with_prompt(df: DataFrame, schema: str | dict = "", model_name: str = "") -> DataFrame:
+    """The table with prompts: as it is when it has them, else with prompts that show the given schema.
+
+    A schema given as a dict is shown as Python prints it. Every row gets a prompt, also where there is an `output`.
+    """
+    if "preprocessed_input" in df.columns:
+        return df
+    return df.withColumn("preprocessed_input", render_prompt(F.lit(str(schema)), "input", model_name))
+
+
 @dataclass(frozen=True)
 class PreparedTraining:
     """Results of `prepare_training`; every member is a table read back from what was written."""

@@ -181,3 +181,49 @@ def test_profile_and_signature(spark):
     assert profile == {("a", "int", 1), ("a", "float", 1), ("b", "str", 1)}
     rows = [tuple(r) for r in record_ops.table_signature(df).orderBy("pos").collect()]
     assert rows == [(0, "id", "int", 0, True), (1, "r", "string", 1, False)]
+
+
+def test_merged_schema_of_mixed_records(spark, plan_of):
+    texts = [
+        '{"a":1,"b":{"x":null,"y":[1,2.5]},"c":"s"}',
+        '{"a":2.5,"b":{"y":[]},"c":null}',
+        '{"a":3,"c":{"d":true},"e":[{"f":1},{"f":"t"},[7]]}',
+        "no json",
+        None,
+        '["list"]',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, r string")
+    merged = record_ops.merged_schema(df, "r")
+    found = {r.path: (r.parent, r.type, r.types, r.occurrences, r.nulls, r.optional) for r in merged.collect()}
+    assert found == {
+        "": (None, "any", ["dict", "list"], 4, 0, False),
+        "[]": ("", "str", ["str"], 1, 0, False),
+        "a": ("", "float", ["float", "int"], 3, 0, False),
+        "b": ("", "dict", ["dict"], 2, 0, True),
+        "b x": ("b", "NoneType", ["NoneType"], 1, 1, True),
+        "b y": ("b", "list", ["list"], 2, 0, False),
+        "b y[]": ("b y", "float", ["float", "int"], 2, 0, False),
+        "c": ("", "any", ["NoneType", "dict", "str"], 3, 1, False),
+        "c d": ("c", "bool", ["bool"], 1, 0, False),
+        "e": ("", "list", ["list"], 1, 0, True),
+        "e[]": ("e", "any", ["dict", "list"], 3, 0, False),
+        "e[] f": ("e[]", "any", ["int", "str"], 2, 0, False),
+        "e[][]": ("e[]", "int", ["int"], 1, 0, False),
+    }
+    assert plan_of(merged).lower().count("parsejson") == 1
+    assert record_ops.merged_schema(df.where("id > 2 AND id < 5"), "r").count() == 0
+
+
+def test_merged_schema_agrees_with_the_variant_schema(spark):
+    orders = ['{"o":1,"lines":[{"q":2,"p":1.5},{"q":3,"p":2.25}]}', '{"o":2,"lines":[{"q":1,"p":9.75}],"note":"n"}']
+    df = spark.createDataFrame([(t,) for t in orders], "r string")
+    paths = {r.path: r.type for r in record_ops.merged_schema(df, "r").collect()}
+    assert paths == {"": "dict", "o": "int", "lines": "list", "lines[]": "dict", "lines[] q": "int", "lines[] p": "float", "note": "str"}
+    whole = df.select(F.schema_of_variant_agg(F.parse_json("r"))).first()[0]
+    assert whole == "OBJECT<lines: ARRAY<OBJECT<p: DECIMAL(3,2), q: BIGINT>>, note: STRING, o: BIGINT>"
+
+
+def test_merged_schema_opens_any_depth(spark):
+    text = '{"a":' * 12 + "[[1]]" + "}" * 12
+    deep = record_ops.merged_schema(spark.createDataFrame([(text,)], "r string"), "r").collect()
+    assert {r.path for r in deep} >= {" ".join("a" * 12), " ".join("a" * 12) + "[][]"} and len(deep) == 15

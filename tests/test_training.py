@@ -5,8 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import lookup, order, python_batches, split
-from recordloom.plans import build, training
+from recordloom.operators import kept, lookup, order, python_batches, split
+from recordloom.plans import build, evaluate, training
 from recordloom.sources import csv, documents, tables
 from recordloom.sources.scratch import scratch_path
 
@@ -224,3 +224,126 @@ def test_small_scans_are_spread_and_large_ones_are_not(spark):
     assert tables.spread_few_splits(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 4
     wide = spark.range(0, 10, 1, 9)
     assert tables.spread_few_splits(wide) is wide
+
+
+def test_stop_inside_a_table(spark, plan_of):
+    texts = {1: "{'a': 1}", 2: "{'b': 'x'}", 3: "broken", 4: "{'a': 1}", 5: "broken"}
+    df = spark.createDataFrame([(i, f"t{i}", o) for i, o in texts.items()], "id int, input string, output string").repartition(3)
+    stopped = training.format_training_data(df, on_error="stop")
+    out = {r.id: r for r in stopped.collect()}
+    assert [out[i].schema_str for i in range(1, 6)] == ['{"a":"int"}', '{"b":"str"}', '{"b":"str"}', None, None]
+    assert [out[i].output for i in range(1, 6)] == ['{"a":1}', '{"b":"x"}', "broken", "{'a': 1}", "broken"]
+    assert [out[i].text is None for i in range(1, 6)] == [False, False, True, True, True]
+    assert "Window" not in plan_of(stopped)
+    # equal keys, null outputs and an empty table
+    ties = spark.createDataFrame([(1, "t", None), (1, "t", "{'a': 1}")], "id int, input string, output string")
+    assert all(r.schema_str == "" for r in training.format_training_data(ties, on_error="stop").collect())
+    assert training.format_training_data(df.where("id > 9"), on_error="stop").collect() == []
+
+
+def test_percentile_budgets(spark):
+    words = [(i, " ".join(["word"] * n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 100])]
+    df = spark.createDataFrame([*words, (99, None)], "id int, text string")
+    budgets = training.sequence_budgets(df, percentiles=(0.1, 0.5, 0.91, 1.0)).orderBy("percentile").collect()
+    assert [tuple(r) for r in budgets] == [(0.1, 1, 1), (0.5, 5, 5), (0.91, 100, 110), (1.0, 100, 110)]
+    assert [r.tokens for r in training.sequence_budgets(df.where("text IS NULL")).collect()] == [None] * 3
+    top = training.sequence_budget(df).first()
+    assert (top.tokens, top.budget) == (100, 110)
+    for bad in ((), (0.0,), (1.5,)):
+        with pytest.raises(ValueError):
+            training.sequence_budgets(df, percentiles=bad)
+
+
+def test_sketches_of_parts_answer_for_the_whole(spark):
+    counts = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("n"), (F.col("id") % 7).alias("part"), F.lit("").alias("text"))
+    parts = training.token_sketch(counts, by=("part",), count=F.col("n"))
+    assert parts.count() == 7
+    ranks = (0.01, 0.25, 0.5, 0.95, 1.0)
+    for row in training.sketch_budgets(parts, ranks).collect():
+        assert abs((row.tokens + 1) / 20000 - row.percentile) <= 0.03
+
+
+def test_prompts_are_added_where_there_are_none(spark, rows):
+    shown = training.with_prompt(rows, {"a": "int"}).orderBy("id").collect()
+    assert len(shown) == 6 and all("JSON_SCHEMA: {'a': 'int'}\n" in r.preprocessed_input for r in shown)
+    own = rows.withColumn("preprocessed_input", F.lit("mine"))
+    assert {r.preprocessed_input for r in training.with_prompt(own, "S").collect()} == {"mine"}
+
+    def factory(config):
+        return lambda asked: [str(len(p)) for p in asked]
+
+    made = evaluate.generate_texts(rows, factory, "S", "an-Instruct").collect()
+    assert all(r.generated_output == str(len(r.preprocessed_input)) and "[INST]" in r.preprocessed_input for r in made)
+
+
+def test_kept_vectors_are_not_made_again(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def factory():
+        def vectors_of(texts):
+            with open(calls, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [[float(len(t))] for t in texts]
+
+        return vectors_of
+
+    def asked():
+        return open(calls).read().split() if os.path.exists(calls) else []
+
+    df = spark.range(300).select("id", F.concat(F.lit("text"), F.col("id") % 5).alias("text"))
+    df = df.union(spark.createDataFrame([(999, None), (1000, "")], "id long, text string"))
+    path = str(tmp_path / "vectors")
+    first = kept.embed_kept(df, "text", factory, path, "m1", ["id"], slices=3)
+    expected = {r.id: None if r.text is None else [float(len(r.text))] for r in df.collect()}
+    assert {r.id: r.vector for r in first.collect()} == expected and first.columns == ["id", "text", "vector"]
+    # the empty text is asked for too, but shows as no word in the list
+    assert sorted(asked()) == [f"text{i}" for i in range(5)]
+    again = kept.embed_kept(df, "text", factory, path, "m1", ["id"], slices=3)
+    assert {r.id: r.vector for r in again.collect()} == expected and len(asked()) == 5
+    more = df.union(spark.createDataFrame([(2000, "other")], "id long, text string"))
+    assert kept.embed_kept(more, "text", factory, path, "m1", ["id"]).where("id = 2000").first().vector == [5.0]
+    assert sorted(asked()) == ["other", *[f"text{i}" for i in range(5)]]
+    kept.embed_kept(df, "text", factory, path, "m2", ["id"])
+    assert len(asked()) == 11  # another version is another model
+    assert kept.embed_kept(df.limit(0), "text", factory, path, "m1", ["id"]).collect() == []
+    with pytest.raises(ValueError):
+        kept.embed_kept(df, "text", factory, path, "m1", ["id"], slices=0)
+
+
+def test_plan_of_kept_vectors(spark, tmp_path, plan_of):
+    df = spark.range(20).select("id", F.col("id").cast("string").alias("text"))
+    made = kept.embed_kept(df, "text", lambda: lambda texts: [[1.0]] * len(texts), str(tmp_path / "v"), "m", ["id"])
+    assert plan_of(made).count("Exchange") <= 5 and "ArrowEvalPython" not in plan_of(made)
+
+
+def test_generation_goes_on_after_a_break(spark, tmp_path):
+    """A model that breaks once has its finished slices kept; the next run asks only for the others."""
+    calls, broken = str(tmp_path / "calls"), str(tmp_path / "broken")
+    open(broken, "w").close()
+
+    def factory(config):
+        def answer(asked):
+            if os.path.exists(broken) and any(p.endswith("7") for p in asked):
+                raise RuntimeError("model is gone")
+            with open(calls, "a") as f:
+                f.writelines(f"{p}\n" for p in asked)
+            return [p.upper() for p in asked]
+
+        return answer
+
+    df = spark.range(40).select("id", F.concat(F.lit("p"), F.col("id")).alias("preprocessed_input"))
+    path = str(tmp_path / "texts")
+    with pytest.raises(Exception, match="model is gone"):
+        kept.generate_kept(df, factory, path, "m", ["id"], slices=40)
+    done = {r.generated_output.lower() for r in spark.read.parquet(path).collect()}
+    assert len(done) < 40
+    os.remove(broken)
+    before = len(open(calls).read().split())
+    out = {r.id: r.generated_output for r in kept.generate_kept(df, factory, path, "m", ["id"], slices=40).collect()}
+    assert out == {i: f"P{i}" for i in range(40)}
+    later = open(calls).read().split()[before:]
+    assert sorted(later) == sorted({f"p{i}" for i in range(40)} - done)
+    # other settings are other texts
+    assert kept.digest("x", "m 1") is not None
+    kept.generate_kept(df.limit(1), factory, path, "m", ["id"], config={"top_k": 1})
+    assert spark.read.parquet(path).count() == 41

@@ -44,6 +44,12 @@ d2 AS (
     ELSE '[' || p_size || ', ''x'']' END AS output
   FROM d2p)"""
 
+# the same with only mended kinds below the middle key
+D2_LATE = D2.replace(
+    "p_partkey % 11 AS kind",
+    "CASE WHEN p_partkey < (SELECT max(p_partkey) / 2.0 FROM part) THEN p_partkey % 2 * 5 ELSE p_partkey % 11 END AS kind",
+)
+
 D3 = f"""d3 AS (
   SELECT p_partkey AS pair_id, to_json({{{PART}}})::VARCHAR AS expected_json,
     CASE p_partkey % 6
@@ -612,3 +618,39 @@ ORACLE_SQL["c9_evaluate"] = (
     + """SELECT pair_id AS id, round(jaccard_similarity, 6) AS jaccard_similarity, round(value_similarity::DOUBLE, 6) AS value_similarity,
       round(similarity_score::DOUBLE, 6) AS similarity_score, round(weighted_mape::DOUBLE, 6) AS weighted_mape FROM compared"""
 )
+
+for name, inside in (("w1_stop_first_bad", "w1_stop_inside"), ("w2_schema_carry", "w2_schema_carry_inside")):
+    ORACLE_SQL[inside] = ORACLE_SQL[name].replace(D2, D2_LATE)
+
+ORACLE_SQL["u2_embed_kept"] = ORACLE_SQL["u2_embed_distinct"]
+ORACLE_SQL["u1_generate_kept"] = ORACLE_SQL["u1_batch_generate"]
+ORACLE_SQL["u1_generate_unprompted"] = f"""SELECT doc_id, {prompt(f"'{SCHEMA_STR}'", "text", False)} AS preprocessed_input,
+  'Sure: {{"chars": ' || length(text) || ', "limit": 50}}' AS generated_output FROM documents"""
+
+ORACLE_SQL["a9_seq_percentiles"] = """WITH c AS (
+    SELECT len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))::INTEGER AS n FROM documents WHERE text IS NOT NULL),
+  r AS (SELECT n, row_number() OVER (ORDER BY n) AS place, count(*) OVER () AS total FROM c)
+  SELECT p AS percentile, min(n) AS tokens, floor(1.1::DOUBLE * min(n))::INTEGER AS budget
+  FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) v(p) WHERE place >= p * total GROUP BY p"""
+
+# the query compares the sketch with the exact ranks itself; each must be within the stated error
+ORACLE_SQL["a9_seq_sketch"] = """SELECT p AS percentile, count(text) > 0 AS within
+  FROM documents, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) v(p) GROUP BY p"""
+
+# every value of the tree of each record; a list index is no part of a path
+ORACLE_SQL["a15_merged_schema"] = (
+    with_(
+        D5,
+        f"""t AS (SELECT t.id = 0 AS is_root, t.type = 'OBJECT' AS is_dict,
+          replace(ltrim(regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g')[2:], '.'), '.', ' ') AS path,
+          replace(ltrim(regexp_replace(t.path, '\\[\\d+\\]', '[]', 'g')[2:], '.'), '.', ' ') AS parent,
+          {type_of("t.value")} AS type FROM d3, json_tree(d3.predicted_json) t)""",
+        "o AS (SELECT path AS parent, count(*) AS objects FROM t WHERE is_dict GROUP BY path)",
+        """g AS (SELECT CASE WHEN path <> '' THEN parent END AS parent, path, list_sort(list(DISTINCT type)) AS types,
+          count(*) AS occurrences, count(*) FILTER (type = 'NoneType') AS nulls FROM t GROUP BY ALL)""",
+    )
+    + """SELECT g.parent, path, CASE WHEN len(types) = 1 THEN types[1] WHEN types = ['float', 'int'] THEN 'float' ELSE 'any' END AS type,
+      array_to_string(types, ',') AS types, occurrences, nulls::BIGINT AS nulls,
+      coalesce(NOT ends_with(path, '[]') AND occurrences < objects, false) AS optional
+    FROM g LEFT JOIN o USING (parent)"""
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import fields as fld
 from recordloom.functions import prompts, records, similarity, text
-from recordloom.operators import documents, lookup, order, python_batches, split, tfidf, vectors
+from recordloom.operators import documents, kept, lookup, order, python_batches, split, tfidf, vectors
 from recordloom.operators import records as record_ops
 from recordloom.plans import build, evaluate, training
 from recordloom.session import configure
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 SCHEMA_STR = "{'lang': 'str', 'source': 'str'}"
 MAPPING = {"name": "p_name", "brand": "p_brand", "size": "p_size"}
 DIGITS = 6
+SKETCH_ERROR = 0.02
 
 
 def query(function: Query) -> Query:
@@ -276,6 +277,26 @@ def a9_seq_budget(spark, sf_dir):
     return largest.unionByName(first)
 
 
+@query
+def a9_seq_percentiles(spark, sf_dir):
+    return training.sequence_budgets(derived.table(spark, sf_dir, "documents"), "text", percentiles=(0.5, 0.95, 1.0))
+
+
+@query
+def a9_seq_sketch(spark, sf_dir):
+    """Percentiles of sketches kept for each source: whether each one's true rank is within the stated error."""
+    docs = derived.table(spark, sf_dir, "documents")
+    budgets = training.sketch_budgets(training.token_sketch(docs, "text", by=("source",)))
+    histogram = docs.select(text.token_count("text").alias("n")).where("n IS NOT NULL").groupBy("n").agg(F.count("*").alias("rows"))
+    # three budgets at most meet each number of tokens
+    ranked = histogram.join(F.broadcast(budgets)).groupBy("percentile").agg(
+        (F.sum(F.when(F.col("n") < F.col("tokens"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("below"),
+        (F.sum(F.when(F.col("n") <= F.col("tokens"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("reached"),
+    )
+    within = (F.col("below") <= F.col("percentile") + SKETCH_ERROR) & (F.col("reached") >= F.col("percentile") - SKETCH_ERROR)
+    return ranked.select("percentile", within.alias("within"))
+
+
 @query
 def a11_signature(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents")
@@ -310,6 +331,12 @@ def a15_schema_profile(spark, sf_dir):
     return record_ops.schema_profile(derived.pairs(spark, sf_dir), "predicted_json")
 
 
+@query
+def a15_merged_schema(spark, sf_dir):
+    merged = record_ops.merged_schema(derived.nested_pairs(spark, sf_dir), "predicted_json")
+    return merged.withColumn("types", F.array_join("types", ","))
+
+
 # --- row order ----------------------------------------------------------------------
 
 
@@ -325,6 +352,18 @@ def w2_schema_carry(spark, sf_dir):
     return formatted.select("id", "schema_str")
 
 
+@query
+def w1_stop_inside(spark, sf_dir):
+    formatted = training.format_training_data(derived.dirty_records(spark, sf_dir, late=True), on_error="stop")
+    return formatted.select("id", "output", "preprocessed_input", "text")
+
+
+@query
+def w2_schema_carry_inside(spark, sf_dir):
+    formatted = training.format_training_data(derived.dirty_records(spark, sf_dir, late=True), on_error="stop")
+    return formatted.select("id", "schema_str")
+
+
 @query
 def w3_split_exact(spark, sf_dir):
     return split.split_exact(derived.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
@@ -578,6 +617,32 @@ def u1_batch_generate(spark, sf_dir):
     return generated.select("doc_id", "generated_output")
 
 
+@query
+def u1_generate_unprompted(spark, sf_dir):
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input"))
+    schema = {"lang": "str", "source": "str"}
+    generated = evaluate.generate_texts(docs, length_generator, schema, config={"max_new_tokens": 50})
+    return generated.select("doc_id", "preprocessed_input", "generated_output")
+
+
+@query
+def u1_generate_kept(spark, sf_dir):
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input"))
+    generated = evaluate.generate_texts(
+        docs, length_generator, SCHEMA_STR, config={"max_new_tokens": 50}, path=scratch_path(spark, "texts"), version="length"
+    )
+    return generated.select("doc_id", "generated_output")
+
+
+@query
+def u2_embed_kept(spark, sf_dir):
+    part = derived.table(spark, sf_dir, "part").select("p_partkey", prompts.field_text(F.lit("p_name"), "p_name").alias("field"))
+    path = scratch_path(spark, "vectors")
+    embedded = kept.embed_kept(part, "field", md5_embedder, path, "md5", spread_by=["p_partkey"], slices=4)
+    shown = F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), ",")
+    return embedded.select("p_partkey", "field", shown.alias("vector"))
+
+
 @query
 def u2_embed_distinct(spark, sf_dir):
     part = derived.table(spark, sf_dir, "part").select("p_partkey", prompts.field_text(F.lit("p_name"), "p_name").alias("field"))

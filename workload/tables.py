@@ -90,8 +90,11 @@ def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2: printed Python dicts of parts with eleven kinds of trouble."""
+def dirty_records(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    """D2: printed Python dicts of parts with eleven kinds of trouble.
+
+    With `late`, parts below the middle key only have two kinds that are mended, so the first unusable one is inside.
+    """
     head = F.concat(
         F.lit("{'p_name': '"), F.col("p_name"), F.lit("', 'p_brand': '"), F.col("p_brand"), F.lit("'")
     )
@@ -104,6 +107,9 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(head, F.lit(f", 'note': {note}"), tail, F.lit("}"))
 
     kind = F.col("p_partkey") % 11
+    if late:
+        middle = table(spark, sf_dir, "part").agg(F.max("p_partkey")).scalar() / 2
+        kind = F.when(F.col("p_partkey") < middle, F.col("p_partkey") % 2 * 5).otherwise(kind)
     output = (
         F.when(kind == 0, with_note("nan"))
         .when(kind == 1, F.concat(head, tail, F.lit(", 'note': nan}")))
