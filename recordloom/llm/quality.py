@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.llm.common import map_texts, pieces, remainder, text_bytes
 
 PASSAGE = 700
 FIT_ROWS = 4000
-FIT_PASSAGES = 48
+FIT_BYTES = 64 << 20
 HIDDEN = 16
 THRESHOLD = 0.3
 _MARKS = [i for i in range(33, 127) if not chr(i).isalnum()]
@@ -120,22 +121,26 @@ class AttentionModel:
         return self._forward(x, np.array([len(b) for b in bags]))["y"]
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> AttentionModel:
-    """Fit on the `rows` labelled rows (doc_id, text, label) with the smallest hashes of the id, a bounded sample;
-    a text gives at most `FIT_PASSAGES` passages to it, spread evenly. Scores read whole texts."""
+def fit(labelled: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> AttentionModel:
+    """Fit on a bounded sample of the labelled rows (doc_id, text, label): in the order of the hashes of their ids, the
+    first `rows` of them, as long as the texts before a row have less than `size` bytes together. Every passage of a
+    chosen row is encoded."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = []
-        for value in batch.column("text").to_pylist():
-            whole = passages((value or "").encode())
-            kept = np.unique(np.linspace(0, len(whole) - 1, min(len(whole), FIT_PASSAGES)).astype(int))
-            found.append(np.array([encode(whole[i]) for i in kept], "<f4").tobytes())
+        found = [bag(text).astype("<f4").tobytes() for text in text_bytes(batch.column("text"))]
         return {"label": batch.column("label"), "bag": found}
 
-    chosen = labelled.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    sample = map_texts(chosen.select("text", F.col("label").cast("int").alias("label")), "text", run, "label int, bag binary").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.xxhash64("text")]
+    first = labelled.where("label IS NOT NULL").orderBy(*order).limit(rows)
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    before = F.sum(length).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length
+    chosen = first.withColumn("__before", before).where(F.col("__before") < size)
+    spread = chosen.select("text", F.col("label").cast("int").alias("label")).repartition(32)
+    sample = map_texts(spread, "text", run, "label int, bag binary").collect()
     model = AttentionModel()
     if sample:
+        # any order of the partitions gives one model
+        sample.sort(key=lambda row: (row.label, bytes(row.bag)))
         bags = [np.frombuffer(row.bag, "<f4").reshape(-1, _FEATURES) for row in sample]
         model.fit(bags, np.array([row.label for row in sample], float))
     return model
@@ -150,8 +155,8 @@ def scored(docs: DataFrame, model: AttentionModel, kept: list[str], text: str =
             score = shared.value.score([bag(value) for value in text_bytes(batch.column(text))])
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(score)], names=[*kept, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, ", ".join([*fields, "score double"]))
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> DataFrame:
@@ -166,7 +171,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, threshold:
     """(doc_id, held_out, score, predicted) for every row.
 
     Labels are read only of rows whose crc32(id as text) mod `held_out_of` is not 0, and of those the `FIT_ROWS`
-    with the smallest hashes. Scores read the text alone; null and empty texts score as one empty passage. Without
+    with the smallest hashes, up to `FIT_BYTES` of text. Scores read the text alone; null and empty texts score as one empty passage. Without
     labels the model is unfitted and its scores carry no meaning. Repeated rows come out as often as they occur; a
     null id has no label; an empty table gives an empty result; columns of other names are not read.
     """
@@ -180,7 +185,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, threshold:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of the table that score at least `threshold`, with their own columns."""
-    own = docs.select(*docs.columns, F.struct(*docs.columns).alias("__row"))
     model = fit(training_rows(docs, labels))
-    found = scored(own.select("__row", F.col("text").alias("__text")), model, ["__row"], "__text")
+    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    found = scored(own, model, ["__row"], "__text")
     return found.where(F.col("score") >= threshold).select("__row.*")
