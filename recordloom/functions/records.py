@@ -297,13 +297,17 @@ def schema_nodes(record: Column | str) -> Column:
 
 
 def schema_nodes_sql(record: str) -> str:
-    def node(parent: str, path: str, in_list: str, value: str, done: bool = False) -> str:
-        return f"struct({parent} AS parent, {path} AS path, {in_list} AS in_list, {value} AS value, {done} AS done)"
+    def node(parent: str, path: str, in_list: str, value: str) -> str:
+        return f"struct({parent} AS parent, {path} AS path, {in_list} AS in_list, CAST(NULL AS STRING) AS type, {value} AS value, false AS done)"
+
+    def own(name: str) -> str:
+        # a finished node needs its value no more; only leaves are asked for their type
+        return f"array(struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, {name} AS type, CAST(NULL AS VARIANT) AS value, true AS done))"
 
     members = f"transform(map_entries({map_sql('n.value')}), e -> {node('n.path', _CHILD_PATH, 'false', 'e.value')})"
     items = f"transform({_list_sql('n.value')}, item -> {node('n.path', "concat(n.path, '[]')", 'true', 'item')})"
-    own = f"array({node('n.parent', 'n.path', 'n.in_list', 'n.value', True)})"
-    expanded = f"if(n.done, array(n), coalesce(concat({own}, coalesce({members}, {items})), {own}))"
+    expanded = f"""if(n.done, array(n), coalesce(
+        concat({own("'dict'")}, {members}), concat({own("'list'")}, {items}), {own(type_name_sql('n.value'))}))"""
     root = f"array({node('CAST(NULL AS STRING)', "''", 'false', record)})"
-    typed = f"struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, {type_name_sql('n.value')} AS type)"
-    return f"if({record} IS NULL, NULL, transform({expand_sql(root, expanded)}, n -> {typed}))"
+    named = "struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, n.type AS type)"
+    return f"if({record} IS NULL, NULL, transform({expand_sql(root, expanded)}, n -> {named}))"
