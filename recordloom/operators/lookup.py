@@ -39,6 +39,7 @@ def join_by_frequency(
     spread_by: list[str],
     hot_values: DataFrame | None = None,
     frequent: int = FREQUENT_KEYS,
+    stay: bool = False,
 ) -> DataFrame:
     """Left join of `rows` to per-key `stats` where `count` says how often a key occurs.
 
@@ -46,6 +47,8 @@ def join_by_frequency(
     What is left for the shuffle join then has keys that each hold less than one row in
     `frequent`; rows that are already served are spread by `spread_by` instead of their key.
     `hot_values` may supply the frequent part when it is cheaper to compute separately.
+    With `stay` rows that are already served are not shuffled at all; `rows` are then computed once for them and once
+    for the others, so it suits rows that cost less to compute than to move.
     """
     if hot_values is None:
         hot_values = stats.orderBy(F.desc(count), key).limit(frequent)
@@ -53,6 +56,13 @@ def join_by_frequency(
         hot_values.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     )
     served = F.col("_hot_key").isNotNull()
+    if stay:
+        met = rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
+        at_once = met.where(served).select(*rows.columns, *[F.col("_hot")[name].alias(name) for name in values])
+        others = met.where(~served).select(*rows.columns)
+        looked_up = stats.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
+        found = others.join(looked_up, F.col(key) == F.col("_cold_key"), "left")
+        return at_once.unionByName(found.select(*rows.columns, *[F.col("_cold")[name].alias(name) for name in values]))
     tagged = rows.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumns(
         {
             "_served": served,

@@ -20,9 +20,14 @@ def smoothed_idf(documents: Column, document_frequency: Column) -> Column:
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """How often each term occurs in each document."""
+    """How often each term occurs in each document.
+
+    The texts are brought together by key before they are taken apart: a text is smaller than the rows of its terms,
+    and counting them then moves nothing.
+    """
     # the outer form: the optimizer would tokenise twice to filter out texts without tokens
-    exploded = df.select(key, F.explode_outer(tokens(text)).alias("term")).where("term IS NOT NULL")
+    texts = df.select(F.col(key).alias(key), F.col(text).alias("_text")).repartition(key)
+    exploded = texts.select(key, F.explode_outer(tokens("_text")).alias("term")).where("term IS NOT NULL")
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -30,7 +35,7 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
     """In how many documents each term occurs.
 
     The count reads `tf` so that this branch needs the same columns as the table itself and
-    both share one shuffle; otherwise the texts would be tokenised once more.
+    both share the shuffle of the texts.
     """
     return frequencies.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
@@ -39,12 +44,12 @@ def corpus_tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """TF-IDF weight of every term of every document, fitted once over the table.
 
     Common words occur in most documents, so the join of terms to their frequency takes the
-    frequent terms from a broadcast of fixed size.
+    frequent terms from a broadcast of fixed size, and only rows of other terms move for it.
     """
     frequencies = term_frequencies(df, key, text)
     documents = df.agg(F.count(F.lit(1)))
     weighted = join_by_frequency(
-        frequencies, document_frequencies(frequencies), "term", "df", values=["df"], spread_by=[key, "term"]
+        frequencies, document_frequencies(frequencies), "term", "df", values=["df"], spread_by=[key, "term"], stay=True
     ).withColumn("raw", F.col("tf") * smoothed_idf(documents.scalar(), F.col("df")))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "tf", "df", (F.col("raw") / length).alias("tfidf"))

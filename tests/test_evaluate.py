@@ -258,6 +258,17 @@ def test_tfidf_comes_out_of_the_row(pairs, spark, plan_of):
         assert empty.textual_similarity_tfidf == 0.0
 
 
+def test_corpus_tfidf_moves_texts_instead_of_terms(spark, plan_of):
+    rows = [(1, "red red blue"), (1, "blue sky"), (None, "red sky"), (None, "sea"), (2, None)]
+    weights = tfidf.corpus_tfidf(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    found = {(r.id, r.term): (r.tf, r.df) for r in weights.collect()}
+    assert found == {
+        (1, "red"): (2, 2), (1, "blue"): (2, 1), (1, "sky"): (1, 2), (None, "red"): (1, 2), (None, "sky"): (1, 2), (None, "sea"): (1, 1),
+    }
+    plan = plan_of(weights)
+    assert "hashpartitioning(id" in plan and ", term#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
+
+
 def test_corpus_tfidf(spark):
     texts = ["the the big dog", "the cat", "the dog sat", "", "the"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")

@@ -177,6 +177,15 @@ def test_join_by_frequency(spark, frequent):
     assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_join_by_frequency_leaves_served_rows_where_they_are(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") >= 200, F.concat(F.lit("k"), F.col("id") % 40)).alias("key"))
+    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("key != 'k7'")
+    for frequent in (1, 3, 1000):
+        joined = lookup.join_by_frequency(rows, stats, "key", "n", ["top"], ["id"], frequent=frequent, stay=True)
+        plain = rows.join(stats, "key", "left").select("id", "key", "top")
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_embed_distinct_calls_each_text_once(spark, tmp_path):
     calls = str(tmp_path / "calls")
 
