@@ -22,7 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word Jaccard similarity of 0.8 or more): that with the smallest id."""
+    """One row of each group of near copies (five-word Jaccard similarity of 0.8 or more): that with the smallest id.
+
+    Candidates come from the SimHash index of operator 8 and, beyond its reach, from shared shingles; each is compared exactly.
+    """
     return near.first_rows(docs)
 
 

@@ -429,6 +429,17 @@ def test_pipeline_near_copies_match_all_pairs(spark, texts):
     check_first_rows(spark, rows + [(1000 + i, t) for i, t in texts.items()])
 
 
+def test_pipeline_near_copies_come_from_the_simhash_index(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(400)) for x in "ab")
+    rows = [(2, a), (1, a + " end"), (3, b), (4, None), (5, "one"), (6, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.col("doc_id").cast("string").cast("binary"))
+    nodes = near._nodes(docs)
+    ids = {r.id: r.first.doc_id for r in nodes.collect()}
+    reached = [{ids[r.u], ids[r.v]} for r in near._fingerprint_links(nodes).collect()]
+    assert {1, 2} in reached and not any(3 in pair for pair in reached)
+    check_first_rows(spark, rows)
+
+
 def test_pipeline_keeps_different_texts_of_null_and_repeated_ids(spark, none):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d + " end"), (None, c), (None, None), (None, " "), (8, "short text"), (9, "short text too")]
