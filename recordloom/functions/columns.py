@@ -25,16 +25,18 @@ def over(body: Callable[..., str], **values: Column | str) -> Column:
     """
     bound = F.struct(*[as_column(value).alias(name) for name, value in values.items()])
     text = body(**{name: f"arg.{name}" for name in values})
-    return F.get(F.call_function("transform", F.array(bound), F.expr(f"arg -> {text}")), F.lit(0))
+    nothing = F.array().cast("array<int>")
+    return F.call_function("aggregate", nothing, bound, F.expr("(held, _) -> held"), F.expr(f"arg -> {text}"))
 
 
 def let(value: str, name: str, body: str) -> str:
     """SQL text that binds `value` to `name` inside `body`.
 
     Inside a lambda an expression that is written twice is evaluated twice, so every
-    expensive intermediate result goes through here.
+    expensive intermediate result goes through here. A fold over nothing binds it: `transform` would
+    copy the result of the body, with all that is nested in it, at every binding.
     """
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    return f"aggregate(CAST(array() AS array<int>), {value}, (held, _) -> held, {name} -> {body})"
 
 
 def literal(value: str) -> str:

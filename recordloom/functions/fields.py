@@ -69,10 +69,10 @@ def align_sql(left: str, right: str) -> str:
     matched = "get(rows, i + 1).path = x.path"
     taken = "i > 0 AND get(rows, i - 1).path = x.path"
     paired = f"""filter(transform(rows, (x, i) -> CASE
+        WHEN x.side = 0 AND {matched} THEN struct(
+            x.path AS path, x.type AS l_type, x.text AS l_text, get(rows, i + 1).type AS r_type, get(rows, i + 1).text AS r_text)
         WHEN x.side = 0 THEN struct(
-            x.path AS path, x.type AS l_type, x.text AS l_text,
-            if({matched}, get(rows, i + 1).type, NULL) AS r_type,
-            if({matched}, get(rows, i + 1).text, NULL) AS r_text)
+            x.path AS path, x.type AS l_type, x.text AS l_text, CAST(NULL AS STRING) AS r_type, CAST(NULL AS STRING) AS r_text)
         WHEN {taken} THEN NULL
         ELSE struct(
             x.path AS path, CAST(NULL AS STRING) AS l_type, CAST(NULL AS STRING) AS l_text,

@@ -18,6 +18,8 @@ TYPE_NAMES = ("str", "int", "float", "bool", "list", "dict", "NoneType")
 # Levels that records usually have, and the deepest nesting the JSON parser accepts.
 USUAL_DEPTH = 5
 PARSER_DEPTH = 1000
+# Levels below the keys of a record that are opened by nested expressions, without a list of nodes in between.
+NESTED_DEPTH = 3
 WHOLE_FLOAT = r"^DECIMAL\((?:\d|1[0-8]),0\)$"
 
 DIRECTIONS = ("schema_to_json", "json_to_schema")
@@ -86,11 +88,12 @@ def name_of_schema_sql(schema: str) -> str:
         WHEN startswith({schema}, 'DECIMAL') OR {schema} IN ('DOUBLE', 'FLOAT') THEN 'float' END"""
 
 
-def value_text_sql(value: str, name: str) -> str:
-    """Text of a value as string formatting prints it; lists and dicts as JSON."""
+def value_text_sql(value: str, name: str, scalar: bool = False) -> str:
+    """Text of a value as string formatting prints it; lists and dicts, which no `scalar` is, as JSON."""
+    nested = "" if scalar else f"WHEN {name} IN ('list', 'dict') THEN {json_text_sql(value)}"
     return f"""CASE
         WHEN {name} = 'str' THEN try_variant_get({value}, '$', 'string')
-        WHEN {name} IN ('list', 'dict') THEN {json_text_sql(value)}
+        {nested}
         WHEN {name} = 'bool' THEN initcap(to_json({value}))
         WHEN {name} = 'NoneType' THEN 'None'
         WHEN {name} = 'float' THEN {float_text_sql(f"try_variant_get({value}, '$', 'double')")}
@@ -119,13 +122,33 @@ def json_text(value: Column | str, item_sep: str = ",", key_sep: str = ":") -> C
     Floats are written as string formatting prints them (``900.0``, ``1e+300``). A value is taken apart level by level into an ordered
     array of pieces, finished text and values still to be opened, until only text is left to be joined.
     """
-    return over(lambda value: json_text_sql(value, item_sep, key_sep), value=value)
+
+    def written(value: str) -> str:
+        level_by_level = json_text_sql(value, item_sep, key_sep)
+        text = _written_sql(value, item_sep, key_sep, NESTED_DEPTH)
+        return f"if({value} IS NULL, NULL, {let(text, 'written', f'if(contains(written, char(0)), {level_by_level}, written)')})"
+
+    return over(written, value=value)
 
 
 def json_text_sql(value: str, item_sep: str = ",", key_sep: str = ":") -> str:
     return f"if({value} IS NULL, NULL, {_joined_sql(f'array({_piece_sql(value)})', item_sep, key_sep)})"
 
 
+def _written_sql(value: str, item_sep: str, key_sep: str, depth: int) -> str:
+    """JSON text of a value, written by nested expressions over `depth` levels; U+0000, never in JSON text, for what lies deeper."""
+    child, s = f"c{depth}", f"s{depth}"
+    below = "char(0)"
+    if depth:
+        members = f"transform(map_entries({map_sql(value)}), e -> struct(concat({_key_sql('e.key')}, {literal(key_sep)}) AS key, e.value AS value))"
+        items = f"transform({_list_sql(value)}, x -> struct('' AS key, x AS value))"
+        text = f"concat({child}.key, {_written_sql(f'{child}.value', item_sep, key_sep, depth - 1)})"
+        joined = f"array_join(transform(coalesce({members}, {items}), {child} -> {text}), {literal(item_sep)})"
+        below = let(joined, "joined", f"if(startswith({s}, 'OBJECT'), concat('{{', joined, '}}'), concat('[', joined, ']'))")
+    text = f"if(startswith({s}, 'OBJECT') OR startswith({s}, 'ARRAY'), {below}, {_scalar_sql(value, s)})"
+    return let(f"schema_of_variant({value})", s, text)
+
+
 def map_json_text(record: Column, item_sep: str = ",", key_sep: str = ":") -> Column:
     """JSON text of a MAP<STRING,VARIANT>, in the order of the map; what lies in it as by `json_text`."""
     return over(
@@ -146,17 +169,24 @@ def _text_piece_sql(text: str) -> str:
 
 def _piece_sql(value: str) -> str:
     """A value as a piece: finished text unless it is an object or a list."""
-    number = float_text_sql(f"try_variant_get({value}, '$', 'double')")
-    scalar = f"if({name_of_schema_sql('s')} = 'float', {number}, to_json({value}))"
     nested = "startswith(s, 'OBJECT') OR startswith(s, 'ARRAY')"
-    piece = f"if({nested}, struct('' AS text, {value} AS value, false AS done), {_text_piece_sql(scalar)})"
+    piece = f"if({nested}, struct('' AS text, {value} AS value, false AS done), {_text_piece_sql(_scalar_sql(value, 's'))})"
     return let(f"schema_of_variant({value})", "s", piece)
 
 
+def _scalar_sql(value: str, schema: str) -> str:
+    number = float_text_sql(f"try_variant_get({value}, '$', 'double')")
+    return f"if({name_of_schema_sql(schema)} = 'float', {number}, to_json({value}))"
+
+
+def _key_sql(key: str) -> str:
+    """A key as a JSON string. In a list it has quotes at both ends, so only the brackets around it are trimmed."""
+    return f"if({key} RLIKE '^[A-Za-z0-9_ ]+\\\\z', concat('\"', {key}, '\"'), trim(BOTH '[]' FROM to_json(array({key}))))"
+
+
 def _object_sql(members: str, item_sep: str, key_sep: str) -> str:
     """Pieces of a map, null for null: a brace, its entries, a brace."""
-    key = "regexp_replace(to_json(array(e.key)), '^\\\\[|\\\\]$', '')"
-    before = f"concat(if(i > 0, {literal(item_sep)}, ''), {key}, {literal(key_sep)})"
+    before = f"concat(if(i > 0, {literal(item_sep)}, ''), {_key_sql('e.key')}, {literal(key_sep)})"
     entries = f"transform(map_entries({members}), (e, i) -> array({_text_piece_sql(before)}, {_piece_sql('e.value')}))"
     return f"concat(array({_text_piece_sql(literal('{'))}), flatten({entries}), array({_text_piece_sql(literal('}'))}))"
 
@@ -231,7 +261,27 @@ def flatten_record(record: Column | str) -> Column:
 
 def flatten_sql(record: str) -> str:
     nodes = f"transform(map_entries({map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
-    return f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
+    level_by_level = f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
+    below = _opened_sql("e0.value", "e0.key", False, NESTED_DEPTH)
+    opened = f"flatten(transform(map_entries({map_sql(record)}), e0 -> {below}))"
+    leaves = f"transform({opened}, n -> {leaf_sql('n.value', 'n.path', scalar=True)})"
+    return let(leaves, "leaves", f"if(exists(leaves, x -> x.type IN ('list', 'dict')), {level_by_level}, leaves)")
+
+
+def _opened_sql(value: str, path: str, in_list: bool, depth: int) -> str:
+    """What lies at a path as ARRAY<STRUCT<path, value>>, opened by nested expressions over `depth` levels.
+
+    Lists inside lists and what lies deeper stay whole.
+    """
+    entry, item, i, at = (f"{name}{depth}" for name in ("e", "x", "i", "p"))
+    if depth == 0:
+        return f"array(struct({path} AS path, {value} AS value))"
+    whole = f"array(struct({at} AS path, {value} AS value))"
+    key = f"if({at} = '', {entry}.key, concat({at}, ' ', {entry}.key))"
+    members = f"flatten(transform(map_entries({map_sql(value)}), {entry} -> {_opened_sql(f'{entry}.value', key, False, depth - 1)}))"
+    below = _opened_sql(item, f"concat({at}, '[', {i}, ']')", True, depth - 1)
+    items = "" if in_list else f"flatten(transform({_list_sql(value)}, ({item}, {i}) -> {below})), "
+    return let(path, at, f"coalesce({members}, {items}{whole})")
 
 
 def expand_sql(nodes: str, expanded: str | None = None) -> str:
@@ -269,9 +319,9 @@ _EXPANDED_NODE = f"""CASE WHEN n.done THEN array(n) ELSE coalesce(
     array(struct(n.path AS path, n.value AS value, n.in_list AS in_list, true AS done))) END"""
 
 
-def leaf_sql(value: str, path: str) -> str:
+def leaf_sql(value: str, path: str, scalar: bool = False) -> str:
     """A finished node as STRUCT<path, type, text>."""
-    leaf = f"struct({path} AS path, name AS type, {value_text_sql(value, 'name')} AS text)"
+    leaf = f"struct({path} AS path, name AS type, {value_text_sql(value, 'name', scalar)} AS text)"
     return let(type_name_sql(value), "name", leaf)
 
 
@@ -310,4 +360,28 @@ def schema_nodes_sql(record: str) -> str:
         concat({own("'dict'")}, {members}), concat({own("'list'")}, {items}), {own(type_name_sql('n.value'))}))"""
     root = f"array({node('CAST(NULL AS STRING)', "''", 'false', record)})"
     named = "struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, n.type AS type)"
-    return f"if({record} IS NULL, NULL, transform({expand_sql(root, expanded)}, n -> {named}))"
+    level_by_level = f"transform({expand_sql(root, expanded)}, n -> {named})"
+    opened = _schema_sql(record, "CAST(NULL AS STRING)", "''", False, NESTED_DEPTH)
+    chosen = f"if(exists(nodes, x -> x.type = '{_UNOPENED}'), {level_by_level}, nodes)"
+    return f"if({record} IS NULL, NULL, {let(opened, 'nodes', chosen)})"
+
+
+_UNOPENED = "unopened"
+
+
+def _schema_sql(value: str, parent: str, path: str, in_list: bool, depth: int) -> str:
+    """The nodes of a value by nested expressions over `depth` levels; lists in lists and what lies deeper are `_UNOPENED`."""
+    entry, item, at = (f"{name}{depth}" for name in ("e", "x", "p"))
+
+    def own(kind: str) -> str:
+        return f"array(struct({parent} AS parent, {at} AS path, {in_list} AS in_list, {kind} AS type))"
+
+    whole = own(let(type_name_sql(value), "name", f"if(name IN ('list', 'dict'), '{_UNOPENED}', name)"))
+    if depth == 0:
+        return let(path, at, whole)
+    key = f"if({at} = '', {entry}.key, concat({at}, ' ', {entry}.key))"
+    below = _schema_sql(f"{entry}.value", at, key, False, depth - 1)
+    members = f"concat({own("'dict'")}, flatten(transform(map_entries({map_sql(value)}), {entry} -> {below})))"
+    below = _schema_sql(item, at, f"concat({at}, '[]')", True, depth - 1)
+    items = "" if in_list else f"concat({own("'list'")}, flatten(transform({_list_sql(value)}, {item} -> {below}))), "
+    return let(path, at, f"coalesce({members}, {items}{whole})")

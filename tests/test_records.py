@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import records
+from recordloom.functions.columns import let
 from recordloom.functions.fields import last_wins
 from recordloom.operators import records as record_ops
 
@@ -227,3 +228,36 @@ def test_merged_schema_opens_any_depth(spark):
     text = '{"a":' * 12 + "[[1]]" + "}" * 12
     deep = record_ops.merged_schema(spark.createDataFrame([(text,)], "r string"), "r").collect()
     assert {r.path for r in deep} >= {" ".join("a" * 12), " ".join("a" * 12) + "[][]"} and len(deep) == 15
+
+
+ODD_RECORDS = [
+    '{"a": 1, "b": {"c": 2.50, "d": [1, {"e": [true, null]}, [3, [4]]]}, "": {"": "x", "y": {}}, "l": []}',
+    '{"a": {"b": {"c": {"d": {"e": {"f": {"g": [1, {"h": 1e300}]}}}}}}, "z": [[], [1.0], {}]}',
+    '{"k\\u0000": "v\\u0000", "[q]": {"\\"": "]", "\\n": 900.0, "x\\n": "é", "plain key_1": -0.0001}}',
+    '[1, {"a": {"b": [[{"c": 1}]]}}]', "3.0", '"text"', "{}", "not json",
+]
+
+
+def test_nested_expressions_equal_level_by_level(spark, monkeypatch):
+    """What is opened by nested expressions and what is left to the levels gives the same leaves, texts and schemas."""
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(ODD_RECORDS)], "i int, s string")
+
+    def found(depth):
+        monkeypatch.setattr(records, "NESTED_DEPTH", depth)
+        v = records.parse_record("s")
+        made = rows.select("i", records.flatten_record(v), records.json_text(v, ", ", ": "), records.schema_nodes(v))
+        return [(i, leaves, text, nodes and sorted(nodes, key=str)) for i, leaves, text, nodes in made.orderBy("i").collect()]
+
+    whole = found(4)
+    assert whole == found(0) == found(3)
+    assert [x.path for x in whole[1][1]][0] == "a b c d e f g[0]" and whole[1][2].startswith('{"a": {"b": {"c"')
+    assert '{"[q]": {"\\n": 900.0, "\\"": "]"' in whole[2][2] and "\\u0000" in whole[2][2]
+
+
+def test_bindings_and_usual_records_take_no_copies_by_level(spark, monkeypatch):
+    """Binding copies nothing, and a record of usual depth never reaches the fold over levels."""
+    assert "transform" not in let("a", "b", "b")
+    monkeypatch.setattr(records, "expand_sql", lambda nodes, expanded=None: f"if(true, raise_error('level by level'), {nodes})")
+    rows = spark.createDataFrame([('{"b": 1, "l": [{"k": 1.5, "t": "x"}, {"k": null}], "o": {"p": {"q": true}}}',)], "s string")
+    leaves = rows.select(records.flatten_record(records.parse_record("s"))).first()[0]
+    assert [x.path for x in leaves] == ["b", "l[0] k", "l[0] t", "l[1] k", "o p q"]
