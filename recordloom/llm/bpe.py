@@ -19,30 +19,30 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 STEPS = 24
 CACHE_WORDS = 100_000  # in each half of the cache
 WORD_ROWS = 40_000
-PIECE_TEXT = 2 << 20
+PIECE_TEXT = 512 << 10
 
-# One step contracts the leftmost pair of least rank in every word; words without a pair leave the recursion.
+# A row is a word with its tokens. One step contracts the leftmost pair of least rank in every word; words without a pair
+# leave the recursion.
 ENCODE = f"""
-WITH RECURSIVE steps(step, word, pos, token, next_token, before) AS (
-    SELECT 0, word, pos, token, lead(token) OVER near, lag(pos) OVER near
-    FROM state WINDOW near AS (PARTITION BY word ORDER BY pos)
+WITH RECURSIVE steps(step, word, tokens, done) AS (
+    SELECT 0, word, tokens, false FROM state
     UNION ALL
-    SELECT step, word, pos, token, lead(token) OVER near, lag(pos) OVER near
-    FROM (
-        SELECT s.step + 1 AS step, s.word, s.pos, CASE WHEN s.pos = (b.best & 4294967295) THEN (b.best >> 32)::INTEGER ELSE s.token END AS token
-        FROM steps s JOIN (
-            SELECT p.word, min((m.id::BIGINT << 32) | p.pos) AS best
-            FROM steps p JOIN merges m ON m.l = p.token AND m.r = p.next_token GROUP BY p.word
-        ) b ON b.word = s.word
-        WHERE s.step < {STEPS} AND s.before IS DISTINCT FROM (b.best & 4294967295)
-    )
-    WINDOW near AS (PARTITION BY word ORDER BY pos)
-), last AS (SELECT word, max(step) AS step FROM steps GROUP BY word)
-SELECT word, step, list(token ORDER BY pos) AS tokens FROM steps JOIN last USING (word, step) GROUP BY word, step
+    SELECT s.step + 1, s.word, CASE WHEN b.best IS NULL THEN s.tokens ELSE
+        s.tokens[:(b.best & 4294967295) - 1] || [(b.best >> 32)::INTEGER] || s.tokens[(b.best & 4294967295) + 2:] END, b.best IS NULL
+    FROM steps s LEFT JOIN (
+        SELECT word, min((m.id::BIGINT << 32) | p.pos) AS best
+        FROM (
+            SELECT word, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r, generate_subscripts(tokens[2:], 1) AS pos
+            FROM steps WHERE NOT done AND len(tokens) > 1
+        ) p JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY word
+    ) b ON b.word = s.word
+    WHERE NOT s.done AND s.step < {STEPS}
+)
+SELECT word, tokens, done FROM steps WHERE done OR step = {STEPS}
 """
 
 DECODE = """
-SELECT row, string_agg(v.text, '' ORDER BY pos) AS text FROM ids JOIN vocabulary v USING (id) GROUP BY row
+SELECT row, array_to_string(list(v.text ORDER BY pos), '') AS text FROM ids JOIN vocabulary v USING (id) GROUP BY row
 """
 
 
@@ -100,31 +100,23 @@ class Codec:
 
     def _contract(self, words: list[str]) -> None:
         encoded = [word.encode() for word in words]
-        lengths = np.fromiter(map(len, encoded), np.int64)
-        numbers = np.repeat(np.arange(len(words)), lengths)
-        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        tokens = self.single[np.frombuffer(b"".join(encoded), np.uint8)]
-        while len(numbers):
-            state = pa.table({"word": numbers, "pos": places, "token": tokens})
+        ends = np.cumsum([0, *map(len, encoded)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(ends, self.single[np.frombuffer(b"".join(encoded), np.uint8)])
+        state = pa.table({"word": np.arange(len(words), dtype=np.int32), "tokens": tokens})
+        while len(state):
             self.db.register("state", state)
             found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("state")
-            open_ = found.column("step").to_numpy() >= STEPS
-            done = found.filter(pa.array(~open_))
-            ids = done.column("tokens").combine_chunks()
+            done = found.filter(found.column("done"))
             if len(done):
+                ids = done.column("tokens").combine_chunks()
                 packed = ids.flatten().to_numpy().astype("<u4").tobytes()
                 ends = (np.cumsum(pa.compute.list_value_length(ids).to_numpy()) * 4).tolist()
                 start = 0
                 for word, end in zip(done.column("word").to_pylist(), ends, strict=True):
                     self.words[words[word]] = packed[start:end]
                     start = end
-            more = found.filter(pa.array(open_))
-            lists = more.column("tokens").combine_chunks()
-            counts = pa.compute.list_value_length(lists).to_numpy() if len(more) else np.zeros(0, np.int64)
-            numbers = np.repeat(more.column("word").to_numpy(), counts)
-            places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            tokens = lists.flatten().to_numpy() if len(more) else tokens[:0]
+            state = found.filter(pa.compute.invert(found.column("done"))).select(["word", "tokens"])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers.

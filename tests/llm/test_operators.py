@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -103,6 +104,21 @@ def test_bpe_matches_the_library(spark):
         assert bytes(r.decoded) == text.encode()
 
 
+def test_bpe_contraction_has_one_row_for_each_word():
+    """A step of the recursion holds words with their tokens, not one row for every token of every step."""
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    words = ["x", "qzqzqzqz", "abcdefgh" * 12, "日本語" * 9, "!?" * 40, *("zq" * n for n in range(1, 40))]
+    state = pa.table({"word": range(len(words)), "tokens": [codec.single[list(word.encode())].tolist() for word in words]})
+    codec.db.register("state", state)
+    found = codec.db.sql(bpe.ENCODE).fetchall()
+    assert sorted(word for word, _, _ in found) == list(range(len(words)))
+    assert all(tokens == plain._encode_single_piece(words[word]) for word, tokens, done in found if done)
+    assert any(done for _, _, done in found) and not all(done for _, _, done in found)
+    codec.learn(words)
+    assert [np.frombuffer(codec.words[w], "<u4").tolist() for w in words] == [plain._encode_single_piece(w) for w in words]
+
+
 def test_lines_keep_the_earliest(spark, odd, none):
     found = lines.without_repeats(odd).collect()
     assert len(found) == len(ODD)
