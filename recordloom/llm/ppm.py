@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,17 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], lengths
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
-    """Ranges of texts of about `limit` bytes."""
-    found, start, held = [], 0, 0
-    for place, text in enumerate(texts):
-        if held and held + len(text) > limit:
-            found.append((start, place))
+def slices(column: pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Start, end and texts of slices of about `limit` bytes; only the texts of one slice are made at a time."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    start, held = 0, 0
+    for place, length in enumerate(lengths):
+        if held and held + length > limit:
+            yield start, place, text_bytes(column.slice(start, place - start))
             start, held = place, 0
-        held += len(text) + 1
-    return [*found, (start, len(texts))] if start < len(texts) else found
+        held += length + 1
+    if start < len(lengths):
+        yield start, len(lengths), text_bytes(column.slice(start))
 
 
 def text_words(text: bytes) -> list[bytes]:
@@ -68,6 +71,32 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first) if len(key) else count
 
 
+def _ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and the value of each."""
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+class Counts:
+    """Counts of 64-bit keys, summed in order whenever many wait."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > WAITING:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and their counts."""
+        keys, counts = _summed(self.keys, self.counts)
+        self.keys, self.counts, self.waiting = [keys], [counts], 0
+        return keys, counts
+
+
 class Lookup:
     """Places of keys in a sorted array: by a table of hashes, and by bisection where two keys share a slot."""
 
@@ -93,33 +122,24 @@ def _gather(table: pa.Table) -> pa.Table:
     """Distinct grams (kind 0) and words (kind 1) of a part of the texts, with their counts in training texts."""
     part = table.column("part")[0].as_py()
     held = table.column("held_out").to_numpy()
-    texts = text_bytes(table.column("text").combine_chunks())
-    words: Counter = Counter()
-    held_keys, held_counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for start, end in slices(texts):
-        for text, out in zip(texts[start:end], held[start:end], strict=True):
-            if not out:
-                words.update(text_words(text))
-        found, lengths = grams(texts[start:end])
+    symbols, words = Counts(), Counts()
+    for start, end, texts in slices(table.column("text")):
+        own: Counter = Counter()
+        for text, out in zip(texts, held[start:end], strict=True):
+            if out:
+                for word in text_words(text):
+                    own.setdefault(word, 0)
+            else:
+                own.update(text_words(text))
+        words.add(np.fromiter(map(word_key, own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+        found, lengths = grams(texts)
         found, n = np.unique(np.where(np.repeat(held[start:end], lengths), ~found, found), return_counts=True)
         n[found < 0] = 0  # held out: asked for, not counted
-        found = np.where(found < 0, ~found, found)
-        held_keys.append(found)
-        held_counts.append(n)
-        waiting += len(found)
-        if waiting > WAITING:
-            merged = _summed(held_keys, held_counts)
-            held_keys, held_counts, waiting = [merged[0]], [merged[1]], 0
-    keys, counts = _summed(held_keys, held_counts)
-    words[END_WORD] += int((~held).sum())
-    for text, out in zip(texts, held, strict=True):
-        if out:
-            for word in text_words(text):
-                words.setdefault(word, 0)
-    own = np.fromiter(map(word_key, words), np.int64, len(words))
-    key = np.concatenate([keys, own])
-    count = np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words))])
-    kind = np.repeat(np.array([0, 1], np.int32), [len(keys), len(own)])
+        symbols.add(np.where(found < 0, ~found, found), n)
+    words.add(np.array([word_key(END_WORD)]), np.array([(~held).sum()]))
+    both = symbols.total(), words.total()
+    key, count = (np.concatenate(columns) for columns in zip(*both, strict=True))
+    kind = np.repeat(np.array([0, 1], np.int32), [len(keys) for keys, _ in both])
     return pa.table({"part": np.full(len(key), part), "kind": kind, "key": key, "c": count})
 
 
@@ -226,31 +246,32 @@ def ppm_scores(
         if not left.num_rows:
             return schema.empty_table()
         kind, key, value = (right.column(name).to_numpy() for name in ("kind", "key", "value"))
-        order = np.argsort(key[kind == 0])
-        grammar, length = Lookup(key[kind == 0][order]), value[kind == 0][order]
-        count = dict(zip(key[kind == 1].tolist(), value[kind == 1].tolist(), strict=True))
-        texts = text_bytes(left.column("text").combine_chunks())
-        each = []
-        for start, stop in slices(texts):
-            sequence, lengths = grams(texts[start:stop])
-            each.append(np.add.reduceat(length[grammar.places(sequence)], np.cumsum(lengths) - lengths))
-        each = np.concatenate(each)
-        cost: dict[bytes, float] = {}
-        tokens, known, base = [], [], []
+        (grammar, length), (vocabulary, count) = (_ordered(key[kind == k], value[kind == k]) for k in (0, 1))
+        del kind, key, value
+        grammar = Lookup(grammar)
+        tokens, known, base, each = [], [], [], []
         scale = np.log10(n_train + 0.1 * (n_kinds + 1))
         unknown = float(np.log10(0.1))
-        end = count[word_key(END_WORD)]
-        for text in texts:
-            found = text_words(text)
-            for word in set(found).difference(cost):
-                c = count[word_key(word)]
-                cost[word] = float(np.log10(c + 0.1)) if c else unknown
-            costs = [cost[word] for word in found]
-            costs.append(float(np.log10(end + 0.1)) if end else unknown)
-            tokens.append(len(costs))
-            known.append(len(costs) - costs.count(unknown))
-            base.append(sum(costs) - len(costs) * scale)
-        trained = np.full(len(texts), n_train)
+
+        def word_cost(c: float) -> float:
+            return float(np.log10(c + 0.1)) if c else unknown
+
+        end_cost = word_cost(count[np.searchsorted(vocabulary, word_key(END_WORD))])
+        for _, _, texts in slices(left.column("text")):
+            sequence, lengths = grams(texts)
+            each.append(np.add.reduceat(length[grammar.places(sequence)], np.cumsum(lengths) - lengths))
+            split = list(map(text_words, texts))
+            own = list(set().union(*split))
+            wanted = np.fromiter(map(word_key, own), np.int64, len(own))
+            cost = dict(zip(own, map(word_cost, count[np.searchsorted(vocabulary, wanted)]), strict=True))
+            for found in split:
+                costs = [cost[word] for word in found]
+                costs.append(end_cost)
+                tokens.append(len(costs))
+                known.append(len(costs) - costs.count(unknown))
+                base.append(sum(costs) - len(costs) * scale)
+        each = np.concatenate(each)
+        trained = np.full(left.num_rows, n_train)
         return pa.table([left.column("doc_id"), left.column("held_out"), tokens, known, trained, base, each], schema=schema)
 
     return (

@@ -92,6 +92,26 @@ def test_ppm_matches_a_walk_over_contexts(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_ppm_makes_the_texts_and_words_of_one_slice_at_a_time(monkeypatch):
+    """A part of 20,000 texts of which every word is new: arrays stay, the words and texts of a slice go."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(20_000)]
+    table = pa.table({"part": [0] * len(texts), "held_out": [i % 10 == 0 for i in range(len(texts))], "text": pa.chunked_array([texts])})
+    most, made = 0, ppm.text_bytes
+
+    def counted(column):
+        nonlocal most
+        most = max(most, len(column))
+        return made(column)
+
+    monkeypatch.setattr(ppm, "text_bytes", counted)
+    found = ppm._gather(table).to_pandas()
+    assert most < len(texts) / 2
+    words = found[found.kind == 1].set_index("key").c
+    assert len(words) == 400_001 and words[ppm.word_key(ppm.END_WORD)] == 18_000
+    assert words[ppm.word_key(b"w1x1")] == 1 and words[ppm.word_key(b"w10x1")] == 0
+    assert found[found.kind == 0].c.sum() == sum(len(t) + 1 for i, t in enumerate(texts) if i % 10)
+
+
 def test_bpe_matches_the_library(spark):
     ranks = bpe.Codec(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), public_tokenizers.PATTERN).ranks
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
