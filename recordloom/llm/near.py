@@ -24,6 +24,10 @@ SHARE, OF = 4, 5
 SAMPLE, COMMON, COMMON_KEPT = 16, 4, 100_000
 # keys, of 16 bytes and a few numbers, that may be sent to every executor; more go through a shuffle
 BROADCAST_KEYS = 500_000
+# 64-bit words of the parities of a set, by which its distance from another set is bounded from below
+WORDS = 8
+# rows of a shingle that are set against each other in one group; more are dealt out in blocks
+GROUP_ROWS = 2_000
 # texts taken at once; their sets of shingles are larger than they are
 PIECE_BYTES = 1 << 20
 ROWS_AT_ONCE = "400"
@@ -46,6 +50,15 @@ def _node(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of `WORDS` * 64 places.
+
+    Two sets differ in at least as many shingles as their parities differ in places.
+    """
+    counts = np.bincount((found % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _common(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles of a sample of the texts, sorted, and their counts."""
 
@@ -62,7 +75,7 @@ def _common(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(keyed: DataFrame) -> DataFrame:
-    """One row for each distinct set of shingles: (id, n, prefix, SimHash fingerprint, first row that has it).
+    """One row for each distinct set of shingles: (id, n, prefix, parities, SimHash fingerprint, first row that has it).
 
     All sets are sorted in one order. Two sets as similar as asked share a shingle among the first
     n - ceil(n * share) + 1 of each, whatever the order is.
@@ -70,7 +83,7 @@ def _nodes(keyed: DataFrame) -> DataFrame:
     common, counts = _common(keyed)
 
     def run(batch: pa.RecordBatch) -> dict:
-        made: dict[str, list] = {"node": [], "n": [], "fp": [], "prefix": []}
+        made: dict[str, list] = {"node": [], "n": [], "fp": [], "prefix": [], "parities": []}
         for text in batch.column("text").to_pylist():
             found = shingles(text)
             rank = np.zeros(len(found), np.int64)
@@ -82,16 +95,17 @@ def _nodes(keyed: DataFrame) -> DataFrame:
             made["node"].append(_node(found))
             made["n"].append(n)
             made["fp"].append(_fingerprint(text))
+            made["parities"].append(_parities(found))
             made["prefix"].append(found[np.lexsort((found, rank))[:kept]].view(np.int64))
         return made | {"__row": batch.column("__row"), "doc_id": batch.column("doc_id")}
 
-    schema = "node binary, n int, fp long, prefix array<long>, __row binary, doc_id long"
+    schema = "node binary, n int, fp long, prefix array<long>, parities array<long>, __row binary, doc_id long"
     marked = map_texts(keyed.select("__row", "doc_id", "text"), "text", run, schema, PIECE_BYTES)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    same = [F.first("n").alias("n"), F.first("prefix").alias("prefix")]
+    same = [F.first(name).alias(name) for name in ("n", "prefix", "parities")]
     sets = marked.groupBy("node").agg(first, *same, F.min("fp").alias("fp"))
     # the numbers are written with the rows, so they stay the same when a task is run again
-    return cut(sets.select(F.monotonically_increasing_id().alias("id"), "n", "prefix", "fp", "first"), "nodes")
+    return cut(sets.select(F.monotonically_increasing_id().alias("id"), "n", "prefix", "parities", "fp", "first"), "nodes")
 
 
 def _fingerprint(text: str | None) -> int:
@@ -118,6 +132,34 @@ def _similar(common: Column, n_a: Column, n_b: Column) -> Column:
     return common * (SHARE + OF) >= (n_a + n_b) * SHARE
 
 
+def _may_be_similar(a: str, b: str) -> Column:
+    """Whether the parities of two sets leave it open that the sets are similar enough."""
+    apart = sum(F.bit_count(F.col(f"{a}.parities")[i].bitwiseXOR(F.col(f"{b}.parities")[i])) for i in range(WORDS))
+    n = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")
+    # |A| + |B| = 2 * common + apart
+    return apart * (SHARE + OF) <= n * (OF - SHARE)
+
+
+def _candidates(apart: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows (token, id, n, place, root, parities, blocks) of one token, of different roots, that may be similar.
+
+    A token of several `blocks` is dealt out over blocks * blocks groups; each pair of its rows meets in one of them.
+    """
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        same = [F.col(f"a.{name}") == F.col(f"b.{name}") for name in on]
+        open_ = (F.col("a.id") > F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
+        pairs = a.join(b, [*same, open_, _may_link("a", "b"), _may_be_similar("a", "b")])
+        return pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+    few, many = apart.where("blocks = 1"), apart.where("blocks > 1")
+    own, every = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = many.select("*", own.alias("line"), every.alias("column"))
+    right = many.select("*", every.alias("line"), own.alias("column"))
+    return met(few, few, ["token"]).unionAll(met(left, right, ["token", "line", "column"])).distinct()
+
+
 def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
     """A table of keys with a broadcast hint if its rows (or the sum of `weight`) are few; it is written and counted."""
     table = cut(table, "keys")
@@ -187,7 +229,8 @@ def first_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
     No similar pair is lost: candidates have near SimHash fingerprints, or share a shingle in the prefixes of their sets
     (a similarity of 4/5 leaves about ten bits apart, more than the index of fingerprints reaches), and each is confirmed. What
-    hangs together after texts were set against one other text for each shingle is not compared again. Shuffles carry
+    hangs together after texts were set against one other text for each shingle is not compared again; of the rest, pairs
+    whose sets differ too much by the parities of their shingles are no candidates. Shuffles carry
     numbers of rows and shingles; a text moves only when keys are too many to be broadcast (`BROADCAST_KEYS`).
     """
     docs.sparkSession.conf.set(BATCH_SETTING, ROWS_AT_ONCE)
@@ -199,7 +242,8 @@ def first_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     nodes = _nodes(narrow)
     # both branches read the same columns, so one shuffle serves the counts and the join
     placed = nodes.select("id", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
-    least = placed.groupBy("token").agg(F.min("id").alias("least"), F.count("n").alias("held"), F.max("place").alias("last"))
+    # the text with the fewest rarer shingles before a shared one is the nearest to all others
+    least = placed.groupBy("token").agg(F.min_by("id", "place").alias("least"), F.count("n").alias("held"), F.max("place").alias("last"))
     shared = cut(placed.join(least.where("held > 1 AND last >= 0").select("token", "least"), "token"), "shared")
     # one text for each shingle against the others
     hub = shared.where("id = least").alias("h")
@@ -211,12 +255,10 @@ def first_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     # those still apart against each other
     rooted = components(linked).select(F.col("u").alias("id"), F.col("v").alias("root"))
     apart = shared.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    apart = cut(apart.join(mixed.select("token"), "token", "left_semi"), "apart")
-    a, b = apart.alias("a"), apart.alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")))
-    rest = rest.where((F.col("a.root") != F.col("b.root")) & _may_link("a", "b"))
-    rest = rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    mixed = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
+    mixed = mixed.where("low <> high").select("token", F.ceil(F.col("held") / GROUP_ROWS).alias("blocks"))
+    apart = cut(apart.join(mixed, "token").join(nodes.select("id", "parities"), "id"), "apart")
+    rest = _candidates(apart)
     rest = cut(rest.join(star, ["u", "v"], "left_anti"), "rest")
     found = components(linked.unionAll(_confirmed(rest, nodes, narrow))).withColumnRenamed("u", "id")
     groups = nodes.select("id", "first").join(found, "id", "left").groupBy(F.coalesce("v", "id").alias("root"))

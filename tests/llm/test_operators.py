@@ -465,6 +465,23 @@ def test_pipeline_near_copies_match_all_pairs(spark, texts):
     check_first_rows(spark, rows + [(1000 + i, t) for i, t in texts.items()])
 
 
+def test_pipeline_near_copies_of_one_text_are_not_all_candidates(spark, monkeypatch):
+    random.seed(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(150):  # three far edits each: about 0.66 alike, fewer in common with the base than linked texts have
+        own = list(base)
+        for place in random.sample(range(5, 145), 3):
+            own[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, f"y{i} " + rows[i][1]) for i in range(0, 150, 10)]
+    asked, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    for most in (near.GROUP_ROWS, 40) if hasattr(near, "GROUP_ROWS") else (None,):
+        monkeypatch.setattr(near, "GROUP_ROWS", most, raising=False)
+        check_first_rows(spark, rows)
+    assert sum(asked) < 2 * len(asked) * len(rows)
+
+
 def test_pipeline_near_copies_come_from_the_simhash_index(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(400)) for x in "ab")
     rows = [(2, a), (1, a + " end"), (3, b), (4, None), (5, "one"), (6, "two")]
