@@ -20,7 +20,7 @@ USUAL_DEPTH = 5
 PARSER_DEPTH = 1000
 # Levels below the keys of a record that are opened by nested expressions, without a list of nodes in between.
 NESTED_DEPTH = 3
-WHOLE_FLOAT = r"^DECIMAL\((?:\d|1[0-8]),0\)$"
+WHOLE_FLOAT_DIGITS = 18  # decimals without a fraction of up to so many digits are floats, longer ones integers
 
 DIRECTIONS = ("schema_to_json", "json_to_schema")
 
@@ -76,6 +76,8 @@ def type_name_sql(value: str) -> str:
 
 
 def name_of_schema_sql(schema: str) -> str:
+    # DECIMAL(n,0): one digit, or two of at most the limit
+    whole = f"length({schema}) = 12 OR substring({schema}, 9, 2) <= '{WHOLE_FLOAT_DIGITS}'"
     return f"""CASE
         WHEN {schema} = 'STRING' THEN 'str'
         WHEN {schema} = 'BIGINT' THEN 'int'
@@ -83,9 +85,9 @@ def name_of_schema_sql(schema: str) -> str:
         WHEN {schema} = 'VOID' THEN 'NoneType'
         WHEN startswith({schema}, 'ARRAY') THEN 'list'
         WHEN startswith({schema}, 'OBJECT') THEN 'dict'
-        WHEN {schema} RLIKE {literal(WHOLE_FLOAT)} THEN 'float'
-        WHEN startswith({schema}, 'DECIMAL') AND endswith({schema}, ',0)') THEN 'int'
-        WHEN startswith({schema}, 'DECIMAL') OR {schema} IN ('DOUBLE', 'FLOAT') THEN 'float' END"""
+        WHEN startswith({schema}, 'DECIMAL') AND (NOT endswith({schema}, ',0)') OR {whole}) THEN 'float'
+        WHEN startswith({schema}, 'DECIMAL') THEN 'int'
+        WHEN {schema} IN ('DOUBLE', 'FLOAT') THEN 'float' END"""
 
 
 def value_text_sql(value: str, name: str, scalar: bool = False) -> str:
@@ -141,7 +143,7 @@ def _written_sql(value: str, item_sep: str, key_sep: str, depth: int) -> str:
     below = "char(0)"
     if depth:
         members = f"transform(map_entries({map_sql(value)}), e -> struct(concat({_key_sql('e.key')}, {literal(key_sep)}) AS key, e.value AS value))"
-        items = f"transform({_list_sql(value)}, x -> struct('' AS key, x AS value))"
+        items = f"transform({list_sql(value)}, x -> struct('' AS key, x AS value))"
         text = f"concat({child}.key, {_written_sql(f'{child}.value', item_sep, key_sep, depth - 1)})"
         joined = f"array_join(transform(coalesce({members}, {items}), {child} -> {text}), {literal(item_sep)})"
         below = let(joined, "joined", f"if(startswith({s}, 'OBJECT'), concat('{{', joined, '}}'), concat('[', joined, ']'))")
@@ -159,7 +161,7 @@ def map_json_text(record: Column, item_sep: str = ",", key_sep: str = ":") -> Co
 
 def _joined_sql(pieces: str, item_sep: str, key_sep: str) -> str:
     opened = f"""if(n.done, array(n), coalesce(
-        {_object_sql(map_sql("n.value"), item_sep, key_sep)}, {_array_sql(_list_sql("n.value"), item_sep)}))"""
+        {_object_sql(map_sql("n.value"), item_sep, key_sep)}, {_array_sql(list_sql("n.value"), item_sep)}))"""
     return f"array_join(transform({expand_sql(pieces, opened)}, n -> n.text), '')"
 
 
@@ -202,7 +204,7 @@ def map_sql(value: str) -> str:
     return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
 
-def _list_sql(value: str) -> str:
+def list_sql(value: str) -> str:
     return f"try_variant_get({value}, '$', 'array<variant>')"
 
 
@@ -261,17 +263,26 @@ def flatten_record(record: Column | str) -> Column:
 
 def flatten_sql(record: str) -> str:
     nodes = f"transform(map_entries({map_sql(record)}), e -> {_node_sql('e.key', 'e.value')})"
-    level_by_level = f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
     below = _opened_sql("e0.value", "e0.key", False, NESTED_DEPTH)
-    opened = f"flatten(transform(map_entries({map_sql(record)}), e0 -> {below}))"
+    return _leaves_sql(f"flatten(transform(map_entries({map_sql(record)}), e0 -> {below}))", nodes)
+
+
+def leaves_below_sql(value: str, path: str, in_list: str) -> str:
+    """Leaves of what lies at a path, inside a list or not, in the form of `flatten_record`."""
+    return _leaves_sql(_opened_sql(value, path, in_list, NESTED_DEPTH + 1), f"array({_node_sql(path, value, in_list)})")
+
+
+def _leaves_sql(opened: str, nodes: str) -> str:
+    """Leaves out of what was opened by nested expressions or, if that left anything whole, out of nodes level by level."""
+    level_by_level = f"transform({expand_sql(nodes)}, n -> {leaf_sql('n.value', 'n.path')})"
     leaves = f"transform({opened}, n -> {leaf_sql('n.value', 'n.path', scalar=True)})"
     return let(leaves, "leaves", f"if(exists(leaves, x -> x.type IN ('list', 'dict')), {level_by_level}, leaves)")
 
 
-def _opened_sql(value: str, path: str, in_list: bool, depth: int) -> str:
+def _opened_sql(value: str, path: str, in_list: bool | str, depth: int) -> str:
     """What lies at a path as ARRAY<STRUCT<path, value>>, opened by nested expressions over `depth` levels.
 
-    Lists inside lists and what lies deeper stay whole.
+    Lists inside lists and what lies deeper stay whole. `in_list` is known or SQL text.
     """
     entry, item, i, at = (f"{name}{depth}" for name in ("e", "x", "i", "p"))
     if depth == 0:
@@ -280,7 +291,9 @@ def _opened_sql(value: str, path: str, in_list: bool, depth: int) -> str:
     key = f"if({at} = '', {entry}.key, concat({at}, ' ', {entry}.key))"
     members = f"flatten(transform(map_entries({map_sql(value)}), {entry} -> {_opened_sql(f'{entry}.value', key, False, depth - 1)}))"
     below = _opened_sql(item, f"concat({at}, '[', {i}, ']')", True, depth - 1)
-    items = "" if in_list else f"flatten(transform({_list_sql(value)}, ({item}, {i}) -> {below})), "
+    items = f"flatten(transform({list_sql(value)}, ({item}, {i}) -> {below})), "
+    if in_list:
+        items = "" if in_list is True else f"CASE WHEN NOT {in_list} THEN {items.removesuffix(', ')} END, "
     return let(path, at, f"coalesce({members}, {items}{whole})")
 
 
@@ -301,7 +314,7 @@ def expand_sql(nodes: str, expanded: str | None = None) -> str:
     return let(usual, "usual", rest)
 
 
-def _node_sql(path: str, value: str, in_list: bool = False, done: bool = False) -> str:
+def _node_sql(path: str, value: str, in_list: bool | str = False, done: bool = False) -> str:
     return f"struct({path} AS path, {value} AS value, {in_list} AS in_list, {done} AS done)"
 
 
@@ -310,7 +323,7 @@ _MEMBERS = (
     f"transform(map_entries({map_sql('n.value')}), e -> {_node_sql(_CHILD_PATH, 'e.value')})"
 )
 _ITEMS = (
-    f"transform({_list_sql('n.value')}, "
+    f"transform({list_sql('n.value')}, "
     f"(item, i) -> {_node_sql("concat(n.path, '[', i, ']')", 'item', in_list=True)})"
 )
 _EXPANDED_NODE = f"""CASE WHEN n.done THEN array(n) ELSE coalesce(
@@ -355,7 +368,7 @@ def schema_nodes_sql(record: str) -> str:
         return f"array(struct(n.parent AS parent, n.path AS path, n.in_list AS in_list, {name} AS type, CAST(NULL AS VARIANT) AS value, true AS done))"
 
     members = f"transform(map_entries({map_sql('n.value')}), e -> {node('n.path', _CHILD_PATH, 'false', 'e.value')})"
-    items = f"transform({_list_sql('n.value')}, item -> {node('n.path', "concat(n.path, '[]')", 'true', 'item')})"
+    items = f"transform({list_sql('n.value')}, item -> {node('n.path', "concat(n.path, '[]')", 'true', 'item')})"
     expanded = f"""if(n.done, array(n), coalesce(
         concat({own("'dict'")}, {members}), concat({own("'list'")}, {items}), {own(type_name_sql('n.value'))}))"""
     root = f"array({node('CAST(NULL AS STRING)', "''", 'false', record)})"
@@ -383,5 +396,5 @@ def _schema_sql(value: str, parent: str, path: str, in_list: bool, depth: int) -
     below = _schema_sql(f"{entry}.value", at, key, False, depth - 1)
     members = f"concat({own("'dict'")}, flatten(transform(map_entries({map_sql(value)}), {entry} -> {below})))"
     below = _schema_sql(item, at, f"concat({at}, '[]')", True, depth - 1)
-    items = "" if in_list else f"concat({own("'list'")}, flatten(transform({_list_sql(value)}, {item} -> {below}))), "
+    items = "" if in_list else f"concat({own("'list'")}, flatten(transform({list_sql(value)}, {item} -> {below}))), "
     return let(path, at, f"coalesce({members}, {items}{whole})")

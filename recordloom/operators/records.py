@@ -7,10 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.functions.columns import let
+from recordloom.functions.fields import LEAVES_TYPE, align_sql
 from recordloom.functions.records import (
     USUAL_DEPTH,
     as_map,
     expand_sql,
+    leaves_below_sql,
+    list_sql,
+    map_sql,
     name_of_schema_sql,
     parse_record,
     schema_nodes,
@@ -105,6 +110,102 @@ def explode_fields(df: DataFrame, record: str, levels: int = USUAL_DEPTH) -> Dat
     )
 
 
+# Levels at which two records are opened together, one generator each: keys, lists below them, keys of objects in lists.
+PAIR_LEVELS = 3
+
+# Whether a key could make the path of one value that of another one: empty, with a blank or a bracket (or a comma, to be safe).
+_ODD_KEYS = "contains(_keys, ',,') OR contains(_keys, ' ') OR contains(_keys, '[')"
+# Both values are objects, or lists that are opened; a missing one does not matter.
+_BOTH_OBJECTS = "(_lm IS NOT NULL OR _l IS NULL) AND (_rm IS NOT NULL OR _r IS NULL) AND NOT _odd"
+_BOTH_LISTS = "(_ll IS NOT NULL OR _l IS NULL) AND (_rl IS NOT NULL OR _r IS NULL)"
+_MEMBERS = """map_zip_with(
+    coalesce(_lm, CAST(map() AS MAP<STRING, VARIANT>)), coalesce(_rm, CAST(map() AS MAP<STRING, VARIANT>)),
+    (key, l, r) -> struct(l AS l, r AS r))"""
+_LONGER = "greatest(size(_ll), size(_rl))"
+_ITEMS = f"""map_from_arrays(
+    transform(slice(sequence(0, {_LONGER}), 1, {_LONGER}), i -> concat('[', i, ']')),
+    zip_with(coalesce(_ll, CAST(array() AS ARRAY<VARIANT>)), coalesce(_rl, CAST(array() AS ARRAY<VARIANT>)), (l, r) -> struct(l AS l, r AS r)))"""
+
+
+def _opened_pairs(nodes: DataFrame, others: list[str], root: bool = False) -> DataFrame:
+    """Rows of two values at a path, with one row per key or place where both can be opened; what is empty vanishes.
+
+    An opened value is left out of the row before the generator, which would copy it for everything in it. A `root` that is no
+    object counts as missing.
+    """
+    cast = nodes.selectExpr(
+        *others, "_path", "_in_list", "_l", "_r", f"{map_sql('_l')} AS _lm", f"{map_sql('_r')} AS _rm",
+        f"CASE WHEN NOT _in_list THEN {list_sql('_l')} END AS _ll", f"CASE WHEN NOT _in_list THEN {list_sql('_r')} END AS _rl",
+    )
+    if root:
+        maps = ("_path", "_in_list", "_lm", "_rm", "_ll", "_rl")
+        cast = cast.selectExpr(*others, *maps, "if(_lm IS NULL, NULL, _l) AS _l", "if(_rm IS NULL, NULL, _r) AS _r")
+    keyed = cast.selectExpr("*", "concat_ws(',', '', map_keys(_lm), map_keys(_rm), '') AS _keys")
+    judged = keyed.selectExpr("*", f"(_lm IS NOT NULL OR _rm IS NOT NULL) AND ({_ODD_KEYS}) AS _odd")
+    kinds = f"CASE WHEN _l IS NULL AND _r IS NULL THEN 0 WHEN {_BOTH_OBJECTS} THEN 1 WHEN {_BOTH_LISTS} THEN 2 ELSE 0 END AS _kind"
+    chosen = judged.selectExpr(*others, "_path", "_in_list", "_l", "_r", "_lm", "_rm", "_ll", "_rl", kinds)
+    opened = chosen.selectExpr(
+        *others, "_path", "_in_list", "CASE WHEN _kind = 0 THEN _l END AS _l", "CASE WHEN _kind = 0 THEN _r END AS _r",
+        f"CASE _kind WHEN 1 THEN {_MEMBERS} WHEN 2 THEN {_ITEMS} END AS _below",
+    )
+    rows = opened.selectExpr(*others, "_path", "_in_list", "_l", "_r", "explode_outer(_below) AS (_step, _both)")
+    path = """CASE WHEN _step IS NULL THEN _path WHEN _path = '' OR startswith(_step, '[') THEN concat(_path, _step)
+        ELSE concat(_path, ' ', _step) END AS _path"""
+    return rows.where("_step IS NOT NULL OR _l IS NOT NULL OR _r IS NOT NULL").selectExpr(
+        *others, path, "if(_step IS NULL, _in_list, startswith(_step, '[')) AS _in_list",
+        "if(_step IS NULL, _l, _both.l) AS _l", "if(_step IS NULL, _r, _both.r) AS _r",
+    )
+
+
+# What is left of two values, as aligned fields.
+_REST = let(
+    f"""transform(array(_l, _r), v -> CASE WHEN v IS NULL THEN CAST(array() AS {LEAVES_TYPE})
+        ELSE {leaves_below_sql("v", "_path", "_in_list")} END)""",
+    "both",
+    align_sql("both[0]", "both[1]"),
+)
+
+
+def explode_pairs(df: DataFrame, left: str, right: str, levels: int = PAIR_LEVELS) -> DataFrame:
+    """One row per field of two records (VARIANT columns), next to the other columns: path, l_type, l_text, r_type, r_text.
+
+    The fields are those of `align_fields` over `flatten_record`; a null record counts as empty. Both records are opened together, one
+    generator for each of the first `levels` levels, so equal paths meet without being sorted and types and texts are taken
+    of rows, in compiled code. What cannot be opened so is flattened and aligned inside its row: what lies deeper, lists in
+    lists, a value that is an object or a list on one side only, and an object with keys that could make two paths equal.
+    """
+    others = [f"`{name}`" for name in df.columns if name not in (left, right)]
+    nodes = df.selectExpr(*others, "'' AS _path", "true AS _in_list", f"`{left}` AS _l", f"`{right}` AS _r")
+    for level in range(levels):
+        nodes = _opened_pairs(nodes, others, root=level == 0)
+    kept = [*others, "_path", "_l", "_r"]
+    named = nodes.selectExpr(*kept, "_in_list", "schema_of_variant(_l) AS _ls", "schema_of_variant(_r) AS _rs").selectExpr(
+        *kept, "_in_list", "_ls", "_rs", f"{name_of_schema_sql('_ls')} AS _lt", f"{name_of_schema_sql('_rs')} AS _rt"
+    )
+    whole = "coalesce(_lt IN ('list', 'dict'), false) OR coalesce(_rt IN ('list', 'dict'), false) AS _whole"
+    usual = [
+        f"""CASE WHEN _{side}t = 'str' THEN try_variant_get(_{side}, '$', 'string')
+            WHEN _{side}s = 'BIGINT' THEN CAST(try_variant_get(_{side}, '$', 'bigint') AS STRING)
+            WHEN _{side}t = 'float' THEN CAST(try_variant_get(_{side}, '$', 'double') AS STRING) END AS _{side}x"""
+        for side in "lr"
+    ]
+    texts = named.selectExpr(*kept, "_in_list", "_lt", "_rt", whole, *usual)
+    # the cast prints floats without an exponent as string formatting does; a value whose text is found is needed no more
+    judged = texts.selectExpr(
+        *others, "_path", "_in_list", "_lt", "_rt", "_lx", "_rx", "_whole",
+        *[f"if(_whole OR _{s}x IS NULL OR (_{s}t = 'float' AND contains(_{s}x, 'E')), _{s}, NULL) AS _{s}" for s in "lr"],
+    )
+
+    def text(side: str) -> str:
+        other = value_text_sql(f"_{side}", f"_{side}t", scalar=True)
+        return f"CASE WHEN _whole THEN NULL WHEN _{side} IS NULL THEN _{side}x ELSE {other} END AS _{side}x"
+
+    written = judged.selectExpr(*others, "_path", "_whole", "_lt", text("l"), "_rt", text("r"), f"CASE WHEN _whole THEN {_REST} END AS _rest")
+    rows = written.selectExpr(*others, "_path", "_whole", "_lt", "_lx", "_rt", "_rx", "inline_outer(_rest)").where("NOT _whole OR path IS NOT NULL")
+    values = (("path", "_path"), ("l_type", "_lt"), ("l_text", "_lx"), ("r_type", "_rt"), ("r_text", "_rx"))
+    return rows.selectExpr(*others, *[f"if(_whole, {name}, {own}) AS {name}" for name, own in values])
+
+
 def schema_profile(df: DataFrame, record_text: str) -> DataFrame:
     """How often each top-level key occurs with each type, over all records."""
     entries = F.explode_outer(F.map_entries(as_map(parse_record(record_text))))

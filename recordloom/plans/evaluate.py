@@ -51,6 +51,7 @@ from recordloom.functions.similarity import (
 )
 from recordloom.operators.kept import generate_kept
 from recordloom.operators.python_batches import EmbedderFactory, GeneratorFactory, embed_distinct, generate
+from recordloom.operators.records import explode_pairs
 from recordloom.functions.tfidf import mean_cosine, pair_tfidf
 from recordloom.operators.vectors import LEFT, RIGHT, cosine_table, labelled_words, pair_points
 from recordloom.plans.training import with_prompt
@@ -215,8 +216,13 @@ def with_decisions(
     return scored.withColumn("decisions", F.expr(_decisions_sql(threshold, looked_up))).drop("_scores")
 
 
+def _similarity_sql(similarity: str) -> str:
+    """Similarity of the two values of an aligned field `f`, null where one is missing."""
+    return f"CASE WHEN {TO_COMPARE} THEN {similarity} WHEN f.l_text = f.r_text THEN 1D END"
+
+
 def _decisions_sql(threshold: float, similarity: str) -> str:
-    score = f"CASE WHEN {TO_COMPARE} THEN {similarity} WHEN f.l_text = f.r_text THEN 1D END"
+    score = _similarity_sql(similarity)
     row = f"""struct(f.path AS path, f.l_text AS l_text, f.r_text AS r_text, score AS similarity,
         {decision_sql("score", threshold)} AS decision)"""
     return f"transform(fields, f -> {let(score, 'score', row)})"
@@ -242,10 +248,26 @@ def _embedded_scores(aligned: DataFrame, key: str, embedder: EmbedderFactory) ->
     return sides.groupBy(key).agg(F.map_from_entries(entries).alias("_scores"))
 
 
-def decision_details(pairs: DataFrame, key: str, left: str, right: str, **options) -> DataFrame:
-    """One row per field of each pair with both values, their similarity and the decision."""
-    decided = with_decisions(pairs, key, left, right, **options)
-    return decided.select(key, F.inline_outer("decisions")).where("path IS NOT NULL")
+def decision_details(
+    pairs: DataFrame,
+    key: str,
+    left: str,
+    right: str,
+    threshold: float = DECISION_THRESHOLD,
+    embedder: EmbedderFactory | None = None,
+    flat: bool = True,
+) -> DataFrame:
+    """One row per field of each pair with both values, their similarity and the decision.
+
+    Without an embedder nothing of other fields is needed, so the fields are opened to rows and decided there.
+    """
+    if embedder is not None or not flat:
+        decided = with_decisions(pairs, key, left, right, threshold, embedder, flat=flat)
+        return decided.select(key, F.inline_outer("decisions")).where("path IS NOT NULL")
+    rows = explode_pairs(pairs.select(key, left, right), left, right)
+    scored = rows.alias("f").selectExpr("*", f"{_similarity_sql(FIELD_BAG_COSINE)} AS similarity")
+    decision = F.expr(decision_sql("similarity", threshold)).alias("decision")
+    return scored.alias("f").select(key, "path", "l_text", "r_text", "similarity", decision)
 
 
 def _score(decisions: str = "decisions") -> Column:

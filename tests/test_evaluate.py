@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import similarity
 from recordloom.functions.records import parse_record
+from recordloom.operators import records as record_ops
 from recordloom.operators import tfidf, vectors
 from recordloom.plans import evaluate
 
@@ -101,6 +102,55 @@ def test_decisions(pairs):
         assert scores[i] == (pytest.approx(good / len(own)) if own else None)
 
 
+ODD_PAIRS = [
+    # paths that meet although they come from other keys, in one record and in two
+    ({"a b": 1, "a": {"b": 2}}, {"a": {"b": 2}}), ({"a": {"b": 1}}, {"a b": 1}), ({"": {"c": 1}, "c": 2}, {"c": 2}), ({"a": [5]}, {"a[0]": 5}),
+    ({"x": {"p": {"q r": 1, "q": {"r": 2}}, "s": 3}}, {"x": {"p": {"q": {"r": 2}}, "s": 3}}),
+    # other kinds of values on the two sides, empty ones, missing ones
+    ({"a": {"b": 1}, "c": [1], "d": {}, "e": [], "f": 1}, {"a": [1, {"z": 2}], "c": {"k": 1}, "d": 5, "e": {}, "f": {"g": [True]}}),
+    ({"a": {"b": {}, "c": [{}, 1]}}, {"a": {"b": [], "c": [[], 1]}}), ({"l": [{"k": 1}, {"k": 2}]}, {"l": [{"k": 1, "m": None}]}), ({"l": [1]}, {}),
+    # lists in lists and what lies deeper
+    ({"a": [[1, {"b": 2.0}], {"c": {"d": {"e": [1, {"f": "x"}]}}}]}, {"a": [[1, {"b": 2.5}], {"c": {"d": {"e": [1, {"f": "X"}]}}}]}),
+    # texts of all kinds of numbers
+    ({"n": [1, 1.0, 900.0, 1e20, 1e-7, 12345678.5, 10**30, 12345678901234567890, -0.5]}, {"n": ["1", 1, 900, 1e21, "1e-07", 12345678.5, 10.0**30, True, None]}),
+    ([1], {"a": 1}), ({"a": 1}, "text"), (None, None),
+]
+
+
+def by_row(pairs, **options):
+    """Details by decisions that are taken inside the row of a pair."""
+    decided = evaluate.with_decisions(pairs, "id", "l", "r", **options)
+    return decided.select("id", F.inline_outer("decisions")).where("path IS NOT NULL")
+
+
+def test_details_of_odd_records_equal_those_by_row(spark, pairs):
+    rows = [(i % 9 or None, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(ODD_PAIRS)]
+    rows += [(1, None, rows[0][1]), (1, rows[0][1], "not json"), rows[3]]
+    odd = evaluate.parse_pairs(spark.createDataFrame(rows, "id int, l string, r string"), "l", "r")
+    for table, threshold in ((odd, 0.8), (pairs, 0.3)):
+        found = evaluate.decision_details(table, "id", "l", "r", threshold=threshold)
+        expected = by_row(table, threshold=threshold)
+        assert found.dtypes == expected.dtypes
+        assert Counter(found.collect()) == Counter(expected.collect())
+
+
+def test_details_of_usual_records_are_not_taken_inside_the_row(spark, monkeypatch, plan_of):
+    """Objects and lists of objects are opened and compared as rows, without flattening, sorting or aligning in a row."""
+    monkeypatch.setattr(record_ops, "_REST", f"if(true, raise_error('inside the row'), {record_ops._REST})")
+    left = {"id": 1, "o": {"p": "x", "q": 1.5}, "l": [{"k": 1, "t": "big dog"}, {"k": None}], "e": [], "only": {"here": [1, 2]}}
+    right = {"id": 1, "o": {"p": "x", "q": 2.5}, "l": [{"k": 1, "t": "Dog, big!"}], "e": [], "there": {"a": True}}
+    table = spark.createDataFrame([(1, json.dumps(left), json.dumps(right))], "id int, l string, r string")
+    details = evaluate.decision_details(evaluate.parse_pairs(table, "l", "r"), "id", "l", "r")
+    plan = plan_of(details)
+    assert "Exchange" not in plan and "Python" not in plan and "Union" not in plan
+    assert {r.path: (r.l_text, r.r_text, r.decision) for r in details.collect()} == {
+        "id": ("1", "1", "good"), "o p": ("x", "x", "good"), "o q": ("1.5", "2.5", "value mismatch"), "l[0] k": ("1", "1", "good"),
+        "l[0] t": ("big dog", "Dog, big!", "good"), "l[1] k": ("None", None, "missing in Dict 2"),
+        "only here[0]": ("1", None, "missing in Dict 2"), "only here[1]": ("2", None, "missing in Dict 2"),
+        "there a": (None, "True", "missing in Dict 1"),
+    }
+
+
 def words_of_length():
     def vectors_of(texts):
         return [[float(len(re.findall(rf"\b\w{{{n}}}\b", t))) for n in range(1, 8)] for t in texts]
